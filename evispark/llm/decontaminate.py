@@ -39,14 +39,13 @@ def shingles_of(words: Column, k: int) -> Column:
     return F.when(F.size(words) > 0, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(words: Column) -> Column:
+def simhash(hashes: Column) -> Column:
     """64 bits, each the majority of that bit over the words' hashes (ties: 0)."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
     zero = F.lit(0).cast("bigint")
 
     def bit_of(bit: Column) -> Column:
         ones = F.aggregate(hashes, F.lit(0), lambda n, h: n + F.getbit(h, bit).cast("int"))
-        return F.when(ones * 2 > F.size(words), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).otherwise(zero)
+        return F.when(ones * 2 > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).otherwise(zero)
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, lambda out, bit: out.bitwiseOR(bit_of(bit)))
 
@@ -73,7 +72,8 @@ def _by_block(fingerprint: Column, flips: bool) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, similarity, start, hamming) of the best window of each leaked item in each document."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), words_of(F.col(item_text_col)).alias("words")).where("item_id IS NOT NULL AND size(words) > 0").dropDuplicates(["item_id", "words"])
-    items = items.select("item_id", F.size("words").alias("n"), shingles_of(F.col("words"), SHINGLE).alias("sh"), simhash(F.col("words")).alias("item_print"))
+    items = items.select("item_id", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    items = items.select("item_id", F.size("words").alias("n"), shingles_of(F.col("words"), SHINGLE).alias("sh"), simhash(F.col("hashes")).alias("item_print"))
     items = written(items, "items")
     spread = items.select("item_id", "n", F.posexplode("sh").alias("ipos", "h"))
     df = spread.groupBy("h").agg(F.countDistinct("item_id").alias("df"))
@@ -86,14 +86,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     rare = F.log(1 + F.lit(float(max(total, 1))))
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    positions = texts.select("doc_id", F.posexplode(shingles_of(words_of(F.col("text")), SHINGLE)).alias("pos", "h"))
+    # words, hashes and shingles are columns of their own: inside a lambda they would be made anew at each position
+    split = texts.select("doc_id", words_of(F.col("text")).alias("words"))
+    positions = split.select("doc_id", F.posexplode(shingles_of(F.col("words"), SHINGLE)).alias("pos", "h"))
     seeds = broadcast_if_small(spread.select("h", "n", "ipos").distinct(), n_shingles)
     starts = positions.join(seeds, "h").select("doc_id", "n", F.greatest(F.col("pos") - F.col("ipos"), F.lit(0)).alias("start")).distinct()
     starts = written(starts.groupBy("doc_id").agg(F.collect_set(F.struct("n", "start")).alias("windows")), "windows")
 
     opened = starts.join(texts, "doc_id").select("doc_id", "windows", words_of(F.col("text")).alias("words"))
     window = opened.select("doc_id", F.explode("windows").alias("x"), "words").select("doc_id", "x.n", "x.start", F.slice("words", F.col("x.start") + 1, F.col("x.n")).alias("words"))
-    window = window.select("doc_id", "n", "start", simhash(F.col("words")).alias("print"), shingles_of(F.col("words"), SHINGLE).alias("sh"))
+    window = window.select("doc_id", "n", "start", shingles_of(F.col("words"), SHINGLE).alias("sh"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    window = written(window.select("doc_id", "n", "start", "sh", simhash(F.col("hashes")).alias("print")), "fingerprints")
     probes = window.select("*", F.explode(_by_block(F.col("print"), False)).alias("b")).select("doc_id", "n", "start", "print", "sh", "b.block", "b.value")
     near = probes.join(broadcast_if_small(index, total * 460), ["n", "block", "value"])
     near = near.withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("hamming") <= RADIUS)
