@@ -19,6 +19,8 @@ result for each (doc_id, item_id). The benchmark is broadcast only if its counte
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,12 +90,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     # words, hashes and shingles are columns of their own: inside a lambda they would be made anew at each position
     split = texts.select("doc_id", words_of(F.col("text")).alias("words"))
-    positions = split.select("doc_id", F.posexplode(shingles_of(F.col("words"), SHINGLE)).alias("pos", "h"))
-    seeds = broadcast_if_small(spread.select("h", "n", "ipos").distinct(), n_shingles)
-    starts = positions.join(seeds, "h").select("doc_id", "n", F.greatest(F.col("pos") - F.col("ipos"), F.lit(0)).alias("start")).distinct()
+    # items of fewer words are found by runs of their own length, one pass for each such length (four at most)
+    lengths = sorted(r.k for r in items.select(F.least("n", F.lit(SHINGLE)).alias("k")).distinct().collect())
+    runs = [split.select("doc_id", F.lit(k).alias("k"), F.posexplode(shingles_of(F.col("words"), k)).alias("pos", "h")) for k in lengths or [SHINGLE]]
+    positions = reduce(DataFrame.unionByName, runs)
+    seeds = broadcast_if_small(spread.select("h", F.least("n", F.lit(SHINGLE)).alias("k"), "n", "ipos").distinct(), n_shingles)
+    starts = positions.join(seeds, ["h", "k"]).select("doc_id", "n", F.greatest(F.col("pos") - F.col("ipos"), F.lit(0)).alias("start")).distinct()
     starts = written(starts.groupBy("doc_id").agg(F.collect_set(F.struct("n", "start")).alias("windows")), "windows")
 
-    opened = starts.join(texts, "doc_id").select("doc_id", "windows", words_of(F.col("text")).alias("words"))
+    opened = broadcast_if_small(starts, starts.agg(F.sum(F.size("windows"))).first()[0] or 0).join(texts, "doc_id").select("doc_id", "windows", words_of(F.col("text")).alias("words"))
     window = opened.select("doc_id", F.explode("windows").alias("x"), "words").select("doc_id", "x.n", "x.start", F.slice("words", F.col("x.start") + 1, F.col("x.n")).alias("words"))
     window = window.select("doc_id", "n", "start", shingles_of(F.col("words"), SHINGLE).alias("sh"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     window = written(window.select("doc_id", "n", "start", "sh", simhash(F.col("hashes")).alias("print")), "fingerprints")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.llm import bytewords as bw
-from evispark.llm.tables import components, written  # noqa: F401  (components: used by callers that want line groups)
+from evispark.llm.tables import key_filter, may_hold, written
 
 #: Counters of step 1 (a power of two): 4 MB at the driver, 1 MB in each task, whatever the input.
 RARITY_BITS = 20
@@ -86,6 +86,16 @@ def _class_of(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(bw.mix64(tokens & _HASH42), first).view(np.int64)
 
 
+def _fresh(cls: np.ndarray, seen: set[int], most: int = 400_000) -> np.ndarray:
+    """Marks the first line of each class that this task has not seen; a full memory only lets repeats through."""
+    fresh = np.zeros(len(cls), bool)
+    fresh[np.unique(cls, return_index=True)[1]] = True
+    fresh &= np.fromiter((c not in seen for c in cls.tolist()), bool, len(cls))
+    if len(seen) < most:
+        seen.update(cls[fresh].tolist())
+    return fresh
+
+
 def _lines(table, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity, seen = table.value, set()
@@ -95,12 +105,7 @@ def _lines(table, percent: int):
                 for row, number, n, first, tokens in token_sets(batch.column(1).slice(a, b - a), rarity):
                     cls = _class_of(tokens, first)
                     bitmap = np.bitwise_xor.reduceat(np.uint64(1) << (bw.mix64(tokens & _HASH42) & np.uint64(63)), first)
-                    fresh = np.zeros(len(cls), bool)
-                    fresh[np.unique(cls, return_index=True)[1]] = True
-                    fresh &= np.fromiter((c not in seen for c in cls.tolist()), bool, len(cls))
-                    if len(seen) < 400_000:
-                        seen.update(cls[fresh].tolist())
-                    p = np.where(fresh, _prefix(n, percent), 0)
+                    p = np.where(_fresh(cls, seen), _prefix(n, percent), 0)
                     at = np.repeat(first - np.cumsum(p) + p, p) + np.arange(p.sum())
                     offsets = np.zeros(len(p) + 1, np.int32)
                     np.cumsum(p, out=offsets[1:])
@@ -168,14 +173,15 @@ def _matches(percent: int):
     return run
 
 
-def _tokens_of(table):
+def _tokens_of(table, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for a, b in bw.slices(batch.column(0), 1 << 20):
-                wanted = batch.column(1).slice(a, b - a).to_pylist()
-                for row, number, n, first, tokens in token_sets(batch.column(0).slice(a, b - a), table.value):
-                    keep = np.fromiter((x in wanted[r] for r, x in zip(row.tolist(), number.tolist(), strict=True)), bool, len(row))
-                    cls, n, first = _class_of(tokens, first)[keep], n[keep], first[keep]
+                for _, _, n, first, tokens in token_sets(batch.column(0).slice(a, b - a), table.value):
+                    cls = _class_of(tokens, first)
+                    keep = may_hold(held.value, cls) & _fresh(cls, seen)
+                    cls, n, first = cls[keep], n[keep], first[keep]
                     offsets = np.zeros(len(n) + 1, np.int32)
                     np.cumsum(n, out=offsets[1:])
                     at = np.repeat(first - offsets[:-1], n) + np.arange(n.sum())
@@ -207,9 +213,9 @@ def line_decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     first = lines.groupBy("cls").agg(F.min(F.struct("id", "line")).alias("first"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     wanted = written(wanted.join(first, "cls"), "first-lines")
-    by_doc = wanted.groupBy("first.id").agg(F.collect_set("first.line").alias("wanted"))
-    sets = texts.join(by_doc, "id").select("text", "wanted").mapInArrow(_tokens_of(table), "cls long, tokens array<long>").dropDuplicates(["cls"])
-    sets = written(sets.join(wanted, "cls"), "token-sets")
+    # classes are hashes: the scan drops the lines that no pair wants, so no text is shuffled
+    sets = texts.select("text").mapInArrow(_tokens_of(table, key_filter(wanted.select("cls"))), "cls long, tokens array<long>")
+    sets = written(sets.join(wanted, "cls").dropDuplicates(["cls"]), "token-sets")
     side = lambda c: sets.select(F.col("cls").alias(c), F.col("tokens").alias(f"{c}_tokens"), F.col("first").alias(f"{c}_first"))
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     links = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * shared >= percent * (F.size("a_tokens") + F.size("b_tokens") - shared))

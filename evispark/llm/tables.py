@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +57,28 @@ def components(edges: DataFrame) -> DataFrame:
         e = written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+#: 64-bit words of a filter: 2 MB, whatever the number of keys.
+FILTER_WORDS = 1 << 18
+
+
+def key_filter(hashes: DataFrame):
+    """A broadcast bit table that has every value of the one column of ``hashes`` (64-bit hashes), and few others.
+
+    Its size is fixed, so a scan can drop rows that a later exact join would drop, before anything is
+    shuffled; with very many keys it lets more rows pass, and the join is what decides. The bits are set by
+    an aggregate; the driver sees FILTER_WORDS rows at most. Test with ``may_hold``.
+    """
+    h = hashes.select(F.col(hashes.columns[0]).alias("h")).select(F.explode(F.array(F.col("h"), F.shiftright("h", 24))).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.pmod(F.shiftright("h", 6), F.lit(FILTER_WORDS)).cast("int")
+    rows = h.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(FILTER_WORDS, np.int64)
+    table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(table)
+
+
+def may_hold(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each of these hashes."""
+    return np.logical_and.reduce([(table[np.mod(x >> 6, FILTER_WORDS)] >> (x & 63)) & 1 == 1 for x in (h, h >> 24)])
