@@ -1,6 +1,39 @@
-"""All queries of the engine, by name, and the SQL that gives the same rows."""
+"""All queries of the engine, by name, and the SQL that gives the same rows.
+
+A query is a function of (spark, sf_dir); ``query`` registers it with its SQL, or without where SQL has no form
+(then a test compares it with a brute-force version).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from evispark.functions import text as tx
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql_tokens(column: str) -> str:
+    """DuckDB's form of ``functions.text.tokens``."""
+    return f"list_filter(regexp_split_to_array(translate(lower(coalesce({column}, '')), '{tx.ACCENTED}', '{tx.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+from evispark.plans import retrieval, scalars, tabular  # noqa: E402, F401
