@@ -61,7 +61,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, most: int = 4 << 20):
+def slices(column: pa.Array, most: int = 2 << 20):
     """(first row, row after the last) of consecutive slices of about ``most`` bytes; a longer row stands alone."""
     _, offsets = text_bytes(column)
     at, n = 0, len(offsets) - 1

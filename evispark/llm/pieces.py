@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-LIMIT = 400_000
+LIMIT = 250_000
 
 
 class PieceCache:
