@@ -1,7 +1,8 @@
 """Toxicity grades by cumulative-link (proportional-odds) regression on sparse text features.
 
 P(grade > k) = 1 / (1 + exp(threshold_k - w x)): one weight vector, shared by the ordered thresholds. x has
-1 + ln(count) for each lower-cased word, hashed to 2**FEATURE_BITS places and scaled to length 1. Expected
+1 + ln(count) for each lower-cased word and for the beginnings of longer ones, hashed to 2**FEATURE_BITS places; a place weighs
+in by how far its log-odds ratio between the classes exceeds EVIDENCE standard errors. Expected
 severity is the sum of P(grade > k) over k; a document is toxic if P(grade > 0) >= 0.5.
 
 Grades from 0/1 labels: 0 clean; 1 toxic; 2 toxic with more than the toxic median of words whose smoothed
@@ -9,7 +10,8 @@ log-odds are over 2. The model is fitted at the driver on at most ``per_class``
 class (those of least hash, whole texts); scoring covers all rows and needs no shuffle.
 
 Null and empty texts have no features, severity from the thresholds alone, and are never toxic. Labels that
-are null, repeated or of unknown documents do no harm. Without labels of both classes nothing is toxic.
+are null, repeated or of unknown documents do no harm. Without labels of both classes, or without a
+feature that tells them apart, nothing is toxic.
 """
 
 from __future__ import annotations
@@ -24,9 +26,15 @@ from pyspark.sql import functions as F
 
 from evispark.llm import bytewords as bw
 
-FEATURE_BITS = 18
+FEATURE_BITS = 20
+#: Bytes of a word's beginning that are features too, so that stems with many endings are learnt.
+BEGINNINGS = (4, 5, 6)
 #: Labelled documents of each class that the model is fitted on, at most.
 PER_CLASS = 2000
+#: Standard errors from no association at which a feature begins to count.
+EVIDENCE = 3.0
+#: Thresholds of a model that finds nothing toxic.
+NEVER = np.array([50.0, 51.0])
 
 
 @dataclass(frozen=True)
@@ -36,26 +44,45 @@ class Model:
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, value) of the sparse features; the squares of a row's values sum to 1."""
-    h, row = bw.words(column)
-    key = (row.astype(np.uint64) << np.uint64(FEATURE_BITS)) | (h >> np.uint64(64 - FEATURE_BITS))
+    """(row, place, value) of the sparse features: the words, and the beginnings of the longer ones."""
+    data, offsets = bw.text_bytes(column)
+    data = bw.LOWER[data]
+    start, end, row = bw.spans(data, offsets)
+    keys = []
+    for size in (0, *BEGINNINGS):
+        some = slice(None) if not size else np.flatnonzero(end - start > size)
+        s, of = start[some], row[some].astype(np.uint64)
+        h = bw.hash_spans(data, s, s + size if size else end)
+        if size:
+            h = bw.mix64(h + np.uint64(size))
+        keys.append((of << np.uint64(FEATURE_BITS)) | (h >> np.uint64(64 - FEATURE_BITS)))
+    key = np.concatenate(keys)
     key.sort()
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     value = 1 + np.log(np.diff(np.append(first, len(key))))
-    row = (key[first] >> np.uint64(FEATURE_BITS)).astype(np.int64)
-    norm = np.sqrt(np.bincount(row, weights=value * value, minlength=len(column)))
-    return row, (key[first] & np.uint64((1 << FEATURE_BITS) - 1)).astype(np.int64), value / norm[row]
+    return (key[first] >> np.uint64(FEATURE_BITS)).astype(np.int64), (key[first] & np.uint64((1 << FEATURE_BITS) - 1)).astype(np.int64), value
 
 
-def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, toxic: np.ndarray, steps: int = 150, ridge: float = 1e-5) -> Model:
+def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, toxic: np.ndarray, steps: int = 200, ridge: float = 1e-4) -> Model:
     """The model of these features; ``toxic`` has 0 or 1 for each row."""
     size, rows = 1 << FEATURE_BITS, len(toxic)
     if toxic.min(initial=1) == toxic.max(initial=0) or not len(row):
-        return Model(np.zeros(size), np.array([50.0, 51.0]))
+        return Model(np.zeros(size), NEVER)
     bad = toxic[row] == 1
-    odds = np.log((np.bincount(place[bad], minlength=size) + 0.5) / (toxic.sum() + 1)) - np.log((np.bincount(place[~bad], minlength=size) + 0.5) / (rows - toxic.sum() + 1))
+    # documents with and without each feature, by class; evidence is the log-odds ratio over its standard error
+    cells = []
+    for n, of in ((toxic.sum(), bad), (rows - toxic.sum(), ~bad)):
+        have = np.bincount(place[of], minlength=size) + 0.5
+        cells += [have, np.maximum(n + 1 - have, 0.5)]
+    odds = np.log(cells[0] / cells[1]) - np.log(cells[2] / cells[3])
+    evidence = np.abs(odds) / np.sqrt(sum(1 / c for c in cells))
+    scale = np.clip((evidence - EVIDENCE) / EVIDENCE, 0, 1)  # features without evidence have no say
     strong = np.bincount(row, weights=(odds[place] > 2) * value, minlength=rows)
     grade = toxic + ((toxic == 1) & (strong > np.median(strong[toxic == 1])))
+    if not scale.any():
+        return Model(np.zeros(size), NEVER)
+    keep = scale[place] > 0
+    row, place, value = row[keep], place[keep], value[keep] * scale[place[keep]]
     w, cuts, rate = np.zeros(size), np.array([0.0, 1.0]), np.array([0.3, 0.1])
     moments = [np.zeros(size), np.zeros(size), np.zeros(2), np.zeros(2)]
     above = (grade[:, None] > np.arange(2)[None, :]).astype(float)
@@ -71,7 +98,7 @@ def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, toxic: np.ndarray
             v += 0.01 * (g * g - v)
             target -= rate[k] * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         cuts.sort()
-    return Model(w, cuts)
+    return Model(w * scale, cuts)
 
 
 def _score(model):
