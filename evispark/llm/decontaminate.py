@@ -84,7 +84,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     counted = spread.groupBy("item_id", "n", "h").agg(F.count("*").alias("c")).join(df, "h")
     weights = counted.groupBy("item_id", "n").agg(F.collect_list(F.struct("h", F.col("c").cast("int").alias("c"), weight.alias("w"))).alias("weights"), F.sum(weight * F.col("c")).alias("item_weight"))
     full = written(items.join(weights, ["item_id", "n"]), "weighted-items")
-    index = full.select("item_id", "n", "item_print", "weights", "item_weight", F.explode(_by_block(F.col("item_print"), True)).alias("b")).select("*", "b.block", "b.value").drop("b")
+    index = items.select("item_id", "n", "item_print", F.explode(_by_block(F.col("item_print"), True)).alias("b")).select("*", "b.block", "b.value").drop("b")
     rare = F.log(1 + F.lit(float(max(total, 1))))
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
@@ -110,6 +110,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     for k, (at, width) in reversed(list(enumerate(BLOCKS))):
         first = F.when(F.bit_count(_block(F.col("print").bitwiseXOR(F.col("item_print")), at, width)) <= 2, F.lit(k)).otherwise(first)
     near = near.where(F.col("block") == first)
+    near = near.join(broadcast_if_small(full.select("item_id", "n", "item_print", "weights", "item_weight"), n_shingles), ["item_id", "n", "item_print"])
     count = lambda h: F.size(F.filter("sh", lambda x: x == h))
     overlap = F.aggregate("weights", F.lit(0.0), lambda a, s: a + s["w"] * F.least(count(s["h"]), s["c"]))
     known = F.aggregate("weights", F.lit(0.0), lambda a, s: a + s["w"] * count(s["h"]))
