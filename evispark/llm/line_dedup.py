@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from evispark.llm import bytewords as bw
 from evispark.llm.tables import key_filter, may_hold, written
 
-#: Counters of step 1 (a power of two): 4 MB at the driver, 1 MB in each task, whatever the input.
-RARITY_BITS = 20
+#: Counters of step 1 (a power of two): 256 KB of levels at the driver, 2 MB of counts in a task, whatever the input.
+RARITY_BITS = 18
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[10] = True
 _HASH42 = np.uint64((1 << 42) - 1)
@@ -192,9 +192,10 @@ def _tokens_of(table, held):
 
 def rarity_table(texts: DataFrame) -> np.ndarray:
     """Rarity, 0 (rare) to 63, for each of 2**RARITY_BITS counters: a fixed size, whatever the corpus."""
-    counts = texts.select("text").mapInArrow(_counts, "bucket int, cnt long").groupBy("bucket").agg(F.sum("cnt").alias("cnt")).toPandas()
+    counts = texts.select("text").mapInArrow(_counts, "bucket int, cnt long").groupBy("bucket").agg(F.sum("cnt").alias("cnt"))
+    levels = counts.select("bucket", F.least(F.floor(2 * F.log2(F.col("cnt") + 1)), F.lit(63)).cast("tinyint").alias("level")).toArrow()
     out = np.zeros(1 << RARITY_BITS, np.uint8)
-    out[counts["bucket"].to_numpy()] = np.minimum(2 * np.log2(counts["cnt"].to_numpy() + 1.0), 63)
+    out[levels.column("bucket").to_numpy()] = levels.column("level").to_numpy()
     return out
 
 
