@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.llm import bytewords as bw
-from evispark.llm.tables import components, written
+from evispark.llm.tables import components, key_filter, may_hold, written
 
 #: Coordinates in a band; members that one block of step 4 compares with another block's.
 BAND_ROWS, BLOCK_ROWS = 4, 256
@@ -111,9 +111,10 @@ def _profiles(k: int, bands: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(may_hold(held.value, batch.column(2).to_numpy())))
             for a, b in bw.slices(batch.column(1), 1 << 20):
                 sets, n = distinct_sets(batch.column(1).slice(a, b - a), k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _longs(sets, n)], ["id", "tokens"])
@@ -165,12 +166,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = written(some.join(classes, ["n", "one", "two"]).select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
     reps = members.where("bands IS NOT NULL")
     keyed = reps.select("id", "n", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
-    pairs = written(keyed.join(buckets, "key").where("id <> pivot").groupBy("pivot", "id", "n").agg(F.count("*").alias("bands")), "pairs")
-    wanted = pairs.select("id").union(pairs.select("pivot")).distinct()
-    sets = written(texts.join(wanted, "id").mapInArrow(_sets(shingle), "id long, tokens array<long>").dropDuplicates(["id", "tokens"]), "sets")
+    buckets = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("low"), F.max("id").alias("last")).where("low.id < last").select("key", F.col("low.id").alias("pivot"), F.col("low.n").alias("pivot_n"))
+    pairs = written(keyed.join(buckets, "key").where("id <> pivot").select("pivot", "pivot_n", "id", "n").distinct(), "pairs")
+    wanted = written(pairs.select("id").union(pairs.select("pivot")).distinct(), "wanted")
+    # the scan drops texts that no pair wants, so no text is shuffled; the join drops the few that slip through
+    hashed = texts.where("id IS NOT NULL").select("id", "text", F.xxhash64("id").alias("h"))
+    sets = hashed.mapInArrow(_sets(shingle, key_filter(wanted.select(F.xxhash64("id")))), "id long, tokens array<long>")
+    sets = written(sets.join(wanted, "id").dropDuplicates(["id", "tokens"]), "sets")
     pivots = sets.select(F.col("id").alias("pivot"), F.col("tokens").alias("pivot_tokens"))
-    both = pairs.join(sets, "id").join(pivots, "pivot")
+    # sizes alone rule out some pairs: the intersection is the smaller set at most
+    both = pairs.where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")).join(sets, "id").join(pivots, "pivot")
     shared = F.size(F.array_intersect("tokens", "pivot_tokens"))
     star = both.where(100 * shared >= percent * (F.size("tokens") + F.size("pivot_tokens") - shared)).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     star = written(star.distinct(), "star")
@@ -178,7 +183,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comp = lambda of, name: first.select(F.col("node").alias(of), F.col("component").alias(name))
     placed = (
         pairs.join(comp("id", "c"), "id", "left").join(comp("pivot", "p"), "pivot", "left")
-        .select("pivot", "id", "n", F.coalesce("c", "id").alias("comp"), F.coalesce("p", "pivot").alias("pivot_comp"))
+        .select("pivot", "id", F.coalesce("c", "id").alias("comp"), F.coalesce("p", "pivot").alias("pivot_comp"))
     )
     groups = placed.groupBy("pivot").agg(F.count("*").alias("members"), F.min("comp").alias("low_comp"), F.max("comp").alias("high_comp"), F.max(F.col("comp") != F.col("pivot_comp")).alias("apart"))
     open_groups = groups.where("members > 1 AND apart AND low_comp <> high_comp").select("pivot", F.ceil(F.col("members") / BLOCK_ROWS).cast("int").alias("blocks"))
