@@ -7,9 +7,9 @@ a word stay.
 1. Word counts over the whole corpus, kept in a table of 2**RARITY_BITS counters, give the token order:
    rarest first. Any total order keeps the join exact, so words sharing a counter cost only time.
 2. Equal token sets are one class; its first line stands for it. Copies therefore cost one row for each task.
-3. Each class posts the tokens of its prefix (n - ceil(t n) + 1 rarest). Inside a token's list, classes are
-   compared only where sizes and prefix positions still allow the overlap; long lists test that once for
-   each pair of (size, position) cells. A 64-bit parity bitmap bounds the symmetric difference from below.
+3. Each class posts the tokens of its prefix (n - ceil(t n) + 1 rarest). Inside a token's list, sorted by size,
+   classes are compared only where sizes and prefix positions still allow the overlap if this is the first
+   token they share. A 64-bit parity bitmap bounds the symmetric difference from below.
 4. What is left is verified on the full token sets of the first lines.
 
 Nothing is capped or sampled. Rows with a null id take no part and stay as they are; null texts have no
@@ -33,8 +33,6 @@ RARITY_BITS = 18
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[10] = True
 _HASH42 = np.uint64((1 << 42) - 1)
-#: From this list length on, pairs of cells are tested before pairs of lines.
-LONG_LIST = 64
 
 
 def _need(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -116,45 +114,28 @@ def _lines(table, percent: int):
     return run
 
 
-def _feasible(n, i, m, j, percent):
-    """Length filter (m >= n) and positional filter: what can still overlap from these prefix positions on."""
-    return (100 * n >= percent * m) & (np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1) >= _need(n, m, percent))
-
-
 def _pairs_in(token, n, pos, cls, bitmap, percent):
-    """Pairs of rows with one token that pass all filters; rows are sorted by token, n, pos. Yields index arrays."""
-    edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    size = np.diff(np.append(edge, len(token)))
-
-    def passing(i, j):
-        m = n[j]
-        differ = n[i] + m - 2 * _need(n[i], m, percent)
-        ok = _feasible(n[i], pos[i], m, pos[j], percent) & (np.bitwise_count(bitmap[i] ^ bitmap[j]) <= differ) & (cls[i] != cls[j])
-        return i[ok], j[ok]
-
-    short = np.repeat(size < LONG_LIST, size)
-    ends = np.repeat(edge + size, size)
-    rest = np.where(short, ends - np.arange(len(token)) - 1, 0)
+    """Pairs of rows with one token that pass all filters; rows are sorted by token and n. Yields index arrays.
+
+    A pair is looked for at its first shared token only: there the overlap is at most what either set has from
+    that token on. Partners of a row (sizes n to 100 n / percent) follow it, up to a limit that a search finds.
+    """
+    group = np.cumsum(np.append(False, token[1:] != token[:-1])) << 32
+    last = np.searchsorted(group | n, group | (100 * n // percent), side="right")
+    rest = np.where(n - pos >= _need(n, n, percent), last - np.arange(len(n)) - 1, 0)
     total = np.cumsum(rest)
     at = 0
     while at < len(token):
         to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), side="right")))
         c = rest[at:to]
         i = np.repeat(np.arange(at, to), c)
-        yield passing(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c))
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        need = _need(n[i], n[j], percent)
+        ok = np.flatnonzero((n[i] - pos[i] >= need) & (n[j] - pos[j] >= need))
+        i, j, need = i[ok], j[ok], need[ok]
+        ok = (np.bitwise_count(bitmap[i] ^ bitmap[j]) <= n[i] + n[j] - 2 * need) & (cls[i] != cls[j])
+        yield i[ok], j[ok]
         at = to
-    for a, length in zip(edge[size >= LONG_LIST], size[size >= LONG_LIST], strict=True):
-        b = a + length
-        cell = np.append(np.flatnonzero(np.append(True, (n[a + 1 : b] != n[a : b - 1]) | (pos[a + 1 : b] != pos[a : b - 1]))), length) + a
-        for x in range(len(cell) - 1):
-            y = np.arange(x, len(cell) - 1)
-            y = y[_feasible(n[cell[x]], pos[cell[x]], n[cell[y]], pos[cell[y]], percent)]
-            if not len(y):
-                continue
-            others = np.concatenate([np.arange(cell[k], cell[k + 1]) for k in y])
-            for i in range(cell[x], cell[x + 1]):
-                j = others[others > i]
-                yield passing(np.full(len(j), i), j)
 
 
 def _matches(percent: int):
@@ -164,7 +145,7 @@ def _matches(percent: int):
             return
         rows = pa.Table.from_batches(parts)
         token, n, pos, cls, bitmap = (rows.column(c).to_numpy() for c in ("token", "n", "pos", "cls", "bitmap"))
-        order = np.lexsort((pos, n, token))
+        order = np.lexsort((n, token))
         token, n, pos, cls, bitmap = token[order], n[order].astype(np.int64), pos[order].astype(np.int64), cls[order], bitmap[order].view(np.uint64)
         for i, j in _pairs_in(token, n, pos, cls, bitmap, percent):
             if len(i):
@@ -211,22 +192,22 @@ def line_decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     posted = lines.where(F.size("prefix") > 0).select("cls", "n", "bitmap", F.posexplode("prefix").alias("pos", "token"))
     found = posted.repartition("token").mapInArrow(_matches(percent), "a long, b long")
     pairs = written(found.distinct(), "candidates")
-    first = lines.groupBy("cls").agg(F.min(F.struct("id", "line")).alias("first"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = written(wanted.join(first, "cls"), "first-lines")
+    first = written(lines.groupBy("cls").agg(F.min(F.struct("id", "line")).alias("first")), "first-lines")
     # classes are hashes: the scan drops the lines that no pair wants, so no text is shuffled
-    sets = texts.select("text").mapInArrow(_tokens_of(table, key_filter(wanted.select("cls"))), "cls long, tokens array<long>")
-    sets = written(sets.join(wanted, "cls").dropDuplicates(["cls"]), "token-sets")
-    side = lambda c: sets.select(F.col("cls").alias(c), F.col("tokens").alias(f"{c}_tokens"), F.col("first").alias(f"{c}_first"))
+    wanted = key_filter(pairs.select(F.explode(F.array("a", "b"))))
+    sets = texts.select("text").mapInArrow(_tokens_of(table, wanted), "cls long, tokens array<long>").dropDuplicates(["cls"])
+    side = lambda c: sets.select(F.col("cls").alias(c), F.col("tokens").alias(f"{c}_tokens"))
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * shared >= percent * (F.size("a_tokens") + F.size("b_tokens") - shared))
-    later = links.select(F.when(F.col("a_first") > F.col("b_first"), F.col("a")).otherwise(F.col("b")).alias("cls"))
+    similar = 100 * shared >= percent * (F.size("a_tokens") + F.size("b_tokens") - shared)
+    links = written(pairs.join(side("a"), "a").join(side("b"), "b").where(similar).select("a", "b"), "links")
+    place = lambda c: first.select(F.col("cls").alias(c), F.col("first").alias(f"{c}_first"))
+    placed = links.join(place("a"), "a").join(place("b"), "b")
+    later = placed.select(F.when(F.col("a_first") > F.col("b_first"), F.col("a")).otherwise(F.col("b")).alias("cls"))
     later = written(later.groupBy("cls").agg(F.count("*").alias("links")), "later-classes")
     fate = first.join(later, "cls", "left")
     placed = lines.select("id", "line", "cls").join(fate, "cls").select("id", "line", F.coalesce("links", F.lit(0)).alias("links"), (F.col("links").isNotNull() | (F.struct("id", "line") != F.col("first"))).alias("gone"))
-    return placed.groupBy(F.col("id").alias("doc_id")).agg(
-        F.countDistinct("line").alias("n_lines"), F.countDistinct(F.when(F.col("gone"), F.col("line"))).alias("n_removed"), F.sum("links").alias("n_links"), F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed_lines")
-    )
+    sets = placed.groupBy(F.col("id").alias("doc_id")).agg(F.collect_set("line").alias("all"), F.collect_set(F.when(F.col("gone"), F.col("line"))).alias("out"), F.sum("links").alias("n_links"))
+    return sets.select("doc_id", F.size("all").cast("long").alias("n_lines"), F.size("out").cast("long").alias("n_removed"), "n_links", F.sort_array("out").alias("removed_lines"))
 
 
 def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:

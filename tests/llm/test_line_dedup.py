@@ -49,9 +49,8 @@ def test_equals_brute_force(spark):
     assert decisions(spark, rows) == brute(rows)
 
 
-def test_long_lists_equal_brute_force(spark, monkeypatch):
-    """Templated lines: one word pair shared by all of them, in lists long enough for the test of cells."""
-    monkeypatch.setattr(line_dedup, "LONG_LIST", 4)
+def test_long_lists_equal_brute_force(spark):
+    """Templated lines: one word pair shared by all of them, so that its lists are long."""
     rng = random.Random(2)
     rows = [(i, "\n".join(f"entry number {rng.randrange(60)} is {'very ' * rng.randint(0, 1)}done {rng.randrange(9)} times now" for _ in range(3))) for i in range(60)]
     assert decisions(spark, rows) == brute(rows)
