@@ -9,8 +9,14 @@ a word stay.
 2. Equal token sets are one class; its first line stands for it. Copies therefore cost one row for each task.
 3. Each class posts the tokens of its prefix (n - ceil(t n) + 1 rarest). Inside a token's list, sorted by size,
    classes are compared only where sizes and prefix positions still allow the overlap if this is the first
-   token they share. A 64-bit parity bitmap bounds the symmetric difference from below.
-4. What is left is verified on the full token sets of the first lines.
+   token they share. A 64-bit parity bitmap bounds the symmetric difference from below. A list keeps the
+   classes that meet a candidate, never the pairs.
+4. What is kept meets again with the earlier tokens at which a class was kept: a pair belongs to its first
+   common one alone, so it is looked at once.
+5. The lists that are left get the full token sets and verify their pairs in place. They give numbers of links,
+   not pairs: a group of near copies costs rows in proportion to its members.
+
+Lists of more than LIST_ROWS postings are cut into blocks and compared block with block.
 
 Nothing is capped or sampled. Rows with a null id take no part and stay as they are; null texts have no
 lines; rows that share an id count as the same document and get the same decisions.
@@ -22,14 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.llm import bytewords as bw
-from evispark.llm.tables import key_filter, may_hold, written
+from evispark.llm.tables import broadcast_if_small, key_filter, may_hold, written
 
 #: Counters of step 1 (a power of two): 256 KB of levels at the driver, 2 MB of counts in a task, whatever the input.
 RARITY_BITS = 18
+#: Postings of a list, or of one of its blocks, that a task compares with each other.
+LIST_ROWS = 1 << 14
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[10] = True
 _HASH42 = np.uint64((1 << 42) - 1)
@@ -138,18 +147,95 @@ def _pairs_in(token, n, pos, cls, bitmap, percent):
         at = to
 
 
-def _matches(percent: int):
+def _whole_lists(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[pa.Table]:
+    """Rows sorted by list, in tables that hold whole lists and about ``least`` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < least:
+            continue
+        rows = pa.Table.from_batches(held)
+        key = rows.column("list").to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield rows.slice(0, cut)
+        held = rows.slice(cut).to_batches()
+    held = [b for b in held if b.num_rows]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _indexed(column: pa.ChunkedArray):
+    """Each row's values as numbers below their count: (numbers, start, size, marks to work with)."""
+    lists = column.combine_chunks()
+    size = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    values, number = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    return number, np.cumsum(size) - size, size, np.zeros(len(values), bool)
+
+
+def _overlaps(i: np.ndarray, j: np.ndarray, sets) -> np.ndarray:
+    """Sizes of the intersections of rows i[k] and j[k]; i ascends, and works through its partners at once."""
+    number, start, size, mark = sets
+    out, volume = np.zeros(len(i), np.int64), np.cumsum(size[j]) >> 22
+    cuts = np.flatnonzero((i[1:] != i[:-1]) | (volume[1:] != volume[:-1])) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)], strict=True):
+        if a == b:
+            continue
+        own = number[start[i[a]] : start[i[a]] + size[i[a]]]
+        k = size[j[a:b]]
+        ends = np.cumsum(k)
+        if len(own) and ends[-1]:
+            mark[own] = True
+            hits = np.zeros(ends[-1] + 1, np.int64)
+            np.cumsum(mark[number[np.repeat(start[j[a:b]] - ends + k, k) + np.arange(ends[-1])]], out=hits[1:])
+            out[a:b] = hits[ends] - hits[ends - k]
+            mark[own] = False
+    return out
+
+
+def _candidates(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that pass all filters in their list and, where earlier tokens are known, share none of these."""
+    key, n, pos, cls, bitmap, block = (rows.column(c).to_numpy() for c in ("list", "n", "pos", "cls", "bitmap", "block"))
+    across = (key & 0xFFFF) != ((key >> 16) & 0xFFFF)
+    earlier = _indexed(rows.column("earlier")) if "earlier" in rows.column_names else None
+    for i, j in _pairs_in(key, n.astype(np.int64), pos.astype(np.int64), cls, bitmap.view(np.uint64), percent):
+        ok = ~across[i] | (block[i] != block[j])
+        i, j = i[ok], j[ok]
+        if earlier is not None and len(i):
+            ok = _overlaps(i, j, earlier) == 0
+            i, j = i[ok], j[ok]
+        if len(i):
+            yield i, j
+
+
+def _met(percent: int):
+    """The rows that have a candidate in their list."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        rows = pa.Table.from_batches(parts)
-        token, n, pos, cls, bitmap = (rows.column(c).to_numpy() for c in ("token", "n", "pos", "cls", "bitmap"))
-        order = np.lexsort((n, token))
-        token, n, pos, cls, bitmap = token[order], n[order].astype(np.int64), pos[order].astype(np.int64), cls[order], bitmap[order].view(np.uint64)
-        for i, j in _pairs_in(token, n, pos, cls, bitmap, percent):
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], ["a", "b"])
+        for rows in _whole_lists(batches):
+            met = np.zeros(rows.num_rows, bool)
+            for i, j in _candidates(rows, percent):
+                met[i] = met[j] = True
+            yield from rows.filter(pa.array(met)).to_batches()
+
+    return run
+
+
+def _links(percent: int):
+    """The number of verified links to earlier classes, for each list and class that has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_lists(batches):
+            sets, links = _indexed(rows.column("tokens")), np.zeros(rows.num_rows, np.int64)
+            n, doc, line = sets[2], rows.column("id").to_numpy(), rows.column("line").to_numpy()
+            for i, j in _candidates(rows, percent):
+                shared = _overlaps(i, j, sets)
+                ok = 100 * shared >= percent * (n[i] + n[j] - shared)
+                i, j = i[ok], j[ok]
+                later = np.where((doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j])), i, j)
+                links += np.bincount(later, minlength=len(links))
+            some = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([rows.column("cls").combine_chunks().take(pa.array(some)), pa.array(links[some])], ["cls", "links"])
 
     return run
 
@@ -180,6 +266,23 @@ def rarity_table(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def _in_lists(posted: DataFrame) -> DataFrame:
+    """(cls, n, bitmap, pos, list, block): list is the token and two numbers of blocks, 0 unless the token's list is long.
+
+    A posting of a long list goes to every pair of blocks that has its own.
+    """
+    counts = posted.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > LIST_ROWS)
+    longs = written(counts.select("token", F.least(F.ceil(F.col("rows") / LIST_ROWS), F.lit(0xFFFF)).cast("int").alias("blocks")), "long-lists")
+    many = longs.count()
+    key = F.shiftleft(F.col("token").cast("long"), 32)
+    if not many:
+        return posted.select("cls", "n", "bitmap", "pos", key.alias("list"), F.lit(0).alias("block"))
+    cut = posted.join(broadcast_if_small(longs, many), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = F.shiftleft(F.least("block", "other").cast("long"), 16).bitwiseOR(F.greatest("block", "other").cast("long"))
+    return cut.select("cls", "n", "bitmap", "pos", key.bitwiseOR(both).alias("list"), "block")
+
+
 def line_decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """(doc_id, n_lines, n_removed, n_links, removed_lines) for each id that has a line with a word.
 
@@ -189,21 +292,20 @@ def line_decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     table = docs.sparkSession.sparkContext.broadcast(rarity_table(texts))
     lines = written(texts.mapInArrow(_lines(table, percent), "id long, line int, cls long, n int, bitmap long, prefix array<int>"), "lines")
-    posted = lines.where(F.size("prefix") > 0).select("cls", "n", "bitmap", F.posexplode("prefix").alias("pos", "token"))
-    found = posted.repartition("token").mapInArrow(_matches(percent), "a long, b long")
-    pairs = written(found.distinct(), "candidates")
+    posted = _in_lists(lines.where(F.size("prefix") > 0).select("cls", "n", "bitmap", F.posexplode("prefix").alias("pos", "token")))
+    columns = "cls long, n int, bitmap long, pos int, list long, block int"
+    by_list = lambda df: df.repartition("list").sortWithinPartitions("list", "n")
+    kept = written(by_list(posted).mapInArrow(_met(percent), columns), "kept")
+    of_class = kept.groupBy("cls").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.collect_set(F.struct("pos", "list", "block")).alias("at"))
+    before = F.transform(F.filter("at", lambda x: x["pos"] < F.col("here.pos")), lambda x: F.shiftright(x["list"], 32).cast("int"))
+    again = of_class.withColumn("here", F.explode("at")).select("cls", "n", "bitmap", "here.pos", "here.list", "here.block", before.alias("earlier"))
+    kept = written(by_list(again).mapInArrow(_met(percent), f"{columns}, earlier array<int>"), "kept-once")
     first = written(lines.groupBy("cls").agg(F.min(F.struct("id", "line")).alias("first")), "first-lines")
-    # classes are hashes: the scan drops the lines that no pair wants, so no text is shuffled
-    wanted = key_filter(pairs.select(F.explode(F.array("a", "b"))))
-    sets = texts.select("text").mapInArrow(_tokens_of(table, wanted), "cls long, tokens array<long>").dropDuplicates(["cls"])
-    side = lambda c: sets.select(F.col("cls").alias(c), F.col("tokens").alias(f"{c}_tokens"))
-    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    similar = 100 * shared >= percent * (F.size("a_tokens") + F.size("b_tokens") - shared)
-    links = written(pairs.join(side("a"), "a").join(side("b"), "b").where(similar).select("a", "b"), "links")
-    place = lambda c: first.select(F.col("cls").alias(c), F.col("first").alias(f"{c}_first"))
-    placed = links.join(place("a"), "a").join(place("b"), "b")
-    later = placed.select(F.when(F.col("a_first") > F.col("b_first"), F.col("a")).otherwise(F.col("b")).alias("cls"))
-    later = written(later.groupBy("cls").agg(F.count("*").alias("links")), "later-classes")
+    # classes are hashes: the scan drops the lines that no list wants, so no text is shuffled
+    sets = texts.select("text").mapInArrow(_tokens_of(table, key_filter(kept.select("cls").distinct())), "cls long, tokens array<long>").dropDuplicates(["cls"])
+    full = kept.join(first.select("cls", "first.id", "first.line"), "cls").join(sets, "cls")
+    later = by_list(full).mapInArrow(_links(percent), "cls long, links long")
+    later = written(later.groupBy("cls").agg(F.sum("links").alias("links")), "later-classes")
     fate = first.join(later, "cls", "left")
     placed = lines.select("id", "line", "cls").join(fate, "cls").select("id", "line", F.coalesce("links", F.lit(0)).alias("links"), (F.col("links").isNotNull() | (F.struct("id", "line") != F.col("first"))).alias("gone"))
     sets = placed.groupBy(F.col("id").alias("doc_id")).agg(F.collect_set("line").alias("all"), F.collect_set(F.when(F.col("gone"), F.col("line"))).alias("out"), F.sum("links").alias("n_links"))

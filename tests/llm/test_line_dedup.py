@@ -56,6 +56,24 @@ def test_long_lists_equal_brute_force(spark):
     assert decisions(spark, rows) == brute(rows)
 
 
+def test_lists_cut_into_blocks_equal_brute_force(spark, monkeypatch):
+    """With blocks of 16 postings every common token's list is cut; decisions and links stay the same."""
+    rows = corpus(4, 120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(line_dedup.line_decisions(docs).collect())
+    monkeypatch.setattr(line_dedup, "LIST_ROWS", 16)
+    cut = sorted(line_dedup.line_decisions(docs).collect())
+    assert cut == whole
+    assert {r.doc_id: r.removed_lines for r in cut} == brute(rows)
+
+
+def test_links_count_every_pair_of_different_sets_once(spark):
+    """A group of near copies: each of 40 differs from the others in one word, all pairs are similar."""
+    rows = [(i, " ".join(f"w{k}" for k in range(20)) + f" own{i}") for i in range(40)] + [(99, "own3 " + " ".join(f"W{k}" for k in range(20)))]
+    got = {r.doc_id: r.n_links for r in line_dedup.line_decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: i for i in range(40)}, 99: 3}
+
+
 def test_pairs_pass_all_filters_that_brute_force_needs():
     """No qualifying pair is lost by the prefix, length and positional filters, whatever the token order."""
     rng = np.random.default_rng(3)
