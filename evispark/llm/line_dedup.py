@@ -11,19 +11,21 @@ a word stay.
    classes are compared only where sizes and prefix positions still allow the overlap if this is the first
    token they share. A 64-bit parity bitmap bounds the symmetric difference from below. A list keeps the
    classes that meet a candidate, never the pairs.
-4. What is kept meets again with the earlier tokens at which a class was kept: a pair belongs to its first
-   common one alone, so it is looked at once.
+4. What is kept meets again with a bitmap of 256 bits (64 say little of long lines) and with the earlier tokens
+   at which a class was kept: a pair belongs to its first common one alone, so it is looked at once.
 5. The lists that are left get the full token sets and verify their pairs in place. They give numbers of links,
    not pairs: a group of near copies costs rows in proportion to its members.
 
 Lists of more than LIST_ROWS postings are cut into blocks and compared block with block.
 
+Words are compared by their hashes: 42 bits in classes, 40 in the sets that verify.
 Nothing is capped or sampled. Rows with a null id take no part and stay as they are; null texts have no
 lines; rows that share an id count as the same document and get the same decisions.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +41,11 @@ from evispark.llm.tables import broadcast_if_small, key_filter, may_hold, writte
 RARITY_BITS = 18
 #: Postings of a list, or of one of its blocks, that a task compares with each other.
 LIST_ROWS = 1 << 14
+#: Bytes of a word's hash in the sets that verify pairs.
+SET_BYTES = 5
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[10] = True
+WIDE = ("w0", "w1", "w2", "w3")
 _HASH42 = np.uint64((1 << 42) - 1)
 
 
@@ -103,7 +108,19 @@ def _fresh(cls: np.ndarray, seen: set[int], most: int = 400_000) -> np.ndarray:
     return fresh
 
 
-def _lines(table, percent: int):
+def _bitmaps(tokens: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Parity bitmaps of 256 bits, in four parts; their exclusive or is a bitmap of 64 bits."""
+    h = bw.mix64(tokens & _HASH42)
+    bit, part = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(3)
+    return [np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), first) for k in range(len(WIDE))]
+
+
+def _level(count: int) -> int:
+    """The rarity of a counter: 0 (rare) to 63."""
+    return min(63, math.floor(2 * math.log2(count + 1)))
+
+
+def _lines(table, percent: int, common: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity, seen = table.value, set()
         for batch in batches:
@@ -111,14 +128,15 @@ def _lines(table, percent: int):
                 ids = batch.column(0).slice(a, b - a)
                 for row, number, n, first, tokens in token_sets(batch.column(1).slice(a, b - a), rarity):
                     cls = _class_of(tokens, first)
-                    bitmap = np.bitwise_xor.reduceat(np.uint64(1) << (bw.mix64(tokens & _HASH42) & np.uint64(63)), first)
+                    wide = _bitmaps(tokens, first)
+                    rare = np.add.reduceat((tokens >> np.uint64(42)) < common, first, dtype=np.int32)
                     p = np.where(_fresh(cls, seen), _prefix(n, percent), 0)
                     at = np.repeat(first - np.cumsum(p) + p, p) + np.arange(p.sum())
                     offsets = np.zeros(len(p) + 1, np.int32)
                     np.cumsum(p, out=offsets[1:])
                     prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array((tokens[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
-                    arrays = [ids.take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(cls), pa.array(n.astype(np.int32)), pa.array(bitmap.view(np.int64)), prefix]
-                    yield pa.RecordBatch.from_arrays(arrays, ["id", "line", "cls", "n", "bitmap", "prefix"])
+                    arrays = [ids.take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(cls), pa.array(n.astype(np.int32)), pa.array(rare), *(pa.array(w.view(np.int64), mask=p == 0) for w in wide), prefix]
+                    yield pa.RecordBatch.from_arrays(arrays, ["id", "line", "cls", "n", "rare", *WIDE, "prefix"])
 
     return run
 
@@ -166,10 +184,16 @@ def _whole_lists(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Ite
 
 
 def _indexed(column: pa.ChunkedArray):
-    """Each row's values as numbers below their count: (numbers, start, size, marks to work with)."""
+    """Each row's values (of an array, or SET_BYTES each) as numbers below their count: (numbers, start, size, marks to work with)."""
     lists = column.combine_chunks()
-    size = pc.list_value_length(lists).to_numpy().astype(np.int64)
-    values, number = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    if pa.types.is_binary(lists.type):
+        ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
+        flat = np.zeros(((ends[-1] - ends[0]) // SET_BYTES, 8), np.uint8)
+        flat[:, :SET_BYTES] = np.frombuffer(lists.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, SET_BYTES)
+        flat, size = flat.view(np.uint64)[:, 0], np.diff(ends).astype(np.int64) // SET_BYTES
+    else:
+        flat, size = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    values, number = np.unique(flat, return_inverse=True)
     return number, np.cumsum(size) - size, size, np.zeros(len(values), bool)
 
 
@@ -197,10 +221,16 @@ def _candidates(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.n
     """Pairs of rows that pass all filters in their list and, where earlier tokens are known, share none of these."""
     key, n, pos, cls, bitmap, block = (rows.column(c).to_numpy() for c in ("list", "n", "pos", "cls", "bitmap", "block"))
     across = (key & 0xFFFF) != ((key >> 16) & 0xFFFF)
+    n = n.astype(np.int64)
     earlier = _indexed(rows.column("earlier")) if "earlier" in rows.column_names else None
-    for i, j in _pairs_in(key, n.astype(np.int64), pos.astype(np.int64), cls, bitmap.view(np.uint64), percent):
+    wide = [rows.column(c).to_numpy().view(np.uint64) for c in WIDE if c in rows.column_names]
+    for i, j in _pairs_in(key, n, pos.astype(np.int64), cls, bitmap.view(np.uint64), percent):
         ok = ~across[i] | (block[i] != block[j])
         i, j = i[ok], j[ok]
+        if wide:
+            apart = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in wide)
+            ok = apart <= n[i] + n[j] - 2 * _need(n[i], n[j], percent)
+            i, j = i[ok], j[ok]
         if earlier is not None and len(i):
             ok = _overlaps(i, j, earlier) == 0
             i, j = i[ok], j[ok]
@@ -216,7 +246,7 @@ def _met(percent: int):
             met = np.zeros(rows.num_rows, bool)
             for i, j in _candidates(rows, percent):
                 met[i] = met[j] = True
-            yield from rows.filter(pa.array(met)).to_batches()
+            yield from rows.drop_columns([c for c in WIDE if c in rows.column_names]).filter(pa.array(met)).to_batches()
 
     return run
 
@@ -252,7 +282,9 @@ def _tokens_of(table, held):
                     offsets = np.zeros(len(n) + 1, np.int32)
                     np.cumsum(n, out=offsets[1:])
                     at = np.repeat(first - offsets[:-1], n) + np.arange(n.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(cls), pa.ListArray.from_arrays(pa.array(offsets), pa.array((tokens[at] & _HASH42).view(np.int64)))], ["cls", "tokens"])
+                    flat = np.ascontiguousarray(tokens[at].view(np.uint8).reshape(-1, 8)[:, :SET_BYTES])
+                    sets = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets * np.int32(SET_BYTES)), pa.py_buffer(flat)])
+                    yield pa.RecordBatch.from_arrays([pa.array(cls), sets], ["cls", "tokens"])
 
     return run
 
@@ -266,12 +298,16 @@ def rarity_table(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _in_lists(posted: DataFrame) -> DataFrame:
+def _in_lists(lines: DataFrame) -> DataFrame:
     """(cls, n, bitmap, pos, list, block): list is the token and two numbers of blocks, 0 unless the token's list is long.
 
-    A posting of a long list goes to every pair of blocks that has its own.
+    A posting of a long list goes to every pair of blocks that has its own. Only words that the corpus has more
+    than LIST_ROWS times (from place ``rare`` on) can have one, so only their postings are counted.
     """
-    counts = posted.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > LIST_ROWS)
+    bitmap = F.col("w0").bitwiseXOR(F.col("w1")).bitwiseXOR(F.col("w2")).bitwiseXOR(F.col("w3"))
+    posted = lines.where(F.size("prefix") > 0).select("cls", "n", bitmap.alias("bitmap"), "rare", F.posexplode("prefix").alias("pos", "token"))
+    common = lines.where(F.size("prefix") > F.col("rare")).select(F.explode(F.expr("slice(prefix, rare + 1, size(prefix))")).alias("token"))
+    counts = common.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > LIST_ROWS)
     longs = written(counts.select("token", F.least(F.ceil(F.col("rows") / LIST_ROWS), F.lit(0xFFFF)).cast("int").alias("blocks")), "long-lists")
     many = longs.count()
     key = F.shiftleft(F.col("token").cast("long"), 32)
@@ -291,18 +327,19 @@ def line_decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     table = docs.sparkSession.sparkContext.broadcast(rarity_table(texts))
-    lines = written(texts.mapInArrow(_lines(table, percent), "id long, line int, cls long, n int, bitmap long, prefix array<int>"), "lines")
-    posted = _in_lists(lines.where(F.size("prefix") > 0).select("cls", "n", "bitmap", F.posexplode("prefix").alias("pos", "token")))
+    words = ", ".join(f"{w} long" for w in WIDE)
+    lines = written(texts.mapInArrow(_lines(table, percent, _level(LIST_ROWS)), f"id long, line int, cls long, n int, rare int, {words}, prefix array<int>"), "lines")
     columns = "cls long, n int, bitmap long, pos int, list long, block int"
     by_list = lambda df: df.repartition("list").sortWithinPartitions("list", "n")
-    kept = written(by_list(posted).mapInArrow(_met(percent), columns), "kept")
+    kept = written(by_list(_in_lists(lines)).mapInArrow(_met(percent), columns), "kept")
     of_class = kept.groupBy("cls").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.collect_set(F.struct("pos", "list", "block")).alias("at"))
+    wide = lines.where(F.col("w0").isNotNull()).groupBy("cls").agg(*(F.max(w).alias(w) for w in WIDE))
     before = F.transform(F.filter("at", lambda x: x["pos"] < F.col("here.pos")), lambda x: F.shiftright(x["list"], 32).cast("int"))
-    again = of_class.withColumn("here", F.explode("at")).select("cls", "n", "bitmap", "here.pos", "here.list", "here.block", before.alias("earlier"))
+    again = of_class.join(wide, "cls").withColumn("here", F.explode("at")).select("cls", "n", "bitmap", "here.pos", "here.list", "here.block", *WIDE, before.alias("earlier"))
     kept = written(by_list(again).mapInArrow(_met(percent), f"{columns}, earlier array<int>"), "kept-once")
     first = written(lines.groupBy("cls").agg(F.min(F.struct("id", "line")).alias("first")), "first-lines")
     # classes are hashes: the scan drops the lines that no list wants, so no text is shuffled
-    sets = texts.select("text").mapInArrow(_tokens_of(table, key_filter(kept.select("cls").distinct())), "cls long, tokens array<long>").dropDuplicates(["cls"])
+    sets = texts.select("text").mapInArrow(_tokens_of(table, key_filter(kept.select("cls").distinct())), "cls long, tokens binary").dropDuplicates(["cls"])
     full = kept.join(first.select("cls", "first.id", "first.line"), "cls").join(sets, "cls")
     later = by_list(full).mapInArrow(_links(percent), "cls long, links long")
     later = written(later.groupBy("cls").agg(F.sum("links").alias("links")), "later-classes")
