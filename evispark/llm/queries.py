@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.llm import decontaminate, html_text, language, line_dedup, near_dup, neighbours, piece_model, token_counts, token_records, toxicity
-from evispark.llm.tables import shared_folder
+from evispark.llm.tables import bound_batches, shared_folder
 
 
 def vocabulary(name: str) -> str:
@@ -19,7 +19,7 @@ def vocabulary(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bound_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:

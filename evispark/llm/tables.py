@@ -21,9 +21,19 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/") + "/evispark"
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers; the default, 10,000 rows, says nothing of long texts.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """From now on the session's Arrow batches have BATCH_BYTES at most (or one row)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, and outlives any executor."""
-    spark = df.sparkSession
+    spark = bound_batches(df.sparkSession)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
