@@ -16,6 +16,19 @@ from evispark.functions import text as tx
 BROADCAST_TERMS = 50_000
 #: Fixed values of the BM25 ranking function.
 K1, B = 1.2, 0.75
+#: English, Spanish and Portuguese words (without accents) that say nothing of a question's subject.
+STOP_WORDS = frozenset(
+    (
+        "a about after al algo alguem alguien all also am an and ante any anyone ao aos aquel are as at aunque bajo be because been before being best better between both but by cada can cause caused "
+        "causes com como compare comparison con contra could cual cuales cuando da das de debe deberia debo del describe desde detail details deve devo did difference differences do does doing donde "
+        "dos durante during e each el em en entre es esa esas ese esos esta estar estas esto estos explain faca faco faz fazer for from fue fueron give hace hacemos hacer haces hacia had haga hagan "
+        "hago happen happened happens has hasta have having hay he her here him his how i if in into is it its just know la las le les like lo los mais me mean means meant mediante menos mi mis misma "
+        "mismo more most much muito muy my na nas no nos not nuestra nuestro nunca o of on onde or os other otra otras otro otros our overview para pero please pode por porque posso puede puedo pues "
+        "quais qual quando que quien same se sem ser she should show si siempre sin sino so sobre some somebody someone something son su such summarize summary sus tampoco tan tanto te tell than that "
+        "the their them then there these they thing things this those through tiene tienen to toda todas todo todos too tras tu tus um uma umas un una unas under unos uns up us versus very vs want "
+        "was we were what when where which while who whom whose why will with work works would y ya you your"
+    ).split()
+)
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -31,6 +44,28 @@ def query_terms(queries: DataFrame, q_col: str, text_col: str, most: int = 12) -
     return queries.select(F.col(q_col).alias("q"), F.explode(tokens).alias("term"))
 
 
+def content_terms(queries: DataFrame, q_col: str, text_col: str, most: int = 12) -> DataFrame:
+    """(q, term, key): what to look for, for the first ``most`` content words of each query.
+
+    Stop words and single characters are no content, nor is a word of which a form (itself, its singulars) was
+    seen before. A term has a key "=form" for each form, and "^start" if it is long enough for a prefix.
+    """
+    forms = lambda t: F.concat(F.array(t), tx.singular_forms(t))
+    stop = F.array(*[F.lit(w) for w in sorted(STOP_WORDS)])
+    words = F.filter(tx.tokens(F.col(text_col)), lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
+    none = F.array().cast("array<string>")
+
+    def step(state: Column, t: Column) -> Column:
+        known = (F.size(state["terms"]) >= most) | F.arrays_overlap(state["seen"], forms(t))
+        return F.when(known, state).otherwise(F.struct(F.array_union(state["seen"], forms(t)).alias("seen"), F.array_append(state["terms"], t).alias("terms")))
+
+    chosen = F.aggregate(F.array_distinct(words), F.struct(none.alias("seen"), none.alias("terms")), step)["terms"]
+    terms = queries.select(F.col(q_col).alias("q"), F.explode(chosen).alias("term"))
+    start = tx.prefix_form(F.col("term"))
+    keys = F.concat(F.transform(forms(F.col("term")), lambda f: F.concat(F.lit("="), f)), F.when(start.isNotNull(), F.array(F.concat(F.lit("^"), start))).otherwise(none))
+    return terms.select("q", "term", F.explode(keys).alias("key"))
+
+
 def _small(terms: DataFrame) -> DataFrame:
     return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
 
@@ -44,11 +79,32 @@ def bm25(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataF
     wanted = _small(terms.select("term").distinct())
     hits = postings(docs, id_col, text_col).join(wanted, "term")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(size.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(size.avg_len or 1.0)))
+    weight = _bm25_weight(size.n_docs, size.avg_len)
     return hits.join(df, "term").join(_small(terms), "term").groupBy("q", "doc").agg(F.sum(weight).alias("score"), F.count("*").alias("matched"))
 
 
+def _bm25_weight(n_docs: int, avg_len: float | None) -> Column:
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(avg_len or 1.0)))
+
+
+def bm25_content(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(q, doc, score, matched): BM25 over the keys of ``content_terms``, each a term of its own; ``matched`` counts words.
+
+    Every token gives its "=" key and one "^" key for each length of prefix that is asked for, so that forms and
+    prefixes are found by one equi-join; keys that nobody asks for are dropped before the shuffle.
+    """
+    size = docs.select(F.size(tx.tokens(F.col(text_col))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len")).first()
+    lengths = sorted(r.n for r in terms.where(F.col("key").startswith("^")).select((F.length("key") - 1).alias("n")).distinct().collect())
+    tokens = docs.select(F.col(id_col).alias("doc"), tx.tokens(F.col(text_col)).alias("tokens")).select("doc", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("token"))
+    starts = [F.when(F.length("token") >= n, F.concat(F.lit("^"), F.substring("token", 1, n))) for n in lengths]
+    keys = tokens.select("doc", "doc_len", F.explode(F.array_compact(F.array(F.concat(F.lit("="), F.col("token")), *starts))).alias("key"))
+    hits = keys.join(_small(terms.select("key").distinct()), "key").groupBy("doc", "doc_len", "key").agg(F.count("*").alias("tf"))
+    df = hits.groupBy("key").agg(F.count("*").alias("df"))
+    found = hits.join(df, "key").join(_small(terms), "key").groupBy("q", "doc")
+    return found.agg(F.sum(_bm25_weight(size.n_docs, size.avg_len)).alias("score"), F.countDistinct("term").alias("matched"))
+
+
 def field_weighted_tf(docs: DataFrame, terms: DataFrame, id_col: str, title_col: str, body_col: str) -> DataFrame:
     """(q, doc, score): twice the matches in the title plus those in the body; documents without one are left out."""
     sides = [docs.select(F.col(id_col).alias("doc"), F.lit(w).alias("weight"), F.explode(tx.tokens(F.col(c))).alias("term")) for c, w in ((title_col, 2), (body_col, 1))]

@@ -49,6 +49,14 @@ def h_coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rk.coverage_gate(found, terms).select("q", "doc", "matched")
 
 
+@query()
+def h_content_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole query builder: content words with their forms and prefixes, BM25, coverage gate, best ten."""
+    terms = rk.content_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    found = rk.bm25_content(table(spark, sf_dir, "documents"), terms, "doc_id", "text").withColumn("score", F.round("score", 6))
+    return rk.top_k(rk.coverage_gate(found, terms.select("q", "term").distinct()), 10).select("q", "doc", "score", "matched", "rank")
+
+
 @query(f"""
 WITH {_TERMS}, parts AS (
   SELECT doc_id AS doc, 2 AS weight, unnest({sql_tokens("split_part(text, chr(10), 1)")}) AS term FROM documents
