@@ -1,8 +1,9 @@
 r"""Main text of web pages by composite text density.
 
 The page becomes a small DOM (unclosed p, li, td and the like are closed as browsers do). Scripts, styles,
-forms and parts that their tag, role, class or id names as menus, headers, footers, sidebars, notices, adverts
-or reader comments take no part. For every node, with C characters, T tags, LC characters and LT tags in links
+and parts that their tag or role names as menus, headers, footers, asides or dialogs take no part; nor do forms and
+parts that a word of class or id names as such, notices, adverts or reader comments, unless they hold the page's
+text (``_give_back``). For every node, with C characters, T tags, LC characters and LT tags in links
 (LCb and Cb: those of the body),
 
     density = C/T * log_{ln(C LC / (C - LC) + LCb C / Cb + e)}(C/LC * T/LT)     (zero denominators count as 1)
@@ -41,44 +42,53 @@ CLOSES = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
 }
 #: Elements, roles and words of class or id whose content is no article text.
-SKIP = frozenset("script style noscript iframe noembed noframes textarea title head template svg canvas object nav aside footer form button select datalist menu dialog input label".split())
-SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+SKIP = frozenset("script style noscript iframe noembed noframes textarea title head template svg canvas object nav aside footer button select datalist menu dialog input label".split())
+SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 SKIP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar sidebars aside nav navbar navigation menu menus breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup footer masthead pagination pager widget widgets toolbar login search".split()
 )
+#: Of them, those of reader comments, which alone can be longer than what they are about.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: In one class name with such a word they say what the page has ("has-sidebar", "comments-open"), not what the part is.
+STATE_WORDS = frozenset("has have with without no not enabled disabled open opened closed".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+_WHOLE = frozenset("article main".split())
+
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total", "most", "best")
-
-    def __init__(self, tag: str, parent: "Node | None", skip: bool = False):
-        self.tag, self.parent, self.skip, self.children = tag, parent, skip, []
-
-
-def _named_skip(tag: str, attributes: str, parent: "Node") -> bool:
-    if tag in SKIP:
-        return True
-    if tag == "header" and not _inside(parent, ("article", "main")):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        wanted = ("hidden", "role") if attributes else ()
-    else:
-        wanted = ("class", "id", "role", "hidden", "aria-hidden")
-    if not wanted:
-        return False
+    __slots__ = ("tag", "parent", "children", "skip", "name", "running", "chars", "tags", "link_chars", "link_tags", "density", "total", "most", "best")
+
+    def __init__(self, tag: str, parent: "Node | None", skip: bool = False, name: str | None = None):
+        self.tag, self.parent, self.skip, self.name, self.children = tag, parent, skip or name is not None and tag not in _WHOLE, name, []
+
+
+def _named(tag: str, attributes: str, parent: "Node") -> tuple[bool, str | None]:
+    """Whether the element is never text, and the name that makes it a part beside the text, if any."""
+    if tag in SKIP or tag == "header" and not _inside(parent, ("article", "main")):
+        return True, None
+    found = "form" if tag == "form" else None
+    if not attributes:
+        return False, found
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name not in wanted and not (tag == "article" and name in ("class", "id")):
+        if name == "hidden" and tag not in ("html", "body"):
+            return True, None
+        if tag in ("html", "body"):
             continue
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+        if name == "aria-hidden" and value.lower() == "true" and tag not in _WHOLE:
+            return True, None
         if name == "role" and value.lower() in SKIP_ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in SKIP_WORDS for w in _WORD.findall(value)):
-            return True
-    return False
+            return True, None
+        if name == "role" and value.lower() == "form":
+            found = found or "form"
+        if name in ("class", "id"):
+            for part in value.split():
+                words = [w.lower() for w in _WORD.findall(part)]
+                if not STATE_WORDS.intersection(words):
+                    found = found or next((w for w in words if w in SKIP_WORDS), None)
+    return False, found
 
 
 def _inside(node: "Node | None", tags: tuple[str, ...]) -> bool:
@@ -135,7 +145,7 @@ def parse(page: str) -> Node:
                 if node.tag in closed:
                     at = node.parent
                 node = node.parent
-        node = Node(tag, at, _named_skip(tag, match[3], at))
+        node = Node(tag, at, *_named(tag, match[3], at))
         at.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, position)
@@ -158,6 +168,66 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
+def _give_back(root: Node) -> None:
+    """Lets named parts take part that hold the page's text.
+
+    A part, or all parts of one name together, is text if it holds more than half of the characters outside links
+    and reader comments, unless an article or main element beside named parts has a quarter as many and it has none.
+    Reader comments are text if nothing else is.
+    """
+    nodes, open_nodes = [], [root]
+    while open_nodes:
+        node = open_nodes.pop()
+        nodes.append(node)
+        open_nodes.extend(c for c in reversed(node.children) if not isinstance(c, str) and (not c.skip or c.name))
+    named = [n for n in nodes if n.skip]
+    if not named:
+        return
+    whole = [n for n in nodes if n.tag in _WHOLE]
+    holds: set[int] = set()
+    for node in whole:
+        while node is not None and id(node) not in holds and (node.tag not in _WHOLE or node.name not in COMMENT_WORDS):
+            holds.add(id(node))
+            node = node.parent
+    comments = {id(n) for n in named if n.name in COMMENT_WORDS and id(n) not in holds}
+    for node in reversed(nodes):
+        node.running = 0
+        if node.tag != "a":
+            node.running = sum(len(" ".join(c.split())) if isinstance(c, str) else c.running for c in node.children if isinstance(c, str) or (not c.skip or c.name) and id(c) not in comments)
+    if not root.running:
+        for node in named:
+            node.skip = node.skip and id(node) not in comments
+        return
+    within = _within(nodes)
+    beside = max((w.running for w in whole if id(w) not in within), default=0)
+
+    def text(parts: list[Node]) -> bool:
+        running = sum(n.running for n in parts)
+        return 2 * running > root.running and (4 * beside < running or any(id(n) in holds for n in parts))
+
+    groups: dict[str, list[Node]] = {}
+    for node in named:
+        if id(node) not in comments and text([node]):
+            node.skip = False
+    within = _within(nodes)
+    for node in named:
+        if node.skip and id(node) not in comments and id(node.parent) not in within:
+            groups.setdefault(node.name, []).append(node)
+    for parts in groups.values():
+        if text(parts):
+            for node in parts:
+                node.skip = False
+
+
+def _within(nodes: list[Node]) -> set[int]:
+    """Of nodes in page order, those in a part that takes no part, with the part itself."""
+    out: set[int] = set()
+    for node in nodes:
+        if node.skip or id(node.parent) in out:
+            out.add(id(node))
+    return out
+
+
 def _measure(nodes: list[Node], root: Node) -> None:
     for node in reversed(nodes):
         chars = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
@@ -263,6 +333,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _give_back(root)
     nodes = _walk(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     _measure(nodes, body)
