@@ -11,7 +11,8 @@ text (``_give_back``). For every node, with C characters, T tags, LC characters
 and its density sum is that of its children. The node of the greatest density sum is the text's root; the
 least density on the path from it to the body is the threshold. From the body down, each node that reaches
 the threshold gives the node of the greatest density sum below it; siblings of a divided article are found
-that way. An article or main element around the chosen node is taken whole.
+that way. An article or main element around the chosen node is taken whole. Only article and main elements are
+kept if the text's root is one or they hold more than half of its characters.
 
 Text: character references decoded; white space inside a block becomes one space; blocks in page order,
 joined by one \n. A heading inside the article's own header belongs to the article. Null, empty and text-free
@@ -228,6 +229,12 @@ def _within(nodes: list[Node]) -> set[int]:
     return out
 
 
+def _path(node: "Node | None") -> Iterator[Node]:
+    while node is not None:
+        yield node
+        node = node.parent
+
+
 def _measure(nodes: list[Node], root: Node) -> None:
     for node in reversed(nodes):
         chars = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
@@ -282,9 +289,10 @@ def _choose(body: Node) -> list[Node]:
             pick = article or pick
             chosen.setdefault(id(pick), pick)
         open_nodes.extend(c for c in node.children if not isinstance(c, str) and not c.skip)
-    if any(n.tag in ("article", "main") for n in chosen.values()):
-        return [n for n in chosen.values() if n.tag in ("article", "main")]
-    return list(chosen.values())
+    whole = [n for n in chosen.values() if n.tag in _WHOLE]
+    root = next(iter(chosen.values()))  # the body's pick: the node of the greatest density sum or the article around it
+    inside = sum(n.chars for n in whole if any(a is root for a in _path(n)) and not any(a.tag in _WHOLE and id(a) in chosen for a in _path(n.parent)))
+    return whole if 2 * inside > root.chars else list(chosen.values())
 
 
 def _blocks(root: Node, allowed: set[int]) -> list[str]:
