@@ -97,7 +97,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = PENALTY) ->
 
     All texts advance together: step t treats the t-th word of every text that has one.
     """
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int32)
     order = np.argsort(-counts, kind="stable")
     begin = (np.cumsum(counts) - counts)[order]
     length = counts[order]
@@ -146,7 +146,7 @@ def _predict(shared, spans: bool):
                     votes = np.zeros((b - a, len(model.languages)), np.int64)
                     np.add.at(votes, (row[letters], label[letters]), 1)
                 else:
-                    label, votes = np.zeros(len(start), np.int8), np.zeros((b - a, 1), np.int64)
+                    label, votes = np.zeros(len(start), np.int32), np.zeros((b - a, 1), np.int64)
                 total = votes.sum(1)
                 ascii_letter = np.bincount(row, weights=np.maximum.reduceat(_ASCII[data], start) if len(start) else None, minlength=b - a) > 0
                 for r in np.flatnonzero((total > 0) & ~ascii_letter):  # lead bytes alone don't tell letters from signs
