@@ -11,7 +11,7 @@ digits, lower-cased. An item or window of fewer than five words is one shingle.
 2. Each window's words give a 64-bit SimHash. Its eight blocks of 8 bits are looked up in an index of
    the items' blocks with up to two bits flipped: by the pigeonhole principle that finds every item of the
    window's length within RADIUS = 23 bits. With equal weights a window of n words at 0.8 has at most n/9 other
-   words at an end, and each bit differs with a probability of arccos(8/9)/pi = 0.15 or less: of 430,000 simulated
+   words at an end, and each bit differs with a probability of arccos(8/9)/pi = 0.15 or less: of 380,000 simulated
    pairs at 0.80 to 0.84 one was over 23 bits. If only shingles of little weight differ, up to n/5 words may;
    of 40,000 pairs with 8 of 40 words changed 0.08 % were over it.
 3. Survivors within the radius are verified exactly.
