@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.llm import bytewords as bw
-from evispark.llm.pieces import PieceCache
+from evispark.llm.pieces import SLICE, PieceCache
 
 MARK = "▁"
 #: Fixed values of the format: kinds of pieces, kinds of models.
@@ -135,25 +135,18 @@ def _codec(path: str, threads: int):
     tokenizer, own = backend(model), sentencepiece.SentencePieceProcessor(model_proto=data)
 
     def encode(chunks: list[bytes]):
-        """Ids of each chunk (which starts with a space), then one value: 1 if they equal the sentencepiece library's."""
+        """Of each chunk (which starts with a space): its ids, its decoded bytes, and 1 if the sentencepiece library has the same ids."""
         texts = [c.decode()[1:] for c in chunks]
         ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if "" in texts:  # a lone space: an empty text has no ids, but this chunk has its marker
             mark = [own.piece_to_id(MARK)]
             ids = [i if t else mark for i, t in zip(ids, texts, strict=True)]
         theirs = own.encode(texts, num_threads=1)
-        return [[*i, int(i == j or not t)] for i, j, t in zip(ids, theirs, texts, strict=True)]
+        decoded = tokenizer.decode_batch(ids, skip_special_tokens=False)
+        same = [b"\1" if i == j or not t else b"\0" for i, j, t in zip(ids, theirs, texts, strict=True)]
+        return ids, [b" " + t.encode() for t in decoded], same
 
-    def both(chunks: list[bytes]):
-        made = encode(chunks)
-        texts = tokenizer.decode_batch([m[:-1] for m in made], skip_special_tokens=False)
-        # layout: ids, then the flag, then the decoded bytes, each shifted by a range of its own
-        return [[*(m[:-1]), _FLAG + m[-1], *(_BYTE + x for x in b" " + t.encode())] for m, t in zip(made, texts, strict=True)]
-
-    return PieceCache(both)
-
-
-_FLAG, _BYTE = 1 << 30, 1 << 31
+    return PieceCache(encode, (np.uint32, np.uint8, np.uint8))
 
 
 def chunks_of(column: pa.Array):
@@ -183,22 +176,18 @@ def _run(path: str, threads: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _codec(path, threads)
         for batch in batches:
-            for a, b in bw.slices(batch.column(1)):
+            for a, b in bw.slices(batch.column(1), SLICE):
                 column = batch.column(1).slice(a, b - a)
                 data, start, end, row, offsets = chunks_of(column)
-                values, counts = cache.look_up(data, start, end, bw.hash_spans(data, start, end))
-                rows = np.repeat(row, counts)
-                is_byte, is_flag = values >= _BYTE, (values >= _FLAG) & (values < _BYTE)
-                is_id = ~(is_byte | is_flag)
-                n = np.bincount(rows[is_id], minlength=b - a)
-                parity = np.bincount(rows[is_flag], weights=values[is_flag] == _FLAG, minlength=b - a) == 0
-                ids, ends = values[is_id].astype(np.int32), np.append(0, np.cumsum(n))
-                text, text_ends = (values[is_byte] - np.uint32(_BYTE)).astype(np.uint8), np.append(0, np.cumsum(np.bincount(rows[is_byte], minlength=b - a)))
+                (ids, n_ids), (text, n_bytes), (flag, _) = cache.look_up(data, start, end, bw.hash_spans(data, start, end))
+                n, size = (np.bincount(row, weights=c, minlength=b - a).astype(np.int64) for c in (n_ids, n_bytes))
+                parity = np.bincount(row, weights=flag == 0, minlength=b - a) == 0
+                ids, ends, text_ends = ids.astype(np.int32), np.append(0, np.cumsum(n)), np.append(0, np.cumsum(size))
                 begin = np.minimum(text_ends[:-1] + 1, text_ends[1:])  # without the space that marks the start
                 decoded = [text[s:e].tobytes() for s, e in zip(begin.tolist(), text_ends[1:].tolist(), strict=True)]
                 own = [data[s + 1 : e].tobytes() if e > s else b"" for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 same = pa.array([x == y for x, y in zip(decoded, own, strict=True)])
-                arrays = [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(parity), same]
+                arrays = [batch.column(0).slice(a, b - a), pa.array(n), pa.array(parity), same]
                 names = ["doc_id", "n_tokens", "parity", "round_trip"]
                 if digest:
                     crcs = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]

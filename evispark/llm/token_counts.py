@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from evispark.llm import bytewords as bw
 from evispark.llm.piece_model import MARK, NORMAL, UNUSED, USER, Model, chunks_of, parse
-from evispark.llm.pieces import PieceCache
+from evispark.llm.pieces import SLICE, PieceCache
 
 #: Fixed value of the tokenizer: what an unknown character costs beyond the lowest score.
 UNKNOWN_PENALTY = 10.0
@@ -78,16 +78,16 @@ def _cache(path: str) -> PieceCache:
     if model.charsmap or model.squeeze or not model.dummy_prefix or not model.chunked:
         raise ValueError("only models that keep white space, mark the start and chunk at spaces can be cached by chunk")
     count = counter(model)
-    return PieceCache(lambda chunks: [[count(c.decode().replace(" ", MARK))] for c in chunks])
+    return PieceCache(lambda chunks: [[[count(c.decode().replace(" ", MARK))] for c in chunks]])
 
 
 def _run(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(path)
         for batch in batches:
-            for a, b in bw.slices(batch.column(1)):
+            for a, b in bw.slices(batch.column(1), SLICE):
                 data, start, end, row, _ = chunks_of(batch.column(1).slice(a, b - a))
-                values, _ = cache.look_up(data, start, end, bw.hash_spans(data, start, end))
+                [(values, _)] = cache.look_up(data, start, end, bw.hash_spans(data, start, end))
                 n = np.bincount(row, weights=values, minlength=b - a).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n)], ["doc_id", "n_tokens"])
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evispark.llm import bytewords as bw
-from evispark.llm.pieces import PieceCache
+from evispark.llm.pieces import SLICE, PieceCache
 
 #: Bytes of text that go into one file.
 FILE_BYTES = 32 << 20
@@ -65,7 +65,7 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    encode = lambda chunks: [e.ids for e in tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+    encode = lambda chunks: [[e.ids for e in tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]]
     return PieceCache(encode), 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
 
 
@@ -91,7 +91,7 @@ def encode_column(column: pa.Array, path: str, end_id: int | None):
     if b"<|" not in data.tobytes():
         data = bw.LOWER[data]
     start, end = _trailing_marks(data, *bw.spans(data, offsets)[:2])
-    ids, counts = cache.look_up(data, start, end, bw.hash_spans(data, start, end))
+    [(ids, counts)] = cache.look_up(data, start, end, bw.hash_spans(data, start, end))
     chunk_ends = np.append(0, np.cumsum(counts))
     ends = chunk_ends[np.searchsorted(start, offsets)]
     tail = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
@@ -102,7 +102,7 @@ def _frames(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = _tokenizer(path)[1]
         for batch in batches:
-            for a, b in bw.slices(batch.column(1)):
+            for a, b in bw.slices(batch.column(1), SLICE):
                 ids = encode_column(batch.column(1).slice(a, b - a), path, end_id)
                 keys = batch.column(0).slice(a, b - a).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([frame(k, x, width)[:-1] for k, x in zip(keys, ids, strict=True)], pa.binary())], ["record"])

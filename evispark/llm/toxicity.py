@@ -33,6 +33,8 @@ BEGINNINGS = (4, 5, 6)
 PER_CLASS = 2000
 #: Standard errors from no association at which a feature begins to count.
 EVIDENCE = 3.0
+#: Bytes of text whose features are held at once.
+SLICE = 512 << 10
 #: Thresholds of a model that finds nothing toxic.
 NEVER = np.array([50.0, 51.0])
 
@@ -105,7 +107,7 @@ def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for a, b in bw.slices(batch.column(1)):
+            for a, b in bw.slices(batch.column(1), SLICE):
                 row, place, value = features(batch.column(1).slice(a, b - a))
                 line = np.bincount(row, weights=m.weights[place] * value, minlength=b - a)
                 p = 1 / (1 + np.exp(np.clip(m.thresholds[None, :] - line[:, None], -40, 40)))
@@ -118,7 +120,7 @@ def _score(model):
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in bw.slices(batch.column(1)):
+        for a, b in bw.slices(batch.column(1), SLICE):
             row, place, value = features(batch.column(1).slice(a, b - a))
             counts = np.append(0, np.cumsum(np.bincount(row, minlength=b - a))).astype(np.int32)
             places, values = (pa.ListArray.from_arrays(pa.array(counts), pa.array(x)) for x in (place.astype(np.int32), value.astype(np.float32)))
@@ -151,12 +153,10 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
     """``docs`` without the rows whose text is toxic; scored in place, without a join."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def is_toxic(texts):
-        column = pa.array(texts, pa.string(), from_pandas=True)
-        out = [f.column(3).to_numpy(zero_copy_only=False) for f in _score(shared)(iter([pa.RecordBatch.from_arrays([pa.nulls(len(column), pa.int64()), column], ["id", "text"])]))]
-        import pandas as pd
-
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+    @F.arrow_udf("boolean")
+    def is_toxic(texts: pa.Array) -> pa.Array:
+        rows = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts], ["id", "text"])
+        parts = [out.column(3) for out in _score(shared)(iter([rows]))]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.bool_())
 
     return docs.where(~is_toxic(docs[text_col].cast("string")))
