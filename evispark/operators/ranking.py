@@ -1,8 +1,8 @@
 """Retrieval as joins, aggregates and windows: lexical scores, gates, normalisation, fusion, caps, evaluation.
 
 Ranked frames carry a query key (``q``), a candidate key and a ``score``; every rule works for all queries at
-once, partitioned by the query, so a batch of any number of questions is one plan. Corpora are read once: the
-query side is a bounded batch of questions and is broadcast only when its counted terms are within a bound.
+once, partitioned by the query, so a batch of any number of questions is one plan. The query side is broadcast only
+when its counted bytes are within a bound.
 """
 
 from __future__ import annotations
@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import text as tx
+from evispark.operators.sizes import small
 
-#: Query terms up to which the query side is broadcast.
-BROADCAST_TERMS = 50_000
 #: Fixed values of the BM25 ranking function.
 K1, B = 1.2, 0.75
 #: English, Spanish and Portuguese words (without accents) that say nothing of a question's subject.
@@ -31,13 +30,6 @@ STOP_WORDS = frozenset(
 )
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, term, tf, doc_len): one row for each distinct token of each document."""
-    tokens = docs.select(F.col(id_col).alias("doc"), tx.tokens(F.col(text_col)).alias("tokens"))
-    exploded = tokens.select("doc", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
-    return exploded.groupBy("doc", "doc_len", "term").agg(F.count("*").alias("tf"))
-
-
 def query_terms(queries: DataFrame, q_col: str, text_col: str, most: int = 12) -> DataFrame:
     """(q, term): the first ``most`` distinct tokens of at least two characters of each query."""
     tokens = F.slice(F.array_distinct(F.filter(tx.tokens(F.col(text_col)), lambda t: F.length(t) >= 2)), 1, most)
@@ -66,49 +58,63 @@ def content_terms(queries: DataFrame, q_col: str, text_col: str, most: int = 12)
     return terms.select("q", "term", F.explode(keys).alias("key"))
 
 
-def _small(terms: DataFrame) -> DataFrame:
-    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+def exact_keys(terms: DataFrame) -> DataFrame:
+    """(q, term, key) of plain (q, term): each term matches itself alone."""
+    return terms.select("q", "term", F.concat(F.lit("="), F.col("term")).alias("key"))
 
 
-def bm25(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(q, doc, score, matched): BM25 of every document that shares a term with a query.
+def key_matches(tokens: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``tokens`` (with a column ``token``) that a key ("=word" or "^start") fits, with the key.
 
-    Only the postings of queried terms leave the scan; document frequencies come from the same rows.
+    An equi-join on the first four characters, on which both kinds of key agree (starts have four at least); tokens
+    that nobody asks for are dropped there, before any shuffle.
     """
-    size = docs.select(F.size(tx.tokens(F.col(text_col))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len")).first()
-    wanted = _small(terms.select("term").distinct())
-    hits = postings(docs, id_col, text_col).join(wanted, "term")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weight = _bm25_weight(size.n_docs, size.avg_len)
-    return hits.join(df, "term").join(_small(terms), "term").groupBy("q", "doc").agg(F.sum(weight).alias("score"), F.count("*").alias("matched"))
+    head = lambda c: F.substring(c, 1, 4)
+    wanted = keys.select("key", F.expr("substring(key, 2)").alias("__word"), F.col("key").startswith("^").alias("__open"))
+    joined = tokens.withColumn("__head", head("token")).join(small(wanted.withColumn("__head", head("__word"))), "__head")
+    fits = F.when(F.col("__open"), F.startswith("token", "__word")).otherwise(F.col("token") == F.col("__word"))
+    return joined.where(fits).drop("__head", "__word", "__open", "token")
 
 
-def _bm25_weight(n_docs: int, avg_len: float | None) -> Column:
-    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(avg_len or 1.0)))
+def bm25_content(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, *, corpus: Column | None = None) -> DataFrame:
+    """(q, [corpus,] doc, score, matched, exact): BM25 over the keys (q, term, key), each a term of its own, within each corpus.
 
+    ``matched`` counts the question's words with a key in the document, ``exact`` those with an "=" key. Only tokens that
+    are asked for leave the scan; a key's document frequency comes from the same (reused) shuffle as the hits.
+    """
+    of = corpus if corpus is not None else F.lit(0)
+    texts = docs.select(F.col(id_col).alias("doc"), of.alias("corpus"), F.col(text_col).alias("text"))
+    size = texts.groupBy("corpus").agg(F.count("*").alias("n_docs"), F.greatest(F.avg(tx.count_tokens(F.col("text"))), F.lit(1e-9)).alias("avg_len"))
+    tokens = texts.select("doc", "corpus", tx.tokens(F.col("text")).alias("t")).select("doc", "corpus", F.size("t").alias("doc_len"), F.explode("t").alias("token"))
+    hits = key_matches(tokens, terms.select("key").distinct()).groupBy("corpus", "doc", "doc_len", "key").agg(F.count("*").alias("tf"))
+    df = hits.groupBy("corpus", "key").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+    # a question has few words: the ones a document has are a set of bits
+    bit = F.expr("shiftleft(1L, cast(dense_rank() OVER (PARTITION BY q ORDER BY term) - 1 AS INT))")
+    asked = terms.select("q", "key", bit.alias("bit"), F.col("key").startswith("=").alias("whole"))
+    found = hits.join(df, ["corpus", "key"]).join(small(size), "corpus").join(small(asked), "key")
+    scored = found.groupBy("q", "corpus", "doc").agg(
+        F.sum(weight).alias("score"), F.bit_count(F.bit_or("bit")).alias("matched"), F.bit_count(F.bit_or(F.when(F.col("whole"), F.col("bit")).otherwise(F.lit(0).cast("long")))).alias("exact")
+    )
+    return scored if corpus is not None else scored.drop("corpus")
 
-def bm25_content(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(q, doc, score, matched): BM25 over the keys of ``content_terms``, each a term of its own; ``matched`` counts words.
 
-    Every token gives its "=" key and one "^" key for each length of prefix that is asked for, so that forms and
-    prefixes are found by one equi-join; keys that nobody asks for are dropped before the shuffle.
-    """
-    size = docs.select(F.size(tx.tokens(F.col(text_col))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len")).first()
-    lengths = sorted(r.n for r in terms.where(F.col("key").startswith("^")).select((F.length("key") - 1).alias("n")).distinct().collect())
-    tokens = docs.select(F.col(id_col).alias("doc"), tx.tokens(F.col(text_col)).alias("tokens")).select("doc", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("token"))
-    starts = [F.when(F.length("token") >= n, F.concat(F.lit("^"), F.substring("token", 1, n))) for n in lengths]
-    keys = tokens.select("doc", "doc_len", F.explode(F.array_compact(F.array(F.concat(F.lit("="), F.col("token")), *starts))).alias("key"))
-    hits = keys.join(_small(terms.select("key").distinct()), "key").groupBy("doc", "doc_len", "key").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("key").agg(F.count("*").alias("df"))
-    found = hits.join(df, "key").join(_small(terms), "key").groupBy("q", "doc")
-    return found.agg(F.sum(_bm25_weight(size.n_docs, size.avg_len)).alias("score"), F.countDistinct("term").alias("matched"))
+def bm25(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(q, doc, score, matched): BM25 of every document that shares one of the terms (q, term) itself."""
+    return bm25_content(docs, exact_keys(terms), id_col, text_col).drop("exact")
 
 
 def field_weighted_tf(docs: DataFrame, terms: DataFrame, id_col: str, title_col: str, body_col: str) -> DataFrame:
-    """(q, doc, score): twice the matches in the title plus those in the body; documents without one are left out."""
-    sides = [docs.select(F.col(id_col).alias("doc"), F.lit(w).alias("weight"), F.explode(tx.tokens(F.col(c))).alias("term")) for c, w in ((title_col, 2), (body_col, 1))]
-    return sides[0].unionByName(sides[1]).join(_small(terms), "term").groupBy("q", "doc").agg(F.sum("weight").alias("score"))
+    """(q, doc, score): twice the matches in the title plus those in the body, over a term's forms; documents without one are left out.
+
+    ``terms`` is (q, term) or (q, term, key); starts ("^") don't count here.
+    """
+    keyed = terms.where(F.col("key").startswith("=")) if "key" in terms.columns else exact_keys(terms)
+    weighted = lambda c, w: F.transform(tx.tokens(F.col(c)), lambda t: F.struct(t.alias("token"), F.lit(w).alias("weight")))
+    sides = docs.select(F.col(id_col).alias("doc"), F.explode(F.concat(weighted(title_col, 2), weighted(body_col, 1))).alias("x")).select("doc", "x.token", "x.weight")
+    hits = key_matches(sides, keyed.select("key").distinct()).groupBy("doc", "key").agg(F.sum("weight").alias("weight"))
+    return hits.join(small(keyed.select("q", "key")), "key").groupBy("q", "doc").agg(F.sum("weight").alias("score"))
 
 
 def coverage_gate(scored: DataFrame, terms: DataFrame) -> DataFrame:
@@ -118,48 +124,109 @@ def coverage_gate(scored: DataFrame, terms: DataFrame) -> DataFrame:
     return scored.join(n, "q").where(F.col("matched") >= need).drop("n")
 
 
+def language_gate(scored: DataFrame, asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """Keeps a candidate in another language than its question's only if every term is matched by an exact form.
+
+    scored: (q, doc, exact, ...); asked: (q, n_terms, q_lang); texts: (doc, doc_lang). Without a language on either side all stay.
+    """
+    joined = scored.join(asked, "q").join(texts, "doc", "left")
+    other = F.col("q_lang") != F.col("doc_lang")
+    return joined.where(~F.coalesce(other, F.lit(False)) | (F.col("exact") == F.col("n_terms"))).drop("n_terms", "q_lang", "doc_lang")
+
+
+def unfounded(pool: DataFrame, served: DataFrame, matches: DataFrame, terms: DataFrame) -> DataFrame:
+    """Drops all of a query's ``served`` rows if the corpus does not hold its subject.
+
+    pool and served: (q, doc, ...); matches: (q, doc, term) of the pool; terms: (q, term). With eight or more in the pool
+    and three or more terms, one of which nothing in the pool has, some served row must have a term that at most half of
+    the pool has.
+    """
+    size = pool.groupBy("q").agg(F.count("*").alias("pool"))
+    df = matches.join(pool.select("q", "doc"), ["q", "doc"]).groupBy("q", "term").agg(F.count("*").alias("df"))
+    rated = terms.select("q", "term").distinct().join(df, ["q", "term"], "left").join(size, "q").select("q", "term", F.coalesce("df", F.lit(0)).alias("df"), "pool")
+    weak = rated.groupBy("q").agg(F.max("pool").alias("pool"), F.count("*").alias("n"), F.min("df").alias("low")).where("pool >= 8 AND n >= 3 AND low = 0").select("q")
+    telling = rated.where("df > 0 AND 2 * df <= pool").select("q", "term")
+    founded = matches.join(telling, ["q", "term"]).join(served.select("q", "doc"), ["q", "doc"]).select("q").distinct()
+    return served.join(weak.join(founded, "q", "left_anti"), "q", "left_anti")
+
+
 def top_k(frame: DataFrame, k: int, *, by: str = "q", score: str = "score", ties: str = "doc") -> DataFrame:
     """The k best of each group with their ``rank`` from 1; ties in ascending order of ``ties``."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), ties))
     return frame.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def score_floor(frame: DataFrame, floor: float) -> DataFrame:
+    """Keeps scores at or over an absolute floor."""
+    return frame.where(F.col("score") >= floor)
+
+
 def margin_prune(frame: DataFrame, *, by: str = "q", margin: float = 0.4, least: int = 1, ties: str = "doc") -> DataFrame:
     """Drops scores under max - margin (max - min) of the group; groups of ``least`` or fewer, or flat ones, stay; ``least`` rows always do."""
-    group = Window.partitionBy(by)
-    high, low, n = F.max("score").over(group), F.min("score").over(group), F.count("*").over(group)
-    rank = F.row_number().over(group.orderBy(F.desc("score"), ties))
-    marked = frame.withColumns({"__cut": high - margin * (high - low), "__flat": (high - low <= 1e-9) | (n <= least), "__rank": rank})
-    return marked.where(F.col("__flat") | (F.col("score") >= F.col("__cut")) | (F.col("__rank") <= least)).drop("__cut", "__flat", "__rank")
+    ends = frame.groupBy(by).agg(F.max("score").alias("__high"), F.min("score").alias("__low"), F.count("*").alias("__n"))
+    first = top_k(frame, least, by=by, ties=ties).select(by, ties, F.lit(True).alias("__first"))
+    flat = (F.col("__high") - F.col("__low") <= 1e-9) | (F.col("__n") <= least)
+    near = F.col("score") >= F.col("__high") - margin * (F.col("__high") - F.col("__low"))
+    marked = frame.join(ends, by).join(first, [by, ties], "left")
+    return marked.where(flat | near | F.col("__first")).drop("__high", "__low", "__n", "__first").select(*frame.columns)
 
 
 def distinct_floor(frame: DataFrame, floor: float, gap: float, *, by: str = "q", ties: str = "doc") -> DataFrame:
     """Keeps scores at or over the floor; with a gap and over 50 rows, also over the mean of ranks 11 to 50 plus the gap."""
-    group = Window.partitionBy(by)
-    ranked = frame.withColumn("__rank", F.row_number().over(group.orderBy(F.desc("score"), ties)))
-    back = F.avg(F.when(F.col("__rank").between(11, 50), F.col("score"))).over(group)
-    bar = F.when((F.lit(gap) > 0) & (F.count("*").over(group) > 50), F.greatest(F.lit(floor), back + gap)).otherwise(F.lit(floor))
-    return ranked.withColumn("__bar", bar).where(F.col("score") >= F.col("__bar")).drop("__rank", "__bar")
+    n = frame.groupBy(by).agg(F.count("*").alias("__n"))
+    back = top_k(frame, 50, by=by, ties=ties).where("rank > 10").groupBy(by).agg(F.avg("score").alias("__back"))
+    bar = F.when((F.lit(gap) > 0) & (F.col("__n") > 50), F.greatest(F.lit(floor), F.col("__back") + gap)).otherwise(F.lit(floor))
+    return frame.join(n, by).join(back, by, "left").where(F.col("score") >= bar).select(*frame.columns)
 
 
 def normalise(frame: DataFrame, *, by: list[str], score: str = "score", out: str = "norm") -> DataFrame:
     """Sigmoid of the z-score in each group; of fewer than three or of equal scores, half the share of the greatest."""
-    group = Window.partitionBy(*by)
-    mean, sd, high, n = F.avg(score).over(group), F.stddev_pop(score).over(group), F.max(score).over(group), F.count("*").over(group)
-    few = 0.5 * F.col(score) / F.greatest(high, F.lit(1e-9))
-    return frame.withColumn(out, F.when((n < 3) | (sd <= 1e-6), few).otherwise(1 / (1 + F.exp(-(F.col(score) - mean) / sd))))
+    ends = frame.groupBy(*by).agg(F.avg(score).alias("__mean"), F.stddev_pop(score).alias("__sd"), F.max(score).alias("__high"), F.count("*").alias("__n"))
+    few = 0.5 * F.col(score) / F.greatest(F.col("__high"), F.lit(1e-9))
+    value = F.when((F.col("__n") < 3) | (F.col("__sd") <= 1e-6), few).otherwise(1 / (1 + F.exp(-(F.col(score) - F.col("__mean")) / F.col("__sd"))))
+    return frame.join(ends, by).withColumn(out, value).select(*frame.columns, out)
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, *, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
-    """(q, doc, score, match): each side over its greatest, weighted, added by document; match tells which sides had it."""
+    """(q, doc, score, match, raw): each side over its greatest, weighted, added by document.
+
+    match tells which sides had it; raw is the semantic side's own score, null if it had none.
+    """
 
     def side(frame: DataFrame, name: str, weight: float) -> DataFrame:
-        high = F.greatest(F.max("score").over(Window.partitionBy("q")), F.lit(1e-9))
-        return frame.select("q", "doc", (F.col("score") / high * weight).alias("part"), F.lit(name).alias("side"))
+        high = frame.groupBy("q").agg(F.greatest(F.max("score"), F.lit(1e-9)).alias("__high"))
+        part = (F.col("score") / F.col("__high") * weight).alias("part")
+        return frame.select("q", "doc", "score").join(high, "q").select("q", "doc", part, F.lit(name).alias("side"), F.when(F.lit(name == "semantic"), F.col("score")).alias("raw"))
 
     both = side(lexical, "lexical", weights[0]).unionByName(side(semantic, "semantic", weights[1]))
     match = F.when(F.countDistinct("side") == 2, F.lit("hybrid")).otherwise(F.max("side"))
-    return both.groupBy("q", "doc").agg(F.sum("part").alias("score"), match.alias("match"))
+    return both.groupBy("q", "doc").agg(F.sum("part").alias("score"), match.alias("match"), F.max("raw").alias("raw"))
+
+
+def reserve(fused: DataFrame, k: int, article: Column, own: Column, *, most: int = 2, factor: float = 1.25) -> DataFrame:
+    """The k best of each query with ``rank``, at most ``most`` of an article; if none is the user's own, their best one takes the
+    last place, provided that its score times ``factor`` reaches the last one's and its article has room.
+
+    fused: (q, doc, score, ...), article and own: columns of it.
+    """
+    rows = fused.withColumns({"__article": article, "__own": F.coalesce(own, F.lit(False))})
+    capped = F.row_number().over(Window.partitionBy("q", "__article").orderBy(F.desc("score"), "doc"))
+    kept = top_k(rows.withColumn("__place", capped).where(F.col("__place") <= most).drop("__place"), k)
+    state = kept.groupBy("q").agg(F.max("__own").alias("__has"), F.count("*").alias("__n"), F.min("score").alias("__last"))
+    best = top_k(rows.where("__own"), 1).drop("rank")
+    taken = kept.groupBy("q", "__article").agg(F.count("*").alias("__taken"))
+    fits = (F.coalesce("__taken", F.lit(0)) < most) & ((F.col("__n") < k) | (F.col("__last") <= F.col("score") * factor))
+    placed = best.join(state, "q").join(taken, ["q", "__article"], "left").where(~F.col("__has") & fits)
+    entering = placed.select(*rows.columns, F.least(F.col("__n") + 1, F.lit(k)).cast("int").alias("rank"))
+    out = kept.join(entering.select("q", "rank"), ["q", "rank"], "left_anti").select(*entering.columns).unionByName(entering)
+    return out.drop("__article", "__own")
+
+
+def absolute_gate(fused: DataFrame, coverage: DataFrame, floor: float, own: Column) -> DataFrame:
+    """After fusion: rows with a semantic score need ``floor``; others more than half of the terms (coverage: q, doc, share), or to be the user's own."""
+    joined = fused.join(coverage.select("q", "doc", F.col("share").alias("__share")), ["q", "doc"], "left")
+    lexical = F.col("__share").isNull() | (F.col("__share") > 0.5) | F.coalesce(own, F.lit(False))
+    return joined.where(F.when(F.col("raw").isNotNull(), F.col("raw") >= floor).otherwise(lexical)).select(*fused.columns)
 
 
 def cap_groups(frame: DataFrame, group: Column, most: int = 2, *, by: str = "q", ties: str = "doc") -> DataFrame:

@@ -1,52 +1,181 @@
 """Folds over ordered events, in batch form; streaming/ has the same rules for streams.
 
-Each fold needs a key's events in order. ``quota`` and ``final_state`` read a partition sorted by key and
-time in Arrow batches and carry one key's small state from batch to batch, so that a key of any size costs
-constant memory; ``replays`` is a window function.
+``fold`` deals events by key, sorts them by time, and carries one key's small state from Arrow batch to Arrow batch, so
+that a key of any size costs constant memory. The rules below are its steps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def micros(time: str) -> Column:
+    return F.unix_micros(F.col(time).cast("timestamp"))
+
+
+def fold(events: DataFrame, keys: list[str], order: list[str], inputs: list[Column], kept: list[str], outputs: str, start: Callable, step: Callable) -> DataFrame:
+    """(kept, outputs) of each event: ``step(state, *inputs)`` gives the next state and the outputs; ``start()`` is a new key's state.
+
+    Events of a key come in ascending order of ``order``; null keys are one key.
+    """
+    of_key, of_order = [f"__k{i}" for i in range(len(keys))], [f"__o{i}" for i in range(len(order))]
+    rows = events.select(*(F.col(k).alias(a) for k, a in zip(keys, of_key, strict=True)), *(F.col(o).alias(a) for o, a in zip(order, of_order, strict=True)), *(c.alias(f"__x{i}") for i, c in enumerate(inputs)), *kept)
+    dealt = rows.repartition(*of_key).sortWithinPartitions(*of_key, *of_order)
+    names = [part.split()[0] for part in outputs.split(",")]
+    types = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
+    kinds = [types[part.split()[1]] for part in outputs.split(",")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.select(*kept).schema)
+    first_input, first_kept = len(keys) + len(order), len(keys) + len(order) + len(inputs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            own = zip(*[batch.column(i).to_pylist() for i in range(len(keys))], strict=True)
+            values = zip(*[batch.column(i).to_pylist() for i in range(first_input, first_kept)], strict=True)
+            out = []
+            for k, x in zip(own, values, strict=True):
+                if k != key:
+                    key, state = k, start()
+                state, made = step(state, *x)
+                out.append(made)
+            columns = [pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[first_kept:], *columns], [*kept, *names])
+
+    return dealt.mapInArrow(run, f"{schema}, {outputs}")
+
+
 def replays(events: DataFrame, keys: list[str], time: str, id_col: str, seconds: int) -> DataFrame:
-    """(id, fresh): whether the key was not seen in the ``seconds`` before (a replay prolongs the memory)."""
-    before = F.lag(time).over(Window.partitionBy(*keys).orderBy(time, id_col))
-    gap = F.col(time).cast("timestamp") - before.cast("timestamp")
-    return events.select(id_col, F.coalesce(gap > F.expr(f"INTERVAL {seconds} SECOND"), F.lit(True)).alias("fresh"))
+    """(id, fresh): an event is fresh if its key was not accepted in the ``seconds`` before; a refused one is not remembered."""
+    span = seconds * 1_000_000
+
+    def step(seen, t):
+        fresh = seen is None or t - seen > span
+        return (t if fresh else seen), (fresh,)
+
+    return fold(events, keys, [time, id_col], [micros(time)], [id_col], "fresh boolean", lambda: None, step)
+
+
+def replays_capped(events: DataFrame, by: list[str], nonce: str, time: str, id_col: str, *, seconds: int, most: int) -> DataFrame:
+    """(id, fresh) as ``replays`` for the nonces of each group, of which ``most`` are remembered; when all of them are within the window, new ones are refused."""
+    span = seconds * 1_000_000
+
+    def step(seen: OrderedDict, t, name):
+        while seen and next(iter(seen.values())) < t - span:
+            seen.popitem(last=False)
+        fresh = name not in seen and len(seen) < most
+        if fresh:
+            seen[name] = t
+        return seen, (fresh,)
+
+    return fold(events, by, [time, id_col], [micros(time), F.col(nonce).cast("string")], [id_col], "fresh boolean", OrderedDict, step)
+
+
+def claims(events: DataFrame, keys: list[Column], time: str, id_col: str) -> DataFrame:
+    """(id, claimed): the first event of each key claims it, for good."""
+    names = [f"__c{i}" for i in range(len(keys))]
+    keyed = events.select(id_col, time, *(k.alias(n) for k, n in zip(keys, names, strict=True)))
+    first = keyed.groupBy(*names).agg(F.min(F.struct(time, id_col))[id_col].alias(id_col)).select(id_col, F.lit(True).alias("claimed"))
+    return events.select(id_col).join(first, id_col, "left").select(id_col, F.coalesce("claimed", F.lit(False)).alias("claimed"))
 
 
 def quota(events: DataFrame, keys: list[str], time: str, ids: list[str], *, seconds: int, most: int) -> DataFrame:
     """(keys, ids, window_start, accepted): a window starts at a key's first event and, ``seconds`` later, anew at the
     next one; in each, the first ``most`` events are accepted. Windows follow the events, not the clock."""
     span = seconds * 1_000_000
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
-    rows = events.where(F.col(time).isNotNull()).select(*keys, *ids, micros.alias("__t"), F.xxhash64(*keys).alias("__k"))
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "__t", *ids)
-    names = [*keys, *ids, "window_start", "accepted"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, *ids).schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = start = None
-        used = 0
-        for batch in batches:
-            own = list(zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys], strict=True))
-            starts, accepted = [], []
-            for k, t in zip(own, batch.column(batch.schema.get_field_index("__t")).to_pylist(), strict=True):
-                if k != key or t - start >= span:
-                    key, start, used = k, t, 0
-                used += 1
-                starts.append(start)
-                accepted.append(used <= most)
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in [*keys, *ids]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(starts, pa.int64()), pa.array(accepted, pa.bool_())], names)
-
-    return dealt.mapInArrow(run, f"{schema}, window_start long, accepted boolean")
+    def step(state, t):
+        begin, used = state
+        if begin is None or t - begin >= span:
+            begin, used = t, 0
+        return (begin, used + 1), (begin, used < most)
+
+    known = events.where(F.col(time).isNotNull())
+    return fold(known, keys, [time, *ids], [micros(time)], [*keys, *ids], "window_start long, accepted boolean", lambda: (None, 0), step)
+
+
+def byte_quota(events: DataFrame, keys: list[str], time: str, ids: list[str], size: Column, *, seconds: int, most: int) -> DataFrame:
+    """(keys, ids, accepted): windows as in ``quota``; an event whose size doesn't fit any more is refused and counts nothing."""
+    span = seconds * 1_000_000
+
+    def step(state, t, n):
+        begin, used = state
+        if begin is None or t - begin >= span:
+            begin, used = t, 0
+        fits = used + n <= most
+        return (begin, used + n * fits), (fits,)
+
+    known = events.where(F.col(time).isNotNull() & size.isNotNull())
+    return fold(known, keys, [time, *ids], [micros(time), size.cast("long")], [*keys, *ids], "accepted boolean", lambda: (None, 0), step)
+
+
+def budget(events: DataFrame, keys: list[str], time: str, ids: list[str], units: Column, *, seconds: int, most: float) -> DataFrame:
+    """(keys, ids, status, remaining): ok, invalid (null, negative or not finite units) or exhausted; only what is ok changes the
+    window or starts a new one."""
+    span = seconds * 1_000_000
+
+    def step(state, t, n):
+        if n is None or not math.isfinite(n) or n < 0:
+            return state, ("invalid", None)
+        begin, used = state
+        if begin is None or t - begin >= span:
+            begin, used = t, 0.0
+        if used + n > most:
+            return state, ("exhausted", None)
+        return (begin, used + n), ("ok", most - (used + n))
+
+    known = events.where(F.col(time).isNotNull())
+    return fold(known, keys, [time, *ids], [micros(time), units.cast("double")], [*keys, *ids], "status string, remaining double", lambda: (None, 0.0), step)
+
+
+def announcements(events: DataFrame, nonce: list[str], time: str, received: str, id_col: str, sound: Column, *, seconds: int) -> DataFrame:
+    """(id, accepted): sound, received at most ``seconds`` from its own time, and the first such one with its nonce."""
+    age = F.abs(micros(received) - micros(time))
+    fit = F.coalesce(sound & (age <= seconds * 1_000_000), F.lit(False))
+    marked = events.select(id_col, received, *nonce, fit.alias("__fit"))
+    first = F.row_number().over(Window.partitionBy(*nonce).orderBy(received, id_col)) == 1
+    passed = marked.where("__fit").select(id_col, first.alias("accepted"))
+    return events.select(id_col).join(passed, id_col, "left").select(id_col, F.coalesce("accepted", F.lit(False)).alias("accepted"))
+
+
+def track_rate(samples: DataFrame, keys: list[str], time: str, id_col: str, rate: Column, *, hold: float = 2.0, memory: float = 4.0, near: float = 8.0) -> DataFrame:
+    """(id, shown): the rate that two readings in a row agree on; what was accepted is held for ``hold`` seconds, and a jump to
+    about half or twice of what was accepted in the last ``memory`` seconds is believed at its third reading."""
+
+    def step(state, t, x):
+        last, accepted, at, run = state
+        held = accepted if accepted is not None and t - at <= hold * 1e6 else None
+        if x is None:
+            return (None, accepted, at, 0), (held,)
+        if accepted is not None and t - at <= memory * 1e6 and any(abs(x - accepted * r) <= 0.12 * accepted * r for r in (0.5, 2)):
+            run += 1
+            if run < 3:
+                return (x, accepted, at, run), (held,)
+        if last is not None and abs(x - last) <= near:
+            shown = math.floor((x + last) / 2 + 0.5)
+            return (x, shown, t, 0), (float(shown),)
+        return (x, accepted, at, 0), (held,)
+
+    return fold(samples, keys, [time, id_col], [micros(time), rate.cast("double")], [id_col], "shown double", lambda: (None, None, 0, 0), step)
+
+
+def cues(verdicts: DataFrame, keys: list[str], time: str, id_col: str, verdict: Column, *, repeat: dict[str, float], usual: float) -> DataFrame:
+    """(id, cue): a verdict is said once three in a row agree on it, at once if it is new, else again after ``repeat`` (``usual``) seconds; a null forgets the row."""
+
+    def step(state, t, v):
+        recent, said, at = state
+        if v is None:
+            return ((), said, at), (None,)
+        recent = (*recent, v)[-3:]
+        due = recent == (v, v, v) and (v != said or t - at >= repeat.get(v, usual) * 1e6)
+        return ((recent, v, t) if due else (recent, said, at)), (v if due else None,)
+
+    return fold(verdicts, keys, [time, id_col], [micros(time), verdict.cast("string")], [id_col], "cue string", lambda: ((), None, 0), step)
 
 
 def final_state(events: DataFrame, keys: list[str], time: str, id_col: str, kind: str, moves: dict[tuple[str, str], str], initial: str) -> DataFrame:

@@ -36,4 +36,17 @@ def sql_tokens(column: str) -> str:
     return f"list_filter(regexp_split_to_array(translate(lower(coalesce({column}, '')), '{tx.ACCENTED}', '{tx.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
-from evispark.plans import retrieval, scalars, tabular  # noqa: E402, F401
+def sql_token_estimate(column: str) -> str:
+    """DuckDB's form of the estimate, from its rule: UTF-16 length, digits, numbers, letters beyond U+024F, signs and capitals where they rule."""
+    n = lambda pattern: f"len(regexp_extract_all({column}, '{pattern}'))"
+    signs = n(r"[!-/:-@\[-`{-~\x{A1}-\x{BF}\x{2010}-\x{2027}]")
+    upper, letters = n(r"[A-Z\x{C0}-\x{D6}\x{D8}-\x{DE}]"), n(r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{FF}]")
+    twice, foreign = n(r"[\x{10000}-\x{10FFFF}]"), n(r"[^\x{0000}-\x{024F}]")
+    length = f"(length({column}) + {twice})"
+    return (
+        f"(ceil({length} / 3 + {n('[0-9]')} * 2 / 3 + {n('[0-9]+')} + ({foreign} + {twice}) * 2 / 3"
+        f" + CASE WHEN {signs} > 0.3::DOUBLE * {length} THEN {signs} / 3 ELSE 0 END + CASE WHEN {upper} > 0.5 * {letters} THEN {upper} / 12 ELSE 0 END) + 50)::BIGINT"
+    )
+
+
+from evispark.plans import folds, retrieval, scalars, tabular  # noqa: E402, F401

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evispark.functions import dates as dx
 from evispark.functions import text as tx
 from evispark.functions import vectors as vx
-from evispark.plans.registry import query, sql_tokens, table
+from evispark.plans.registry import query, sql_token_estimate, sql_tokens, table
 
 
 @query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)")
@@ -40,9 +40,7 @@ def f_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("n_chars"))
 
 
-@query("""
-SELECT doc_id, (ceil(length(text) / 3 + 2 * len(regexp_extract_all(text, '[0-9]')) / 3 + len(regexp_extract_all(text, '[0-9]+')) + 2 * len(regexp_extract_all(text, '[^\\x{0000}-\\x{024F}]')) / 3) + 50)::BIGINT AS estimate
-FROM documents""")
+@query(f"SELECT doc_id, {sql_token_estimate('text')} AS estimate FROM documents")
 def f_token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("estimate"))
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import text as tx
-from evispark.operators import stateful as st
+from evispark.operators import aggregates as ag
 from evispark.operators import tables as tb
-from evispark.plans.registry import query, table
+from evispark.plans.registry import query, sql_token_estimate, table
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE lower(c_mktsegment) = 'building' AND c_acctbal >= 1000.5 AND lower(c_name) <> 'customer#000000007'")
@@ -71,8 +71,8 @@ def t_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.evict(events, ["user_id"], [F.col("ts"), F.col("event_id")], "cents", 100_000).select("user_id", "event_id")
 
 
-@query("""
-WITH c AS (SELECT conv_id, turn, (ceil(length(text) / 3 + 2 * len(regexp_extract_all(text, '[0-9]')) / 3 + len(regexp_extract_all(text, '[0-9]+')) + 2 * len(regexp_extract_all(text, '[^\\x{0000}-\\x{024F}]')) / 3) + 50)::BIGINT AS cost FROM conversations)
+@query(f"""
+WITH c AS (SELECT conv_id, turn, {sql_token_estimate("text")} AS cost FROM conversations)
 SELECT conv_id, turn FROM (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS s FROM c) WHERE s <= 400""")
 def t_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest turns that fit 400 estimated tokens."""
@@ -148,18 +148,13 @@ def t_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_type, count(*) AS n, quantile_disc(value, 0.95) AS p95, round(quantile_cont(value, 0.9), 6) AS p90, round(median(value), 6) AS median,
-  list_sort(list(value))[least(count(*), (floor(count(*) * 0.95) + 1)::BIGINT)] AS floor_p95 FROM events GROUP BY event_type""")
+SELECT event_type, count(*) AS n, quantile_disc(value, 0.95) AS p95, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.1), 6) AS p10, round(median(value), 6) AS median,
+  list_sort(list(value))[least(count(*), (floor(count(*) * 0.95) + 1)::BIGINT)] AS floor_p95 FROM events WHERE isfinite(value) GROUP BY event_type""")
 def a_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest-rank, interpolated, median and floor-rank percentiles. The exact forms sort on disk where a key is large: no array of a group is built."""
-    events = table(spark, sf_dir, "events").where("value IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("event_type").orderBy("value"))
-    n = F.count("*").over(Window.partitionBy("event_type"))
-    ranked = events.select("event_type", "value", rank.alias("r"), n.alias("n"))
-    at = lambda pos, name: F.max(F.when(F.col("r") == pos, F.col("value"))).alias(name)
-    near = ranked.groupBy("event_type").agg(F.max("n").alias("n"), at(F.greatest(F.ceil(F.col("n") * 0.95), F.lit(1)), "p95"), at(F.least(F.col("n"), F.floor(F.col("n") * 0.95) + 1), "floor_p95"))
-    smooth = events.groupBy("event_type").agg(F.round(F.percentile("value", 0.9), 6).alias("p90"), F.round(F.median("value"), 6).alias("median"))
-    return near.join(smooth, "event_type").select("event_type", "n", "p95", "p90", "median", "floor_p95")
+    """Nearest-rank, interpolated, median and floor-rank percentiles of the finite values."""
+    points = {"p95": ("nearest", 0.95), "p90": ("between", 0.9), "p10": ("between", 0.1), "median": ("between", 0.5), "floor_p95": ("floor", 0.95)}
+    found = ag.percentiles(table(spark, sf_dir, "events"), "event_type", "value", points)
+    return found.select("event_type", "n", "p95", "floor_p95", *(F.round(c, 6).alias(c) for c in ("p90", "p10", "median")))
 
 
 @query("""
@@ -200,24 +195,3 @@ def w_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = centred.withColumn("y", F.lead("x", 3).over(user.orderBy("ts", "event_id"))).where("y IS NOT NULL")
     energy = F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))
     return pairs.groupBy("user_id").agg(F.round(F.coalesce(F.try_divide(F.sum(F.col("x") * F.col("y")), energy), F.lit(0.0)), 5).alias("r"))
-
-
-@query()
-def s_frame_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five events a user in windows of an hour that start at the first event in them; the rest is refused."""
-    return st.quota(table(spark, sf_dir, "events"), ["user_id"], "ts", ["event_id"], seconds=3600, most=5)
-
-
-@query("""
-WITH e AS (SELECT event_id, user_id, event_type, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events)
-SELECT event_id, before IS NULL OR ts - before > INTERVAL 600 SECOND AS fresh FROM e""")
-def s_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An event is a replay if the same user and kind was seen within 600 s."""
-    return st.replays(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id", seconds=600)
-
-
-@query()
-def s_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state that a user's events lead to, by a table of transitions."""
-    moves = {("new", "signup"): "member", ("member", "view"): "active", ("active", "purchase"): "customer", ("customer", "error"): "lost", ("active", "error"): "member"}
-    return st.final_state(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", "event_type", moves, "new")
