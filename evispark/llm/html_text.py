@@ -1,22 +1,24 @@
 r"""Main text of web pages by composite text density.
 
-The page becomes a small DOM (unclosed p, li, td and the like are closed as browsers do). Scripts, styles,
-and parts that their tag or role names as menus, headers, footers, asides or dialogs take no part; nor do forms and
-parts that a word of class or id names as such, notices, adverts or reader comments, unless they hold the page's
-text (``_give_back``). For every node, with C characters, T tags, LC characters and LT tags in links
-(LCb and Cb: those of the body),
+The page becomes a small DOM (unclosed p, li, td and the like are closed as browsers do); only what is never shown as
+text (scripts, styles, the head, hidden elements, form fields) is left out of it. For every node, with C characters,
+T tags, LC characters and LT tags in links (LCb and Cb: those of the body),
 
     density = C/T * log_{ln(C LC / (C - LC) + LCb C / Cb + e)}(C/LC * T/LT)     (zero denominators count as 1)
 
 and its density sum is that of its children. The node of the greatest density sum is the text's root; the
 least density on the path from it to the body is the threshold. From the body down, each node that reaches
-the threshold gives the node of the greatest density sum below it; siblings of a divided article are found
-that way. An article or main element around the chosen node is taken whole. Only article and main elements are
-kept if the text's root is one or they hold more than half of its characters.
+the threshold gives the node of the greatest density sum below it: siblings of a divided article are found that way.
+What stands between two parts of the text belongs to it unless most of it is links. If an article (else main) element
+is around the root, it is completed to that element, and nothing outside is taken.
+
+Menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by tag, role, or a word of class or id)
+are measured like the rest, but can't be the text's root, add nothing to a density sum, and are cut out of the chosen
+parts. A form, or a part named by class or id alone, counts as text if it holds the page's text (``_give_back``).
 
 Text: character references decoded; white space inside a block becomes one space; blocks in page order,
 joined by one \n. A heading inside the article's own header belongs to the article. Null, empty and text-free
-pages give an empty text; markup that is never closed ends with the page.
+pages give an empty text; markup that is never closed ends with the page. Every step is linear in the page's size.
 """
 
 from __future__ import annotations
@@ -24,29 +26,45 @@ from __future__ import annotations
 import html as references
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 #: What HTML says of these elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
+    " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Which open elements a start tag ends, up to which element.
 CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
-    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
-}
-#: Elements, roles and words of class or id whose content is no article text.
-SKIP = frozenset("script style noscript iframe noembed noframes textarea title head template svg canvas object nav aside footer button select datalist menu dialog input label".split())
+    "li": ("li", "ul ol menu dir"),
+    "dt": ("dt dd", "dl"),
+    "dd": ("dt dd", "dl"),
+    "option": ("option", "select"),
+    "tr": ("tr td th", "table"),
+    "td": ("td th", "table tr"),
+    "th": ("td th", "table tr"),
+    "tbody": ("thead tbody tr td th", "table"),
+    "tfoot": ("thead tbody tr td th", "table"),
+}
+#: Elements whose content is never shown as text, or is a form's field.
+HIDDEN = frozenset("script style noscript iframe noembed noframes textarea title head template svg canvas object select datalist input".split())
+#: Elements, roles and words of class or id that name a part as something beside the text.
+SKIP = frozenset("nav aside footer button menu dialog label".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 SKIP_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar sidebars aside nav navbar navigation menu menus breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup footer masthead pagination pager widget widgets toolbar login search".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification"
+    " alert popup modal overlay sidebar sidebars aside nav navbar navigation menu menus breadcrumb breadcrumbs comment comments commentlist disqus reply"
+    " replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup footer masthead pagination"
+    " pager widget widgets toolbar login search".split()
 )
 #: Of them, those of reader comments, which alone can be longer than what they are about.
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
@@ -54,123 +72,192 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies res
 STATE_WORDS = frozenset("has have with without no not enabled disabled open opened closed".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-
 _WHOLE = frozenset("article main".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "skip", "name", "running", "chars", "tags", "link_chars", "link_tags", "density", "total", "most", "best")
+    """firm: a part by its tag or role; name: the word of class or id (or "form") that makes it one; skip: out of the text."""
 
-    def __init__(self, tag: str, parent: "Node | None", skip: bool = False, name: str | None = None):
-        self.tag, self.parent, self.skip, self.name, self.children = tag, parent, skip or name is not None and tag not in _WHOLE, name, []
+    __slots__ = (
+        "tag", "parent", "children", "skip", "firm", "name", "out", "running", "own",
+        "chars", "tags", "link_chars", "link_tags", "density", "total", "most", "best",
+    )
 
+    def __init__(self, tag: str, parent: "Node | None", firm: bool = False, name: str | None = None):
+        self.tag, self.parent, self.firm, self.name, self.children = tag, parent, firm, name, []
+        self.skip = firm or name is not None and tag not in _WHOLE
 
-def _named(tag: str, attributes: str, parent: "Node") -> tuple[bool, str | None]:
-    """Whether the element is never text, and the name that makes it a part beside the text, if any."""
-    if tag in SKIP or tag == "header" and not _inside(parent, ("article", "main")):
-        return True, None
+
+def _named(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str | None]:
+    """Whether the element is hidden, whether it is a part beside the text for sure, and the name that may make it one."""
+    if tag in HIDDEN:
+        return True, False, None
+    firm = tag in SKIP or tag == "header" and not in_article
     found = "form" if tag == "form" else None
-    if not attributes:
-        return False, found
-    for name, value in _ATTRIBUTE.findall(attributes):
+    for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" and tag not in ("html", "body"):
-            return True, None
         if tag in ("html", "body"):
+            firm |= name == "role" and value.lower() in SKIP_ROLES
             continue
-        if name == "aria-hidden" and value.lower() == "true" and tag not in _WHOLE:
-            return True, None
-        if name == "role" and value.lower() in SKIP_ROLES:
-            return True, None
-        if name == "role" and value.lower() == "form":
-            found = found or "form"
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" and tag not in _WHOLE:
+            return True, False, None
+        if name == "role":
+            firm |= value.lower() in SKIP_ROLES
+            found = found or ("form" if value.lower() == "form" else None)
         if name in ("class", "id"):
             for part in value.split():
                 words = [w.lower() for w in _WORD.findall(part)]
                 if not STATE_WORDS.intersection(words):
                     found = found or next((w for w in words if w in SKIP_WORDS), None)
-    return False, found
-
-
-def _inside(node: "Node | None", tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+    return False, firm, found
+
+
+class _Tags:
+    """Where tags end: at the first > outside a quoted value. A page that runs out inside one is read without quotes from there on."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.gone, self.none_after = page, True, set(), len(page)
+
+    def end(self, begin: int) -> int:
+        """The place of the > of the tag whose name ends at ``begin``, or -1."""
+        page = self.page
+        if self.quotes:
+            here = floor = begin
+            while stop := _STOP.search(page, here):
+                here = stop.end()
+                if stop[0] == ">":
+                    return stop.start()
+                if page[max(floor, stop.start() - 40) : stop.start()].rstrip().endswith("="):
+                    close = page.find(stop[0], here) if stop[0] not in self.gone else -1
+                    if close < 0:
+                        self.gone.add(stop[0])
+                    else:
+                        here = floor = close + 1
+            self.quotes = False
+        if begin >= self.none_after:
+            return -1
+        found = page.find(">", begin)
+        if found < 0:
+            self.none_after = begin
+        return found
+
+
+class _Open:
+    """The open elements from the page's root down, and where each tag and each block is among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, size: int) -> None:
+        """Closes all but the first ``size`` elements."""
+        while len(self.nodes) > size:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else -1
+
+    def end(self, tag: str) -> None:
+        """An end tag; that of an inline element never closes blocks around it."""
+        place = self.last(tag)
+        if place > 0 and (tag in BLOCK or self.blocks[-1] < place):
+            self.cut(place)
+
+    def make_room(self, tag: str) -> None:
+        """Closes what the start tag ends: an open p before a block, an open li before a li, and so on."""
+        if tag in ("body", "head"):
+            self.cut(1 + max(0, self.last("html")))
+        elif tag in BLOCK and tag != "html" and self.last("head") > 0:
+            self.cut(self.last("head"))
+        elif tag in BLOCK and tag != "html" and self.nodes[self.blocks[-1]].tag == "p":
+            self.cut(self.blocks[-1])
+        if tag in CLOSES:
+            closed, until = (x.split() for x in CLOSES[tag])
+            floor = max(self.last(u) for u in until)
+            first = [places[i] for c in closed if (places := self.at.get(c)) and (i := bisect_right(places, floor)) < len(places)]
+            if first:
+                self.cut(min(first))
 
 
 def parse(page: str) -> Node:
     """The page's DOM; text is a str among a node's children."""
-    root = at = Node("#page", None)
-    position, size = 0, len(page)
+    root = Node("#page", None)
+    opened, tags, position, size = _Open(root), _Tags(page), 0, len(page)
+
+    def text(piece: str) -> None:
+        if piece:
+            opened.nodes[-1].children.append(piece)
+
     while position < size:
-        match = _TOKEN.match(page, position)
-        position = match.end()
-        tag = match[2]
-        if tag is None:
-            text = match[0]
-            if text[0] != "<" or text == "<":
-                at.children.append(text)
-            elif text.startswith("<![CDATA["):
-                at.children.append(text[9:-3] if text.endswith("]]>") else text[9:])
+        start = page.find("<", position)
+        if start < 0:
+            text(page[position:])
+            break
+        text(page[position:start])
+        position = start + 1
+        if page.startswith("!--", position):
+            end = page.find("-->", position + 1)
+            position = end + 3 if end >= 0 else size
             continue
-        tag = tag.lower()
-        if match[1]:
-            node = at
-            while node is not None and node.tag != tag:
-                # the end of an inline element never closes blocks around it
-                if tag not in BLOCK and node.tag in BLOCK:
-                    node = None
-                    break
-                node = node.parent
-            if node is not None and node.parent is not None:
-                at = node.parent
+        if page.startswith("![CDATA[", position):
+            end = page.find("]]>", position)
+            text(page[position + 8 : end if end >= 0 else size])
+            position = end + 3 if end >= 0 else size
             continue
-        if tag in ("html", "body") and _inside(at, (tag,)):
+        match = _NAME.match(page, position)
+        if not match:
+            if position < size and page[position] in "!?/":
+                end = page.find(">", position)
+                position = end + 1 if end >= 0 else size
+            else:
+                text("<")
             continue
-        if tag == "body" or tag == "head":
-            while at.tag not in ("html", "#page"):
-                at = at.parent
-        if tag in BLOCK and tag != "html" and tag != "body":
-            node = at  # an open p ends where a block begins
-            while node is not None and (node.tag == "p" or node.tag not in BLOCK):
-                if node.tag == "p":
-                    at = node.parent
-                    break
-                node = node.parent
-        if tag in CLOSES:
-            closed, until = CLOSES[tag]
-            node = at
-            while node is not None and node.tag not in until:
-                if node.tag in closed:
-                    at = node.parent
-                node = node.parent
-        node = Node(tag, at, *_named(tag, match[3], at))
-        at.children.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, position)
-            node.children.append(page[position : end.start() if end else size])
-            position = end.start() if end else size
-            if end:
-                position = page.find(">", end.end()) + 1 or size
-        elif tag not in VOID and not match[3].endswith("/"):
-            at = node
+        end = tags.end(match.end())
+        if end < 0:
+            text("<")
+            continue
+        attributes, position, tag = page[match.end() : end], end + 1, match[2].lower()
+        if match[1]:
+            if tag not in ("html", "body"):  # what follows them still is the body's
+                opened.end(tag)
+        elif not (tag in ("html", "body") and opened.last(tag) > 0):
+            opened.make_room(tag)
+            hidden, firm, name = _named(tag, attributes, opened.last("article") > 0 or opened.last("main") > 0)
+            node = Node(tag, opened.nodes[-1], firm, name)
+            if tag in RAW:
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, position)
+                if not hidden:
+                    node.children.append(page[position : close.start() if close else size])
+                position = (page.find(">", close.end()) + 1 or size) if close else size
+            elif tag not in VOID and not attributes.endswith("/"):
+                opened.push(node)
+            if not hidden:
+                node.parent.children.append(node)
     return root
 
 
 def _walk(root: Node) -> list[Node]:
-    """Nodes that take part, each before its children."""
-    out, open_nodes = [], [root]
+    """All nodes, each before its children; ``out`` tells those in (or that are) a part beside the text."""
+    found, open_nodes = [], [root]
     while open_nodes:
         node = open_nodes.pop()
-        out.append(node)
-        open_nodes.extend(c for c in reversed(node.children) if not isinstance(c, str) and not c.skip)
-    return out
+        node.out = node.skip or node.parent is not None and node.parent.out
+        found.append(node)
+        open_nodes.extend(c for c in reversed(node.children) if not isinstance(c, str))
+    return found
 
 
 def _give_back(root: Node) -> None:
-    """Lets named parts take part that hold the page's text.
+    """Lets named parts count as text that hold the page's text.
 
     A part, or all parts of one name together, is text if it holds more than half of the characters outside links
     and reader comments, unless an article or main element beside named parts has a quarter as many and it has none.
@@ -180,7 +267,7 @@ def _give_back(root: Node) -> None:
     while open_nodes:
         node = open_nodes.pop()
         nodes.append(node)
-        open_nodes.extend(c for c in reversed(node.children) if not isinstance(c, str) and (not c.skip or c.name))
+        open_nodes.extend(c for c in reversed(node.children) if not isinstance(c, str) and not c.firm)
     named = [n for n in nodes if n.skip]
     if not named:
         return
@@ -194,7 +281,8 @@ def _give_back(root: Node) -> None:
     for node in reversed(nodes):
         node.running = 0
         if node.tag != "a":
-            node.running = sum(len(" ".join(c.split())) if isinstance(c, str) else c.running for c in node.children if isinstance(c, str) or (not c.skip or c.name) and id(c) not in comments)
+            texts = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+            node.running = texts + sum(c.running for c in node.children if not isinstance(c, str) and not c.firm and id(c) not in comments)
     if not root.running:
         for node in named:
             node.skip = node.skip and id(node) not in comments
@@ -221,7 +309,7 @@ def _give_back(root: Node) -> None:
 
 
 def _within(nodes: list[Node]) -> set[int]:
-    """Of nodes in page order, those in a part that takes no part, with the part itself."""
+    """Of nodes in page order, those in a part beside the text, with the part itself."""
     out: set[int] = set()
     for node in nodes:
         if node.skip or id(node.parent) in out:
@@ -229,73 +317,72 @@ def _within(nodes: list[Node]) -> set[int]:
     return out
 
 
-def _path(node: "Node | None") -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
-
-
-def _measure(nodes: list[Node], root: Node) -> None:
+def _measure(nodes: list[Node], body: Node) -> None:
+    """Densities of all nodes, their sums, and for each the node of the greatest sum at or below it (``best``, ``most``)."""
     for node in reversed(nodes):
+        node.own = [c for c in node.children if not isinstance(c, str)]
         chars = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
         tags = link_chars = link_tags = 0
-        for c in node.children:
-            if not isinstance(c, str) and not c.skip:
-                chars += c.chars
-                tags += c.tags + 1
-                link_chars += c.link_chars
-                link_tags += c.link_tags
+        for c in node.own:
+            chars += c.chars
+            tags += c.tags + 1
+            link_chars += c.link_chars
+            link_tags += c.link_tags
         if node.tag == "a":
             link_chars, link_tags = chars, tags + 1
         node.chars, node.tags, node.link_chars, node.link_tags = chars, tags, link_chars, link_tags
-    share = root.link_chars / max(root.chars, 1)
+    share = body.link_chars / max(body.chars, 1)
     for node in reversed(nodes):
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.link_tags
-        if c:
-            base = math.log(c * lc / max(c - lc, 1) + share * c + math.e)
-            value = c / max(lc, 1) * t / max(lt, 1)
-            node.density = c / t * (math.log(value) / math.log(base) if base > 1.0 + 1e-12 else math.log(value))
-        else:
-            node.density = 0.0
-        own = [x for x in node.children if not isinstance(x, str) and not x.skip]
-        node.total = sum(x.density for x in own)
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
+        own = [c for c in node.own if not c.out]
+        node.total = sum(c.density for c in own)
         node.best, node.most = node, node.total
-        for x in own:
-            if x.most > node.most:
-                node.best, node.most = x.best, x.most
+        for c in own:
+            if c.most > node.most:
+                node.best, node.most = c.best, c.most
 
 
-def _choose(body: Node) -> list[Node]:
-    """The roots of the text, in page order."""
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """The composite text density; ``share`` is the body's share of characters in links."""
+    if not chars:
+        return 0.0
+    tags = max(tags, 1)
+    base = math.log(math.log(chars * link_chars / max(chars - link_chars, 1) + share * chars + math.e))
+    value = math.log(chars / max(link_chars, 1) * tags / max(link_tags, 1))
+    return chars / tags * (value / base if base > 1e-12 else value)
+
+
+def _choose(body: Node) -> set[int]:
+    """The parts that hold the text."""
     best = body.best
     if not body.most > 0:  # text in one element only: no node has a child of positive density
-        return [body]
-    threshold, node = best.density, best
+        return {id(body)}
+    threshold, node, article, main = best.density, best, None, None
     while node is not None and node is not body.parent:
         threshold = min(threshold, node.density)
+        article = node if node.tag == "article" else article
+        main = node if node.tag == "main" else main
         node = node.parent
-    chosen: dict[int, Node] = {}
-    open_nodes = [body]
+    if article or main:
+        return {id(article or main)}
+    chosen, holds, open_nodes, order = {id(best)}, set(), [body], []
     while open_nodes:
         node = open_nodes.pop()
-        if id(node) in chosen:
-            continue
+        order.append(node)
         if node.density >= threshold and node.chars:
-            pick = node.best if node.most > 0 else node
-            around, article = pick, None
-            while around is not None:
-                article = around if around.tag in ("article", "main") else article
-                around = around.parent
-            pick = article or pick
-            chosen.setdefault(id(pick), pick)
-        open_nodes.extend(c for c in node.children if not isinstance(c, str) and not c.skip)
-    whole = [n for n in chosen.values() if n.tag in _WHOLE]
-    root = next(iter(chosen.values()))  # the body's pick: the node of the greatest density sum or the article around it
-    inside = sum(n.chars for n in whole if any(a is root for a in _path(n)) and not any(a.tag in _WHOLE and id(a) in chosen for a in _path(n.parent)))
-    return whole if 2 * inside > root.chars else list(chosen.values())
-
-
-def _blocks(root: Node, allowed: set[int]) -> list[str]:
+            chosen.add(id(node.best if node.most > 0 else node))
+        open_nodes.extend(c for c in node.own if not c.out)
+    for node in reversed(order):
+        at = [i for i, c in enumerate(node.own) if id(c) in chosen or id(c) in holds]
+        if at:
+            holds.add(id(node))
+            # what stands between two parts of the text
+            chosen.update(id(c) for c in node.own[at[0] : at[-1]] if id(c) not in holds and not c.out and 2 * c.link_chars <= c.chars)
+    return chosen
+
+
+def _blocks(body: Node, chosen: set[int]) -> list[str]:
+    """The text of the chosen parts without what is beside it; of an article's header, its headings only."""
     blocks: list[str] = []
     run: list[str] = []
 
@@ -305,34 +392,22 @@ def _blocks(root: Node, allowed: set[int]) -> list[str]:
         if text:
             blocks.append(text)
 
-    def visible(node: Node) -> bool:
-        """Below a chosen node; of an article's header, its headings only."""
-        inside = header = False
-        heading = False
-        while node is not None:
-            inside |= id(node) in allowed
-            heading |= node.tag in _HEADINGS
-            header |= node.tag == "header"
-            node = node.parent
-        return inside and (not header or heading)
-
-    open_nodes: list[tuple[object, bool]] = [(root, visible(root))]
+    open_nodes: list[tuple[object, bool, bool, bool]] = [(body, False, False, False)]
     while open_nodes:
-        item, shown = open_nodes.pop()
+        item, inside, header, heading = open_nodes.pop()
         if item is None:
             flush()
         elif isinstance(item, str):
-            if shown:
+            if inside and (not header or heading):
                 run.append(item)
         else:
-            block = item.tag in BLOCK
-            if block:
+            if item.tag in BLOCK:
                 flush()
-                open_nodes.append((None, False))
+                open_nodes.append((None, False, False, False))
             if item.tag == "br":
                 run.append(" ")
-            shown = visible(item) if id(item) in allowed or item.tag == "header" or item.tag in _HEADINGS else shown
-            open_nodes.extend((c, shown) for c in reversed(item.children) if isinstance(c, str) or not c.skip)
+            inside, header, heading = inside or id(item) in chosen, header or item.tag == "header", heading or item.tag in _HEADINGS
+            open_nodes.extend((c, inside, header, heading) for c in reversed(item.children) if isinstance(c, str) or not c.skip)
     flush()
     return blocks
 
@@ -345,9 +420,7 @@ def main_text(page: str | None) -> str:
     nodes = _walk(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     _measure(nodes, body)
-    if not body.chars:
-        return ""
-    return "\n".join(_blocks(body, {id(n) for n in _choose(body)}))
+    return "\n".join(_blocks(body, _choose(body))) if body.chars and not body.out else ""
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
