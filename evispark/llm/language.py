@@ -2,21 +2,22 @@
 
 A word's score in a language is the sum, over its byte 3-grams and 4-grams (with the spaces around it) and the
 word itself, of the log-odds against the mean of all languages, from counts hashed to fixed tables. A word's
-script (by the ranges of its letters' lead bytes) narrows the candidates to the languages whose training words
+script (by the code points of its letters) narrows the candidates to the languages whose training words
 use that script; where none does, all stay. Viterbi labels each word so that the sum of scores, less PENALTY for
 each switch, is greatest; words without a letter say nothing. A document's language is that of most of its
 words with letters (ties: first in order), its score their share.
 
 The model is learnt from at most PER_LANGUAGE documents of each language (those of least hash, whole texts);
-the tables have a fixed size. Null or letterless texts get `und`, score 0 and no spans. Repeated rows give a
-row each; without any training row all is `und`.
+its tables take 0.8 MB for each language. Null texts, and those without a Unicode letter, get `und`, score 0 and
+no spans; any other text gets a learned language. Repeated rows give a row each; without any training row all is
+`und`.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,25 @@ PER_LANGUAGE, TABLE_BITS = 1000, 16
 PENALTY, SMOOTHING = 12.0, 0.5
 UNDETERMINED = "und"
 ORDERS = (3, 4)
-#: First and last lead byte of UTF-8 letters of each script range.
-SCRIPTS = {"latin": (0xC3, 0xC9), "greek": (0xCE, 0xCF), "cyrillic": (0xD0, 0xD4), "hebrew": (0xD6, 0xD7), "arabic": (0xD8, 0xDF), "indic": (0xE0, 0xE0), "other": (0xE1, 0xE2), "kana": (0xE3, 0xE3), "han": (0xE4, 0xE9), "hangul": (0xEA, 0xED), "rare": (0xEE, 0xF4)}
-_SCRIPT = np.zeros(256, np.int8)
-_SCRIPT[65:91] = _SCRIPT[97:123] = 1
-for _at, (_low, _high) in enumerate(SCRIPTS.values()):
-    _SCRIPT[_low : _high + 1] = _at + 1
-_LETTER = re.compile(r"[^\W\d_]")
+#: First and last code point of script ranges; letters outside them are of script "other".
+SCRIPTS = (
+    ("latin", 0x0041, 0x02FF), ("latin", 0x1D00, 0x1EFF), ("latin", 0x2C60, 0x2C7F), ("latin", 0xA720, 0xA7FF), ("latin", 0xAB30, 0xAB6F), ("latin", 0xFF21, 0xFF5A),
+    ("greek", 0x0370, 0x03FF), ("greek", 0x1F00, 0x1FFF), ("cyrillic", 0x0400, 0x052F), ("cyrillic", 0x1C80, 0x1C8F), ("cyrillic", 0x2DE0, 0x2DFF), ("cyrillic", 0xA640, 0xA69F),
+    ("armenian", 0x0530, 0x058F), ("hebrew", 0x0590, 0x05FF), ("arabic", 0x0600, 0x06FF), ("arabic", 0x0750, 0x077F), ("arabic", 0x08A0, 0x08FF), ("arabic", 0xFB50, 0xFEFC),
+    ("indic", 0x0900, 0x0DFF), ("thai", 0x0E00, 0x0EFF), ("georgian", 0x10A0, 0x10FF), ("ethiopic", 0x1200, 0x139F), ("kana", 0x3040, 0x30FF), ("hangul", 0x1100, 0x11FF),
+    ("hangul", 0x3130, 0x318F), ("hangul", 0xAC00, 0xD7FF), ("han", 0x3400, 0x9FFF), ("han", 0xF900, 0xFAFF), ("han", 0x20000, 0x3FFFF),
+)
+SCRIPT_NAMES = tuple(dict.fromkeys(name for name, _, _ in SCRIPTS)) + ("other",)
+
+
+@lru_cache(1)
+def _script_table() -> np.ndarray:
+    """For each code point: 0 if it is no letter (of general category L), else its script's place in SCRIPT_NAMES plus 1."""
+    table = np.full(0x110000, len(SCRIPT_NAMES), np.int8)
+    for name, low, high in SCRIPTS:
+        table[low : high + 1] = SCRIPT_NAMES.index(name) + 1
+    table[~np.fromiter(map(str.isalpha, map(chr, range(len(table)))), bool, len(table))] = 0
+    return table
 
 
 @dataclass(frozen=True)
@@ -60,9 +73,27 @@ def _slots(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[n
     return grams, (bw.hash_spans(data, start, end) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), clean
 
 
+def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' bytes (A-Z lower-cased), each row with three spaces behind it, and their offsets: no n-gram spans two rows."""
+    data, offsets = bw.text_bytes(column)
+    rows = np.arange(len(offsets))
+    out = np.full(len(data) + 3 * rows[-1], 32, np.uint8)
+    out[np.arange(len(data)) + 3 * np.repeat(rows[:-1], np.diff(offsets))] = bw.LOWER[data]
+    return out, offsets + 3 * rows
+
+
 def _letters(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The script of each word: the highest range among its letters; 0 without a letter."""
-    script = _SCRIPT[data]
+    """The script of each word: the last in SCRIPT_NAMES among its letters'; 0 without a letter."""
+    table = _script_table()
+    script = table[data & 0x7F]
+    script[data > 0x7F] = 0
+    for size, low, high, mask in ((2, 0xC2, 0xDF, 0x1F), (3, 0xE0, 0xEF, 0x0F), (4, 0xF0, 0xF4, 0x07)):
+        at = np.flatnonzero((data >= low) & (data <= high))
+        at = at[at + size <= len(data)]
+        code = (data[at] & mask).astype(np.int32)
+        for k in range(1, size):
+            code = (code << 6) | (data[at + k] & 0x3F)
+        script[at] = table[code]
     return np.maximum.reduceat(script, start) if len(start) else np.zeros(0, np.int8)
 
 
@@ -78,7 +109,7 @@ def emissions(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray
     out = np.zeros((len(start), len(model.languages)))
     for a in range(0, len(start), 1 << 16):  # bounds the rows of floats held at once
         s, e = start[a : a + (1 << 16)], end[a : a + (1 << 16)]
-        low, high = s[0], e[-1]
+        low, high = max(0, s[0] - 3), e[-1] + 1  # with what n-grams see before and behind
         part = data[low:high]
         grams, word, _ = _slots(part, s - low, e - low)
         score = model.tables[len(ORDERS)][word]
@@ -135,9 +166,7 @@ def _predict(shared, spans: bool):
         names = np.array([*model.languages, UNDETERMINED], object)
         for batch in batches:
             for a, b in bw.slices(batch.column(1)):
-                column = batch.column(1).slice(a, b - a)
-                data, offsets = bw.text_bytes(column)
-                data = bw.LOWER[data]
+                data, offsets = _padded(batch.column(1).slice(a, b - a))
                 start, end, row = bw.spans(data, offsets)
                 letters = _letters(data, start, end) > 0
                 counts = np.bincount(row, minlength=b - a)
@@ -148,10 +177,6 @@ def _predict(shared, spans: bool):
                 else:
                     label, votes = np.zeros(len(start), np.int32), np.zeros((b - a, 1), np.int64)
                 total = votes.sum(1)
-                ascii_letter = np.bincount(row, weights=np.maximum.reduceat(_ASCII[data], start) if len(start) else None, minlength=b - a) > 0
-                for r in np.flatnonzero((total > 0) & ~ascii_letter):  # lead bytes alone don't tell letters from signs
-                    if not _LETTER.search(data[offsets[r] : offsets[r + 1]].tobytes().decode()):
-                        total[r] = 0
                 pick = np.where(total > 0, votes.argmax(1), len(model.languages))
                 share = np.where(total > 0, votes.max(1) / np.maximum(total, 1), 0.0)
                 arrays, columns = [batch.column(0).slice(a, b - a), pa.array(names[pick], pa.string()), pa.array(share)], ["doc_id", "lang_pred", "score"]
@@ -170,20 +195,15 @@ def _predict(shared, spans: bool):
     return run
 
 
-_ASCII = np.zeros(256, np.int8)
-_ASCII[65:91] = _ASCII[97:123] = 1
-
-
 def _tally(languages: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, size = len(ORDERS) + 1, 1 << TABLE_BITS
         tables = np.zeros((kinds, size, len(languages)), np.int64)
-        scripts = np.zeros((len(SCRIPTS) + 1, len(languages)), np.int64)
+        scripts = np.zeros((len(SCRIPT_NAMES) + 1, len(languages)), np.int64)
         for batch in batches:
             lang = np.array([languages.index(x) for x in batch.column(1).to_pylist()], np.int64)
             for a, b in bw.slices(batch.column(0)):
-                data, offsets = bw.text_bytes(batch.column(0).slice(a, b - a))
-                data = bw.LOWER[data]
+                data, offsets = _padded(batch.column(0).slice(a, b - a))
                 start, end, row = bw.spans(data, offsets)
                 grams, word, _ = _slots(data, start, end)
                 inside = np.zeros(len(data) + 2, np.int8)
@@ -208,16 +228,21 @@ def train(docs: DataFrame, allowed: Column, *, id_col: str = "doc_id", text_col:
     """A model from a bounded sample of the rows that are ``allowed`` and have a language."""
     rows = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     keyed = rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = keyed.withColumn("rank", rank).where(F.col("rank") <= per_language).select("id", "lang").distinct()
-    languages = tuple(sorted(r.lang for r in ids.select("lang").distinct().collect()))
+    known = keyed.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).collect()  # one row for each language
+    languages = tuple(sorted(r.lang for r in known))
     if not languages:
-        return Model((), np.zeros((len(ORDERS) + 1, 1 << TABLE_BITS, 0), np.float32), np.zeros((len(SCRIPTS) + 1, 0), bool))
+        return Model((), np.zeros((len(ORDERS) + 1, 1 << TABLE_BITS, 0), np.float32), np.zeros((len(SCRIPT_NAMES) + 1, 0), bool))
+    # of a common language, only about twice as many ids as are wanted reach the ranking
+    shares = keyed.sparkSession.createDataFrame([(r.lang, min(1.0, 2.0 * per_language / r.n)) for r in known], "lang string, share double")
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 31))
+    few = keyed.join(F.broadcast(shares), "lang").where(place < F.col("share") * (1 << 31)).select("id", "lang").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))
+    ids = few.withColumn("rank", rank).where(F.col("rank") <= per_language).select("id", "lang")
     texts = rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
     # at most per_language rows for each language
     sample = texts.join(F.broadcast(ids) if len(languages) <= 200 else ids, ["id", "lang"]).select("text", "lang")
     tally = sample.mapInArrow(_tally(languages), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    shape, extra = (len(ORDERS) + 1, 1 << TABLE_BITS, len(languages)), (len(SCRIPTS) + 1, len(languages))
+    shape, extra = (len(ORDERS) + 1, 1 << TABLE_BITS, len(languages)), (len(SCRIPT_NAMES) + 1, len(languages))
     flat = np.zeros(int(np.prod(shape) + np.prod(extra)))
     flat[tally.column("slot").to_numpy()] = tally.column("n").to_numpy()
     tables, scripts = flat[: np.prod(shape)].reshape(shape), flat[np.prod(shape) :].reshape(extra)
