@@ -18,7 +18,8 @@ a word stay.
 
 Lists of more than LIST_ROWS postings are cut into blocks and compared block with block.
 
-Words are compared by their hashes: 42 bits in classes, 40 in the sets that verify.
+Words are compared by their hashes: 42 bits in classes, 40 in the sets that verify. A class is known by two independent
+sums over its words' hashes, of 64 and 40 bits, and by the size of its set (columns ``cls`` and ``two``).
 Nothing is capped or sampled. Rows with a null id take no part and stay as they are; null texts have no
 lines; rows that share an id count as the same document and get the same decisions.
 """
@@ -33,9 +34,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evispark.llm import bytewords as bw
-from evispark.llm.tables import broadcast_if_small, key_filter, may_hold, written
+from evispark.llm.tables import broadcast_if_small, key_filter, may_hold, with_class, written
 
 #: Counters of step 1 (a power of two): 256 KB of levels at the driver, 2 MB of counts in a task, whatever the input.
 RARITY_BITS = 18
@@ -43,6 +45,8 @@ RARITY_BITS = 18
 LIST_ROWS = 1 << 14
 #: Bytes of a word's hash in the sets that verify pairs.
 SET_BYTES = 5
+#: Where the size of a class's set begins in its second number, which therefore sorts by size.
+SIZE_BIT = 40
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[10] = True
 WIDE = ("w0", "w1", "w2", "w3")
@@ -94,12 +98,16 @@ def token_sets(column: pa.Array, rarity: np.ndarray):
         yield row[lines], number[lines], np.diff(np.append(first, len(at))), first, key & np.uint64((1 << 48) - 1)
 
 
-def _class_of(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(bw.mix64(tokens & _HASH42), first).view(np.int64)
+def _class_of(tokens: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two numbers of a class: a sum of 64 bits; the set's size above a second sum of 40 bits."""
+    h = bw.mix64(tokens & _HASH42)
+    one, two = np.add.reduceat(h, first), np.add.reduceat(h * (h >> np.uint64(23) | np.uint64(1)), first)
+    return one.view(np.int64), ((n.astype(np.uint64) << np.uint64(SIZE_BIT)) | (two >> np.uint64(24))).view(np.int64)
 
 
-def _fresh(cls: np.ndarray, seen: set[int], most: int = 400_000) -> np.ndarray:
+def _fresh(cls: np.ndarray, two: np.ndarray, seen: set[int], most: int = 400_000) -> np.ndarray:
     """Marks the first line of each class that this task has not seen; a full memory only lets repeats through."""
+    cls = cls ^ bw.mix64(two.view(np.uint64)).view(np.int64)
     fresh = np.zeros(len(cls), bool)
     fresh[np.unique(cls, return_index=True)[1]] = True
     fresh &= np.fromiter((c not in seen for c in cls.tolist()), bool, len(cls))
@@ -127,21 +135,21 @@ def _lines(table, percent: int, common: int):
             for a, b in bw.slices(batch.column(1), 1 << 20):
                 ids = batch.column(0).slice(a, b - a)
                 for row, number, n, first, tokens in token_sets(batch.column(1).slice(a, b - a), rarity):
-                    cls = _class_of(tokens, first)
+                    cls, two = _class_of(tokens, first, n)
                     wide = _bitmaps(tokens, first)
                     rare = np.add.reduceat((tokens >> np.uint64(42)) < common, first, dtype=np.int32)
-                    p = np.where(_fresh(cls, seen), _prefix(n, percent), 0)
+                    p = np.where(_fresh(cls, two, seen), _prefix(n, percent), 0)
                     at = np.repeat(first - np.cumsum(p) + p, p) + np.arange(p.sum())
                     offsets = np.zeros(len(p) + 1, np.int32)
                     np.cumsum(p, out=offsets[1:])
                     prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array((tokens[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
-                    arrays = [ids.take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(cls), pa.array(n.astype(np.int32)), pa.array(rare), *(pa.array(w.view(np.int64), mask=p == 0) for w in wide), prefix]
-                    yield pa.RecordBatch.from_arrays(arrays, ["id", "line", "cls", "n", "rare", *WIDE, "prefix"])
+                    arrays = [ids.take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(cls), pa.array(two), pa.array(rare), *(pa.array(w.view(np.int64), mask=p == 0) for w in wide), prefix]
+                    yield pa.RecordBatch.from_arrays(arrays, ["id", "line", "cls", "two", "rare", *WIDE, "prefix"])
 
     return run
 
 
-def _pairs_in(token, n, pos, cls, bitmap, percent):
+def _pairs_in(token, n, pos, cls, bitmap, percent, two=None):
     """Pairs of rows with one token that pass all filters; rows are sorted by token and n. Yields index arrays.
 
     A pair is looked for at its first shared token only: there the overlap is at most what either set has from
@@ -160,7 +168,7 @@ def _pairs_in(token, n, pos, cls, bitmap, percent):
         need = _need(n[i], n[j], percent)
         ok = np.flatnonzero((n[i] - pos[i] >= need) & (n[j] - pos[j] >= need))
         i, j, need = i[ok], j[ok], need[ok]
-        ok = (np.bitwise_count(bitmap[i] ^ bitmap[j]) <= n[i] + n[j] - 2 * need) & (cls[i] != cls[j])
+        ok = (np.bitwise_count(bitmap[i] ^ bitmap[j]) <= n[i] + n[j] - 2 * need) & ((cls[i] != cls[j]) | (False if two is None else two[i] != two[j]))
         yield i[ok], j[ok]
         at = to
 
@@ -219,12 +227,12 @@ def _overlaps(i: np.ndarray, j: np.ndarray, sets) -> np.ndarray:
 
 def _candidates(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows that pass all filters in their list and, where earlier tokens are known, share none of these."""
-    key, n, pos, cls, bitmap, block = (rows.column(c).to_numpy() for c in ("list", "n", "pos", "cls", "bitmap", "block"))
+    key, two, pos, cls, bitmap, block = (rows.column(c).to_numpy() for c in ("list", "two", "pos", "cls", "bitmap", "block"))
     across = (key & 0xFFFF) != ((key >> 16) & 0xFFFF)
-    n = n.astype(np.int64)
+    n = two >> SIZE_BIT
     earlier = _indexed(rows.column("earlier")) if "earlier" in rows.column_names else None
     wide = [rows.column(c).to_numpy().view(np.uint64) for c in WIDE if c in rows.column_names]
-    for i, j in _pairs_in(key, n, pos.astype(np.int64), cls, bitmap.view(np.uint64), percent):
+    for i, j in _pairs_in(key, n, pos.astype(np.int64), cls, bitmap.view(np.uint64), percent, two):
         ok = ~across[i] | (block[i] != block[j])
         i, j = i[ok], j[ok]
         if wide:
@@ -265,7 +273,8 @@ def _links(percent: int):
                 later = np.where((doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j])), i, j)
                 links += np.bincount(later, minlength=len(links))
             some = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([rows.column("cls").combine_chunks().take(pa.array(some)), pa.array(links[some])], ["cls", "links"])
+            of = [rows.column(c).combine_chunks().take(pa.array(some)) for c in ("cls", "two")]
+            yield pa.RecordBatch.from_arrays([*of, pa.array(links[some])], ["cls", "two", "links"])
 
     return run
 
@@ -276,15 +285,15 @@ def _tokens_of(table, held):
         for batch in batches:
             for a, b in bw.slices(batch.column(0), 1 << 20):
                 for _, _, n, first, tokens in token_sets(batch.column(0).slice(a, b - a), table.value):
-                    cls = _class_of(tokens, first)
-                    keep = may_hold(held.value, cls) & _fresh(cls, seen)
-                    cls, n, first = cls[keep], n[keep], first[keep]
+                    cls, two = _class_of(tokens, first, n)
+                    keep = may_hold(held.value, cls) & _fresh(cls, two, seen)
+                    cls, two, n, first = cls[keep], two[keep], n[keep], first[keep]
                     offsets = np.zeros(len(n) + 1, np.int32)
                     np.cumsum(n, out=offsets[1:])
                     at = np.repeat(first - offsets[:-1], n) + np.arange(n.sum())
                     flat = np.ascontiguousarray(tokens[at].view(np.uint8).reshape(-1, 8)[:, :SET_BYTES])
                     sets = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets * np.int32(SET_BYTES)), pa.py_buffer(flat)])
-                    yield pa.RecordBatch.from_arrays([pa.array(cls), sets], ["cls", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(two), sets], ["cls", "two", "tokens"])
 
     return run
 
@@ -299,24 +308,24 @@ def rarity_table(texts: DataFrame) -> np.ndarray:
 
 
 def _in_lists(lines: DataFrame) -> DataFrame:
-    """(cls, n, bitmap, pos, list, block): list is the token and two numbers of blocks, 0 unless the token's list is long.
+    """(cls, two, bitmap, pos, list, block): list is the token and two numbers of blocks, 0 unless the token's list is long.
 
     A posting of a long list goes to every pair of blocks that has its own. Only words that the corpus has more
     than LIST_ROWS times (from place ``rare`` on) can have one, so only their postings are counted.
     """
     bitmap = F.col("w0").bitwiseXOR(F.col("w1")).bitwiseXOR(F.col("w2")).bitwiseXOR(F.col("w3"))
-    posted = lines.where(F.size("prefix") > 0).select("cls", "n", bitmap.alias("bitmap"), "rare", F.posexplode("prefix").alias("pos", "token"))
+    posted = lines.where(F.size("prefix") > 0).select("cls", "two", bitmap.alias("bitmap"), "rare", F.posexplode("prefix").alias("pos", "token"))
     common = lines.where(F.size("prefix") > F.col("rare")).select(F.explode(F.expr("slice(prefix, rare + 1, size(prefix))")).alias("token"))
     counts = common.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > LIST_ROWS)
     longs = written(counts.select("token", F.least(F.ceil(F.col("rows") / LIST_ROWS), F.lit(0xFFFF)).cast("int").alias("blocks")), "long-lists")
     many = longs.count()
     key = F.shiftleft(F.col("token").cast("long"), 32)
     if not many:
-        return posted.select("cls", "n", "bitmap", "pos", key.alias("list"), F.lit(0).alias("block"))
+        return posted.select("cls", "two", "bitmap", "pos", key.alias("list"), F.lit(0).alias("block"))
     cut = posted.join(broadcast_if_small(longs, many), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     both = F.shiftleft(F.least("block", "other").cast("long"), 16).bitwiseOR(F.greatest("block", "other").cast("long"))
-    return cut.select("cls", "n", "bitmap", "pos", key.bitwiseOR(both).alias("list"), "block")
+    return cut.select("cls", "two", "bitmap", "pos", key.bitwiseOR(both).alias("list"), "block")
 
 
 def line_decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -328,33 +337,57 @@ def line_decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     table = docs.sparkSession.sparkContext.broadcast(rarity_table(texts))
     words = ", ".join(f"{w} long" for w in WIDE)
-    lines = written(texts.mapInArrow(_lines(table, percent, _level(LIST_ROWS)), f"id long, line int, cls long, n int, rare int, {words}, prefix array<int>"), "lines")
-    columns = "cls long, n int, bitmap long, pos int, list long, block int"
-    by_list = lambda df: df.repartition("list").sortWithinPartitions("list", "n")
+    schema = f"id long, line int, cls long, two long, rare int, {words}, prefix array<int>"
+    lines = written(texts.mapInArrow(_lines(table, percent, _level(LIST_ROWS)), schema), "lines")
+    columns = "cls long, two long, bitmap long, pos int, list long, block int"
+    by_list = lambda df: df.repartition("list").sortWithinPartitions("list", "two")
     kept = written(by_list(_in_lists(lines)).mapInArrow(_met(percent), columns), "kept")
-    of_class = kept.groupBy("cls").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.collect_set(F.struct("pos", "list", "block")).alias("at"))
-    wide = lines.where(F.col("w0").isNotNull()).groupBy("cls").agg(*(F.max(w).alias(w) for w in WIDE))
+    at = F.collect_set(F.struct("pos", "list", "block")).alias("at")
+    of_class = kept.groupBy("cls", "two").agg(F.first("bitmap").alias("bitmap"), at)
+    wide = lines.where(F.col("w0").isNotNull()).groupBy("cls", "two").agg(*(F.max(w).alias(w) for w in WIDE))
     before = F.transform(F.filter("at", lambda x: x["pos"] < F.col("here.pos")), lambda x: F.shiftright(x["list"], 32).cast("int"))
-    again = of_class.join(wide, "cls").withColumn("here", F.explode("at")).select("cls", "n", "bitmap", "here.pos", "here.list", "here.block", *WIDE, before.alias("earlier"))
+    again = of_class.join(wide, ["cls", "two"]).withColumn("here", F.explode("at"))
+    again = again.select("cls", "two", "bitmap", "here.pos", "here.list", "here.block", *WIDE, before.alias("earlier"))
     kept = written(by_list(again).mapInArrow(_met(percent), f"{columns}, earlier array<int>"), "kept-once")
-    first = written(lines.groupBy("cls").agg(F.min(F.struct("id", "line")).alias("first")), "first-lines")
+    first = F.min(F.struct("id", "line")).alias("first")
+    classes = written(lines.groupBy("cls", "two").agg(first, F.count("*").alias("copies")), "first-lines")
     # classes are hashes: the scan drops the lines that no list wants, so no text is shuffled
-    sets = texts.select("text").mapInArrow(_tokens_of(table, key_filter(kept.select("cls").distinct())), "cls long, tokens binary").dropDuplicates(["cls"])
-    full = kept.join(first.select("cls", "first.id", "first.line"), "cls").join(sets, "cls")
-    later = by_list(full).mapInArrow(_links(percent), "cls long, links long")
-    later = written(later.groupBy("cls").agg(F.sum("links").alias("links")), "later-classes")
-    fate = first.join(later, "cls", "left")
-    placed = lines.select("id", "line", "cls").join(fate, "cls").select("id", "line", F.coalesce("links", F.lit(0)).alias("links"), (F.col("links").isNotNull() | (F.struct("id", "line") != F.col("first"))).alias("gone"))
-    sets = placed.groupBy(F.col("id").alias("doc_id")).agg(F.collect_set("line").alias("all"), F.collect_set(F.when(F.col("gone"), F.col("line"))).alias("out"), F.sum("links").alias("n_links"))
+    wanted = key_filter(kept.select("cls").distinct())
+    sets = texts.select("text").mapInArrow(_tokens_of(table, wanted), "cls long, two long, tokens binary").dropDuplicates(["cls", "two"])
+    full = kept.join(classes.select("cls", "two", "first.id", "first.line"), ["cls", "two"]).join(sets, ["cls", "two"])
+    later = by_list(full).mapInArrow(_links(percent), "cls long, two long, links long")
+    later = later.groupBy("cls", "two").agg(F.sum("links").alias("links"))
+    fates = written(classes.join(later, ["cls", "two"], "left"), "fates")
+    placed = with_class(lines.select("id", "line", "cls", "two"), fates, ["cls", "two"], "copies")
+    gone = F.col("links").isNotNull() | (F.struct("id", "line") != F.col("first"))
+    placed = placed.select("id", "line", F.coalesce("links", F.lit(0)).alias("links"), gone.alias("gone"))
+    sets = placed.groupBy(F.col("id").alias("doc_id")).agg(
+        F.collect_set("line").alias("all"), F.collect_set(F.when(F.col("gone"), F.col("line"))).alias("out"), F.sum("links").alias("n_links")
+    )
     return sets.select("doc_id", F.size("all").cast("long").alias("n_lines"), F.size("out").cast("long").alias("n_removed"), "n_links", F.sort_array("out").alias("removed_lines"))
 
 
+@F.arrow_udf(T.StringType())
+def _without(texts: pa.Array, removed: pa.Array) -> pa.Array:
+    """Each text without the lines at these positions."""
+    out = []
+    for text, gone in zip(texts, removed, strict=True):
+        if not text.is_valid or not gone.is_valid:
+            out.append(text.as_py())
+            continue
+        drop = set(gone.as_py())
+        out.append("\n".join(line for at, line in enumerate(text.as_py().split("\n")) if at not in drop))
+    return pa.array(out, pa.string())
+
+
 def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """``docs`` without the later of similar lines; a document of which no line with a word is left goes as a whole.
 
     Other rows (unchanged ones, empty or null texts, null ids) and all other columns stay as they are.
     """
-    fate = line_decisions(docs, id_col=id_col, text_col=text_col, percent=percent).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("removed_lines").alias("__removed"), (F.col("n_removed") == F.col("n_lines")).alias("__empty"))
-    joined = docs.join(fate, docs[id_col].cast("long") == fate["__id"], "left").where(~F.coalesce("__empty", F.lit(False)))
-    kept = F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda line, at: ~F.array_contains(F.col("__removed"), at)), "\n")
-    return joined.select(*[(F.when(F.col("__id").isNull(), docs[text_col]).otherwise(kept).alias(c) if c == text_col else docs[c]) for c in docs.columns])
+    fate = line_decisions(docs, id_col=id_col, text_col=text_col, percent=percent).where("n_removed > 0")
+    joined = docs.join(fate, docs[id_col].cast("long") == fate["doc_id"], "left").where(~F.coalesce(fate["n_removed"] == fate["n_lines"], F.lit(False)))
+    touched = fate["removed_lines"].isNotNull()
+    text = docs[text_col].cast("string")
+    kept = F.when(touched, _without(F.when(touched, text), fate["removed_lines"])).otherwise(text)
+    return joined.select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns])

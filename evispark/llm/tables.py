@@ -44,6 +44,23 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int = 200_000) -> DataFra
     return F.broadcast(df) if rows <= most else df
 
 
+#: A class with more than this share of all rows is joined by a broadcast; there are at most as many as its inverse.
+HEAVY = 2000
+
+
+def with_class(rows: DataFrame, classes: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` with the columns of their class; ``classes`` has one row for each key, with the number of its rows in ``size``.
+
+    The classes that hold more than one in HEAVY of all rows (fewer than HEAVY, whatever the data) are broadcast, so that
+    their rows stay where they are; only the others' rows are shuffled. Both tables are read twice: pass written ones.
+    """
+    total = classes.agg(F.sum(size)).first()[0] or 0
+    heavy = classes.where(F.col(size) * HEAVY > total)
+    light = classes.where(F.col(size) * HEAVY <= total)
+    few = F.broadcast(heavy)
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (a, b); component is the smallest node reachable.
 
