@@ -50,3 +50,34 @@ def cycle_phase(elapsed: Column, parts: list[tuple[str, int]]) -> Column:
         end -= length
         out = F.when(at < end + length, F.lit(name)).otherwise(out)
     return out
+
+
+def next_occurrence(base: Column, repeat: Column, after: Column) -> Column:
+    """The first date strictly after ``after`` of a repetition of ``base``, by day, week, month or year; days that a month or year lacks are skipped."""
+    days = lambda n: F.date_add(after, (F.pmod(F.datediff(base, after) - 1, F.lit(n)) + 1).cast("int"))
+    yearly = next_anniversary(base, F.date_add(after, 1))
+    return F.when(repeat == "day", F.date_add(after, 1)).when(repeat == "week", days(7)).when(repeat == "month", next_monthly(base, after)).when(repeat == "year", yearly)
+
+
+def cron_days(field: Column) -> Column:
+    """The weekdays (0 Sunday to 6; 7 is Sunday too) of "*", "1-5" or "1,3"; null if it can't be read."""
+    def days(part: Column) -> Column:
+        low, high = F.substring(part, 1, 1).cast("int"), F.substring(part, -1, 1).cast("int")
+        return F.when(part.rlike("^[0-7]-[0-7]$") & (low <= high), F.sequence(low, F.greatest(low, high))).when(part.rlike("^[0-7]$"), F.array(low))
+
+    parts = F.transform(F.split(field, ","), days)
+    every = F.array_distinct(F.transform(F.flatten(parts), lambda d: F.pmod(d, F.lit(7))))
+    return F.when(field == "*", F.sequence(F.lit(0), F.lit(6))).when(~F.exists(parts, lambda p: p.isNull()), every)
+
+
+def next_run(cron: Column, after: Column) -> Column:
+    """The first time after ``after`` of a schedule "minute hour * * weekdays"; null for any other form."""
+    parts = F.split(F.trim(cron), r"\s+")
+    sound = (F.size(parts) == 5) & F.trim(cron).rlike(r"^([0-5]?\d)\s+([01]?\d|2[0-3])\s+\*\s+\*\s+\S+$")
+    at = lambda i: F.coalesce(F.try_element_at(parts, F.lit(i)).try_cast("int"), F.lit(0))
+    minutes = at(2) * 60 + at(1)
+    days = cron_days(F.try_element_at(parts, F.lit(5)))
+    first = F.date_trunc("day", after)
+    made = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.timestamp_micros(F.unix_micros(first) + (k.cast("long") * 1440 + minutes) * 60_000_000))
+    fits = F.filter(made, lambda t: (t > after) & F.array_contains(days, F.dayofweek(t) - 1))
+    return F.when(sound & days.isNotNull(), F.array_min(fits))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,3 +38,32 @@ def linear_score(a: Column, weights: Column, bias: float) -> Column:
     """weights . a/|a| + bias; the bias alone for a zero vector."""
     size = norm(a)
     return F.when(size == 0, F.lit(bias)).otherwise(dot(a, weights) / size + bias)
+
+
+def as_blob(a: Column, kind: str) -> Column:
+    """The bytes of a vector: little-endian 32-bit floats ("float") or signed bytes ("int8")."""
+    dtype = {"float": "<f4", "int8": "i1"}[kind]
+
+    @F.arrow_udf(T.BinaryType())
+    def pack(rows: pa.Array) -> pa.Array:
+        return pa.array([np.asarray(r.as_py(), dtype).tobytes() if r.is_valid else None for r in rows], pa.binary())
+
+    return pack(a)
+
+
+def from_blob(blob: Column, width: int, scale: Column) -> Column:
+    """The vector in 4 * width bytes (floats) or width bytes (int8, times scale); null for any other length."""
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def unpack(blobs: pa.Array, scales: pa.Array) -> pa.Array:
+        out = []
+        for b, s in zip(blobs.to_pylist(), scales.to_pylist(), strict=True):
+            known = b is not None and len(b) in (width, 4 * width)
+            out.append(None if not known else np.frombuffer(b, "<f4").tolist() if len(b) == 4 * width else (np.frombuffer(b, "i1") * float(s)).tolist())
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return unpack(blob, scale)
+
+
+def most_similar(a: Column, others: Column) -> Column:
+    """The greatest cosine of a with any of an array of vectors; null of none."""
+    return F.array_max(F.transform(others, lambda o: cosine(a, o)))

@@ -49,4 +49,4 @@ def sql_token_estimate(column: str) -> str:
     )
 
 
-from evispark.plans import folds, retrieval, scalars, tabular  # noqa: E402, F401
+from evispark.plans import folds, retrieval, scalars, tabular, texts  # noqa: E402, F401

@@ -31,10 +31,11 @@ def f_word_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", F.concat_ws(",", tx.singular_forms(F.col("word"))).alias("singular"), tx.prefix_form(F.col("word")).alias("prefix"))
 
 
-_CHUNKS = "list_filter(list_transform(generate_series(0, greatest(ceil((length(text) - 200) / 1800.0)::INT - 1, 0)), lambda i: trim(substr(text, i * 1800 + 1, 2000), ' ')), lambda c: c <> '')"
+_BODY = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 
-@query(f"SELECT doc_id, len(c)::BIGINT AS n_chunks, coalesce(list_sum(list_transform(c, lambda x: length(x))), 0)::BIGINT AS n_chars FROM (SELECT doc_id, {_CHUNKS} AS c FROM documents)")
+@query(f"""SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE greatest(ceil((n - 200) / 1800.0)::BIGINT, 1) END AS n_chunks, CASE WHEN n = 0 THEN 0 ELSE n + 200 * (greatest(ceil((n - 200) / 1800.0)::BIGINT, 1) - 1) END AS n_chars
+  FROM (SELECT doc_id, length({_BODY}) AS n FROM documents)""")
 def f_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", tx.chunks(F.col("text")).alias("c"))
     return docs.select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("n_chars"))
