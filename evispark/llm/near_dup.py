@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.llm import bytewords as bw
-from evispark.llm.tables import components, key_filter, may_hold, written
+from evispark.llm.tables import components, key_filter, may_hold, with_class, written
 
 #: Coordinates in a band; members that one block of step 4 compares with another block's.
 BAND_ROWS, BLOCK_ROWS = 4, 256
@@ -162,10 +162,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     profiles = written(texts.mapInArrow(_profiles(shingle, bands), "id long, n long, one long, two long, bands array<long>"), "profiles")
     some = profiles.where("n > 0 AND id IS NOT NULL")
-    classes = some.groupBy("n", "one", "two").agg(F.min("id").alias("rep"))
-    members = written(some.join(classes, ["n", "one", "two"]).select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
-    reps = members.where("bands IS NOT NULL")
-    keyed = reps.select("id", "n", F.explode("bands").alias("key"))
+    # equal sets have equal bands, so that copies are folded where they are
+    of_class = ["n", "one", "two"]
+    classes = written(some.groupBy(*of_class).agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "classes")
+    keyed = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("low"), F.max("id").alias("last")).where("low.id < last").select("key", F.col("low.id").alias("pivot"), F.col("low.n").alias("pivot_n"))
     pairs = written(keyed.join(buckets, "key").where("id <> pivot").select("pivot", "pivot_n", "id", "n").distinct(), "pairs")
     wanted = written(pairs.select("id").union(pairs.select("pivot")).distinct(), "wanted")
@@ -185,22 +185,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         pairs.join(comp("id", "c"), "id", "left").join(comp("pivot", "p"), "pivot", "left")
         .select("pivot", "id", F.coalesce("c", "id").alias("comp"), F.coalesce("p", "pivot").alias("pivot_comp"))
     )
-    groups = placed.groupBy("pivot").agg(F.count("*").alias("members"), F.min("comp").alias("low_comp"), F.max("comp").alias("high_comp"), F.max(F.col("comp") != F.col("pivot_comp")).alias("apart"))
-    open_groups = groups.where("members > 1 AND apart AND low_comp <> high_comp").select("pivot", F.ceil(F.col("members") / BLOCK_ROWS).cast("int").alias("blocks"))
-    parts = (
-        placed.join(open_groups, "pivot").join(sets, "id").join(pivots, "pivot")
-        .select("pivot", "id", "comp", F.size("tokens").alias("n"), F.size("pivot_tokens").alias("pivot_n"), F.array_except("pivot_tokens", "tokens").alias("removed"), F.array_except("tokens", "pivot_tokens").alias("added"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    )
+    # members in the pivot's component and out of it; of the former no two need be compared
+    own = F.col("comp") == F.col("pivot_comp")
+    groups = placed.groupBy("pivot").agg(F.count_if(own).alias("in"), F.count_if(~own).alias("out"), F.min("comp").alias("low_comp"), F.max("comp").alias("high_comp"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int").alias(f"{c}_blocks")
+    open_groups = groups.where("out > 0 AND low_comp <> high_comp").select("pivot", blocks("in"), blocks("out"))
+    dealt = placed.join(open_groups, "pivot").join(sets, "id").join(pivots, "pivot")
+    inner, every = F.col("in_blocks"), F.col("in_blocks") + F.col("out_blocks")
+    place = F.when(own, F.pmod(F.xxhash64("id"), F.greatest(inner, F.lit(1)))).otherwise(inner + F.pmod(F.xxhash64("id"), F.greatest(F.col("out_blocks"), F.lit(1))))
+    parts = dealt.select(
+        "pivot", "id", "comp", F.size("tokens").alias("n"), F.size("pivot_tokens").alias("pivot_n"),
+        F.array_except("pivot_tokens", "tokens").alias("removed"), F.array_except("tokens", "pivot_tokens").alias("added"),
+        place.cast("int").alias("block"), F.explode(F.sequence(F.when(own, inner).otherwise(F.lit(0)), every - 1)).alias("other"),
+    ).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     rest = parts.groupBy("pivot", "low", "high").applyInPandas(_rest(percent), "a long, b long")
     rest = written(rest, "rest")
     if rest.isEmpty():
         final = first
     else:
         final = written(components(star.unionByName(rest)), "components")
-    labels = members.select("id", "rep").distinct().join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    labels = labels.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    label = F.coalesce("component", "id")
+    named = final.select(F.col("node").alias("rep"), "component")
+    fates = written(classes.drop("bands").join(named, "rep", "left").select(*of_class, "copies", F.coalesce("component", "rep").alias("label")), "fates")
+    rows = with_class(profiles.select("id", *of_class), fates, of_class, "copies").select("id", "label")
+    label = F.coalesce("label", "id")
+    labels = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("label").alias("label"))  # rows that share an id are one document
     return profiles.select("id", "n").join(labels, "id", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(label == F.col("id"), F.lit(True)).alias("kept")
     )
@@ -211,5 +219,6 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     Rows that share an id with equal texts are one document and are all kept or dropped together.
     """
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["gone"], "left_anti")
