@@ -6,8 +6,8 @@ the benchmark's N items (a shingle in no item weighs as one in a single item). W
 digits, lower-cased. An item or window of fewer than five words is one shingle.
 
 1. A window that shares no shingle with the item has similarity 0, so windows start where a shared shingle
-   aligns the document with the item. This prunes windows, loses none with the best alignment, and needs
-   only a probe of the benchmark's shingles for each document position.
+   aligns the document with the item, or between two such starts (``filled``). This only prunes, and needs one
+   probe of the benchmark's shingles for each document position. A window at a document's end may be shorter.
 2. Each window's words give a 64-bit SimHash. Its eight blocks of 8 bits are looked up in an index of
    the items' blocks with up to two bits flipped: by the pigeonhole principle that finds every item of the
    window's length within RADIUS = 23 bits. With equal weights a window of n words at 0.8 has at most n/9 other
@@ -74,6 +74,23 @@ def _by_block(fingerprint: Column, flips: bool) -> Column:
     return F.flatten(F.array(*parts))
 
 
+def filled(windows: Column) -> Column:
+    """The windows (n, start) with those between two of the same n that are at most n/4 words apart.
+
+    Where words were put into or taken out of an item, its parts align with different starts, and a window between them
+    can be the most similar one; farther apart, too much of the item would lie outside.
+    """
+    ordered = F.array_sort(windows)
+
+    def between(a: Column, b: Column) -> Column:
+        near = (a["n"] == b["n"]) & (b["start"] - a["start"] > 1) & (4 * (b["start"] - a["start"]) <= a["n"])
+        inner = F.transform(F.sequence(a["start"] + 1, b["start"] - 1), lambda s: F.struct(a["n"].alias("n"), s.alias("start")))
+        return F.when(near, inner)
+
+    gaps = F.zip_with(ordered, F.slice(ordered, F.lit(2), F.greatest(F.size(ordered), F.lit(1))), between)
+    return F.concat(ordered, F.flatten(F.filter(gaps, lambda g: g.isNotNull())))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, similarity, start, hamming) of the best window of each leaked item in each document."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), words_of(F.col(item_text_col)).alias("words")).where("item_id IS NOT NULL AND size(words) > 0").dropDuplicates(["item_id", "words"])
@@ -99,7 +116,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     positions = reduce(DataFrame.unionByName, runs)
     seeds = broadcast_if_small(spread.select("h", F.least("n", F.lit(SHINGLE)).alias("k"), "n", "ipos").distinct(), n_shingles)
     starts = positions.join(seeds, ["h", "k"]).select("doc_id", "n", F.greatest(F.col("pos") - F.col("ipos"), F.lit(0)).alias("start")).distinct()
-    starts = written(starts.groupBy("doc_id").agg(F.collect_set(F.struct("n", "start")).alias("windows")), "windows")
+    starts = written(starts.groupBy("doc_id").agg(filled(F.collect_set(F.struct("n", "start"))).alias("windows")), "windows")
 
     opened = broadcast_if_small(starts, starts.agg(F.sum(F.size("windows"))).first()[0] or 0).join(texts, "doc_id").select("doc_id", "windows", words_of(F.col("text")).alias("words"))
     window = opened.select("doc_id", F.explode("windows").alias("x"), "words").select("doc_id", "x.n", "x.start", F.slice("words", F.col("x.start") + 1, F.col("x.n")).alias("words"))

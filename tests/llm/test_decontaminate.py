@@ -91,3 +91,36 @@ def test_empty_tables(spark):
     items, nothing = spark.createDataFrame([(1, "a b c")], "item_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(none, items).collect() == []
     assert decontaminate.leaks(some, nothing).collect() == []
+
+
+def test_words_put_in_and_taken_out(spark):
+    """Items that are broken up inside, with shingles of very different weight: all windows against all items, many seeds."""
+    docs, items = [], []
+    for seed in range(2):
+        rng = random.Random(100 + seed)
+        vocabulary = [f"w{seed}x{i}" for i in range(300)]
+        common = [rng.choice(vocabulary) for _ in range(12)]  # shared by most items: light shingles
+        own = [[*common, *(rng.choice(vocabulary) for _ in range(rng.choice([20, 45])))] for _ in range(6)]
+        items += [(100 * seed + i, " ".join(t)) for i, t in enumerate(own)]
+        for d in range(25):
+            leak = list(rng.choice(own))
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                at = rng.randrange(len(leak))
+                if rng.random() < 0.5:
+                    leak[at:at] = [rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 4]))]
+                else:
+                    del leak[at : at + rng.choice([1, 2])]
+            before = [rng.choice(vocabulary) for _ in range(12)]
+            docs.append((1000 * seed + d, " ".join([*before, *leak, *reversed(before)])))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute(docs, items)
+    assert len(want) > 9 and {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    item = " ".join(f"part{i}" for i in range(20))
+    rows = [(1, "filler words of no kind at all " * 6_000 + item, 7, 1, 1, "x"), (2, "clean", 7, 1, 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int, start int, h int, gone string")
+    items = spark.createDataFrame([(5, item, 1, 1)], "item_id long, text string, words int, df int")
+    assert [(r.doc_id, r.item_id, r.start) for r in decontaminate.leaks(docs, items).collect()] == [(1, 5, 7 * 6_000)]
+    assert [tuple(r) for r in decontaminate.drop_leaked(docs, items).collect()] == [rows[1]]
