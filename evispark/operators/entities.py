@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import text as tx
 from evispark.operators.sizes import small
 
-#: Rows of a ranked list that copies are looked for in, at most.
-LIST_ROWS = 200
-
 
 def _spaced(text: Column, fold: bool) -> Column:
     """Words with one space around each."""
@@ -61,24 +59,23 @@ def successors(rows: DataFrame, id_col: str, next_col: str, live: Column) -> Dat
 
 
 def without_copies(ranked: DataFrame, *, share: float = 0.6) -> DataFrame:
-    """Rows of (q, doc, rank, title, body) without those that copy a kept one above them: the same title, and at least ``share`` of either's word pairs in the other.
+    """(q, doc) of the rows of (q, doc, rank, title, body) that copy no kept one above them: the same title, and at least ``share`` of either's word pairs in the other.
 
-    Only rows of one query and title are compared. A row goes if a kept row above it is a copy, so each list (of at most
-    LIST_ROWS rows of a title) is walked once, in order.
+    Only rows of one query and title are compared, each with those kept, in order of rank: a few rows of a ranked list.
     """
     title = F.trim(F.regexp_replace(F.lower("title"), r"\s+", " "))
-    pairs = F.transform(tx.word_bigrams(F.col("body")), lambda p: F.xxhash64(p))
-    rows = ranked.select("q", "doc", "rank", title.alias("t"), pairs.alias("pairs"))
-    lists = rows.groupBy("q", "t").agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "doc", "pairs"))), 1, LIST_ROWS).alias("rows"))
-    none = F.slice("rows", F.lit(1), F.lit(0))
-
-    def step(kept: Column, row: Column) -> Column:
-        both = lambda k: F.size(F.array_intersect(row["pairs"], k["pairs"]))
-        copy = F.exists(kept, lambda k: both(k) >= F.greatest(share * F.least(F.size(row["pairs"]), F.size(k["pairs"])), F.lit(1)))
-        return F.when(copy, kept).otherwise(F.array_append(kept, row))
-
-    kept = lists.select("q", F.explode(F.aggregate("rows", none, step)).alias("k")).select("q", "k.doc")
-    return ranked.join(kept, ["q", "doc"], "left_semi")
+
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        kept, docs = [], []
+        for row in rows.sort_values("rank").itertuples():
+            words = (row.body or "").lower().split()
+            pairs = set(zip(words, words[1:], strict=False))
+            if not any(pairs and k and len(pairs & k) >= share * min(len(pairs), len(k)) for k in kept):
+                kept.append(pairs)
+                docs.append(row.doc)
+        return pd.DataFrame({"q": rows["q"].iat[0], "doc": pd.Series(docs, dtype="int64")})
+
+    return ranked.select("q", "doc", "rank", title.alias("t"), "body").groupBy("q", "t").applyInPandas(keep, "q long, doc long")
 
 
 def similar_documents(docs: DataFrame, id_col: str, text_col: str, *, percent: int = 90) -> DataFrame:

@@ -241,3 +241,26 @@ def evaluate(ranked: DataFrame, expected: DataFrame) -> DataFrame:
     best = F.min("rank")
     hit = lambda k: F.coalesce(best <= k, F.lit(False))
     return joined.groupBy("q").agg(hit(1).alias("hit1"), hit(3).alias("hit3"), hit(6).alias("hit6"), (F.count("rank") == F.count("*")).alias("all_found"), F.coalesce(1 / best, F.lit(0.0)).alias("rr"))
+
+
+def recall_by_language(queries: DataFrame, served: DataFrame) -> DataFrame:
+    """(lang, recall, false_rate): answerable questions with a hit, and others with anything served; null where there is none.
+
+    queries: (q, lang, answerable); served: (q, hit, ...).
+    """
+    got = served.groupBy("q").agg(F.bool_or("hit").alias("found"), F.lit(True).alias("got"))
+    each = queries.join(got, "q", "left").select("lang", "answerable", F.coalesce("found", F.lit(False)).cast("int").alias("found"), F.coalesce("got", F.lit(False)).cast("int").alias("got"))
+    return each.groupBy("lang").agg(F.avg(F.when(F.col("answerable"), F.col("found"))).alias("recall"), F.avg(F.when(~F.col("answerable"), F.col("got"))).alias("false_rate"))
+
+
+def choose_floor(queries: DataFrame, served: DataFrame, grid: list[float], most_false: float) -> DataFrame:
+    """(floor, recall, false_rate) of the floor with the greatest mean recall over languages among those whose mean of false accepts is in bounds; ties: the highest.
+
+    A question counts up to its best hit's and its best row's score, so each is looked at once for all floors of the grid.
+    """
+    best = served.groupBy("q").agg(F.max(F.when(F.col("hit"), F.col("score"))).alias("hit"), F.max("score").alias("top"))
+    each = queries.join(best, "q", "left").withColumn("floor", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
+    reached = lambda c: F.coalesce(F.col(c) >= F.col("floor"), F.lit(False)).cast("int")
+    by_lang = each.groupBy("floor", "lang").agg(F.avg(F.when(F.col("answerable"), reached("hit"))).alias("recall"), F.avg(F.when(~F.col("answerable"), reached("top"))).alias("fa"))
+    means = by_lang.groupBy("floor").agg(F.avg("recall").alias("recall"), F.coalesce(F.avg("fa"), F.lit(0.0)).alias("fa")).where(F.col("fa") <= most_false + 1e-9)
+    return means.orderBy(F.round("recall", 9).desc(), F.desc("floor")).limit(1).select("floor", F.round("recall", 6).alias("recall"), F.round("fa", 6).alias("false_rate"))

@@ -265,4 +265,4 @@ def h_without_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = rk.content_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
     ranked = rk.top_k(rk.field_weighted_tf(docs, terms, "doc_id", "title", "text"), 20)
     full = ranked.join(docs.select(F.col("doc_id").alias("doc"), "title", F.col("text").alias("body")), "doc")
-    return en.without_copies(full).select("q", "doc", "rank")
+    return en.without_copies(full)
