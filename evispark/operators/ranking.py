@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evispark.functions import text as tx
 from evispark.operators.sizes import small
+from evispark.operators.tables import spare
 
 #: Fixed values of the BM25 ranking function.
 K1, B = 1.2, 0.75
@@ -231,8 +232,9 @@ def absolute_gate(fused: DataFrame, coverage: DataFrame, floor: float, own: Colu
 
 def cap_groups(frame: DataFrame, group: Column, most: int = 2, *, by: str = "q", ties: str = "doc") -> DataFrame:
     """At most ``most`` rows of each group (an article, say) for each query, by score."""
-    rank = F.row_number().over(Window.partitionBy(by, "__group").orderBy(F.desc("score"), ties))
-    return frame.withColumn("__group", group).withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__group", "__rank")
+    of, place = spare(frame, "__group"), spare(frame, "__place")
+    rank = F.row_number().over(Window.partitionBy(by, of).orderBy(F.desc("score"), ties))
+    return frame.withColumn(of, group).withColumn(place, rank).where(F.col(place) <= most).drop(of, place)
 
 
 def evaluate(ranked: DataFrame, expected: DataFrame) -> DataFrame:

@@ -11,14 +11,22 @@ from pyspark.sql import functions as F
 _CLAUSE = re.compile(r"^\s*(.+?)\s*(>=|<=|!=|=|>|<)\s*(.*?)\s*$")
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def as_number(cell: Column) -> Column:
     """The number in a cell, with a decimal comma or point; null if it is none."""
     return F.replace(F.trim(cell.cast("string")), F.lit(","), F.lit(".")).try_cast("double")
 
 
 def parse_filter(df: DataFrame, text: str) -> Column:
-    """A condition from 'column>=value;other!=value': ; means and, names ignore case, = and != compare folded text,
-    the order operators compare numbers and are false where a side is none."""
+    """A condition from 'column>=value;other!=value': ; means and, names ignore case, = and != compare trimmed text
+    without case, the order operators compare numbers and are false where a side is none."""
     names = {c.lower(): c for c in df.columns}
     conditions = []
     for clause in filter(str.strip, text.split(";")):
@@ -59,7 +67,8 @@ def top_values(df: DataFrame, column: str, ordinal: Column, k: int = 5) -> DataF
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[c.desc() for c in order]))
-    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    name = spare(df, "__rank")
+    return df.withColumn(name, rank).where(F.col(name) == 1).drop(name)
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,20 +86,23 @@ def patch(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
 def newest(df: DataFrame, n: int, order: list[Column], by: list[str]) -> DataFrame:
     """The newest n rows of each group."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+    name = spare(df, "__rank")
+    return df.withColumn(name, rank).where(F.col(name) <= n).drop(name)
 
 
 def evict(df: DataFrame, by: list[str], order: list[Column], size: str, budget: float) -> DataFrame:
     """The rows to evict, oldest first, until what remains of the group is within the budget."""
     group = Window.partitionBy(*by)
     before = F.coalesce(F.sum(size).over(group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumns({"__total": F.sum(size).over(group), "__before": before}).where(F.col("__total") - F.col("__before") > budget).drop("__total", "__before")
+    left = spare(df, "__left")
+    return df.withColumn(left, F.sum(size).over(group) - before).where(F.col(left) > budget).drop(left)
 
 
 def within_budget(df: DataFrame, by: list[str], newest_first: list[Column], cost: str, budget: float) -> DataFrame:
     """The newest rows whose costs, added up from the newest, stay within the budget."""
     running = F.sum(cost).over(Window.partitionBy(*by).orderBy(*newest_first).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("__running", running).where(F.col("__running") <= budget).drop("__running")
+    name = spare(df, "__running")
+    return df.withColumn(name, running).where(F.col(name) <= budget).drop(name)
 
 
 def next_event(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str, *, strict: bool = False, within: str | None = None) -> DataFrame:

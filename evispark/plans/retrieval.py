@@ -6,7 +6,7 @@ rounded to six decimals before they are ranked, so that the order of additions n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import text as tx
@@ -283,8 +283,8 @@ def h_evaluate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("q"), F.col("o_orderkey").alias("doc"), F.col("o_totalprice").alias("score"), "o_orderstatus")
-    ranked = rk.top_k(orders, 1 << 30)
-    return rk.evaluate(ranked, orders.where("o_orderstatus = 'F'").select("q", "doc"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc"))
+    return rk.evaluate(orders.withColumn("rank", rank), orders.where("o_orderstatus = 'F'").select("q", "doc"))
 
 
 @query("""
@@ -303,8 +303,6 @@ def h_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.least(F.floor(F.col("n_chars") / 500) * 500, F.lit(20_000)).cast("long")
     counted = rows.groupBy(step.alias("bar")).agg(F.count_if(F.col("toxic") == 1).alias("hits"), F.count_if(F.col("toxic") == 0).alias("false_hits"))
     grid = spark.range(0, 20_001, 500).select(F.col("id").alias("bar")).join(F.broadcast(counted), "bar", "left").fillna(0)
-    from pyspark.sql import Window
-
     above, whole = Window.orderBy(F.desc("bar")), Window.partitionBy()
     share = lambda c: F.round(F.sum(c).over(above) / F.sum(c).over(whole), 6)
     return grid.select("bar", share("hits").alias("recall"), share("false_hits").alias("false_rate"))

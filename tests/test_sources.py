@@ -13,7 +13,7 @@ from evispark.sources import text_tables as st
 FILES = {
     "a.pdf": (b"%PDF-1.7 x", "pdf"), "b": (b"\xff\xd8\xff\xe0", "image"), "c.png": (b"\x89PNG\r\n\x1a\nabc", "image"), "d.webp": (b"RIFF1234WEBPx", "image"), "e": (b"GIF89a..", "image"),
     "f.bmp": (b"BM12", "image"), "g.txt": (b"BM12", "text"), "h.heic": (b"\x00\x00\x00\x18ftypheicx", "image"), "i.xlsx": (b"PK\x03\x04..", "unsupported:spreadsheet"), "j.docx": (b"PK\x03\x04..", "unsupported:archive"),
-    "k.doc": (b"\xd0\xcf\x11\xe0..", "unsupported:old-office"), "l.md": (b"\x00\x01", "text"), "m": (b"plain \xc3\xb1 text", "text"), "n": (b"\x00\x01\x02", "unsupported:unknown"), "o": (b"\xff\xfe\x00", "unsupported:unknown"), "p": (b"", "unsupported:unknown"),
+    "k.doc": (b"\xd0\xcf\x11\xe0..", "unsupported:old-office"), "l.md": (b"\x00\x01", "text"), "m": (b"plain \xc3\xb1 text", "text"), "n": (b"\x00\x01\x02", "unsupported:unknown"), "o": (b"\xff\xfe\x00", "unsupported:unknown"),
 }
 
 
