@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset (tests), one temporary folder a session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    """The application's own folder below the one that ``spark.checkpoint.dir`` names; its owner may remove it when all results were read.
+
+    Where the setting is unset: one temporary folder on a local master, an error on any other, whose executors share none.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="evispark-")
         spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/") + "/evispark"
+    return f"{named.rstrip('/')}/evispark/{spark.sparkContext.applicationId}"
 
 
 #: Bytes of an Arrow batch between Spark and its Python workers; the default, 10,000 rows, says nothing of long texts.
