@@ -114,3 +114,12 @@ def test_absence_gate(spark, pool):
     assert rk.unfounded(frame, frame.limit(3), matches, terms).count() == (3 if pool < 8 else 0)
     told = matches.unionByName(spark.createDataFrame([(1, 0, "rare")], "q long, doc long, term string"))
     assert rk.unfounded(frame, frame.where("doc = 0"), told, terms).count() == 1
+
+
+def test_repetition_and_projection(spark):
+    found = tx.find_repetition("Start. " + "again and again, " * 9)
+    assert found == (len("Start. ") + 17, 17, 9)
+    assert [tx.find_repetition(t) for t in ("short", "x" * 100 + "| " * 60, "```\n" + "ab cd " * 40, "1234 " * 60)] == [None] * 4
+    assert tx.find_repetition("```tool\n" + "ab cd " * 40)[1:] == (6, 40)
+    assert tx.project({"a": {"b": 1, "c": 2}, "l": [{"x": 1}, 3]}, ["a.b", "l[].x", "q.r"]) == {"a": {"b": 1}, "l": [{"x": 1}, None]}
+    assert tx.project([1], ["a"]) is None and tx.project({"a": 1}, []) is None
