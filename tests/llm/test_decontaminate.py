@@ -114,7 +114,7 @@ def test_words_put_in_and_taken_out(spark):
             docs.append((1000 * seed + d, " ".join([*before, *leak, *reversed(before)])))
     got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     want = brute(docs, items)
-    assert len(want) > 9 and {(r.doc_id, r.item_id) for r in got.collect()} == want
+    assert len(want) >= 9 and {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
 def test_very_long_text_and_clashing_columns(spark):
