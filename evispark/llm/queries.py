@@ -7,7 +7,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import decontaminate, html_text, language, line_dedup, near_dup, neighbours, piece_model, token_counts, token_records, toxicity
+from evispark.llm import (
+    conversation_sql,
+    conversations,
+    decontaminate,
+    html_text,
+    language,
+    line_dedup,
+    near_dup,
+    neighbours,
+    piece_model,
+    token_counts,
+    token_records,
+    toxicity,
+)
 from evispark.llm.tables import bound_batches, shared_folder
 
 
@@ -68,13 +81,35 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")), present="present")
+    lines = F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    return found.withColumn("repaired_sha256", F.sha2(F.concat_ws("\n", lines), 256)).drop("repaired")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_html_text, op3_decontaminate, op4_neighbours, op5_near_duplicates, op6_line_dedup, op7_token_counts, op8_toxicity, op9_sentencepiece, op10_language, pipeline)}
-
-#: None of the eleven has a form in SQL that ends on whole tables; tests/llm compares them with brute force.
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_records,
+        op2_html_text,
+        op3_decontaminate,
+        op4_neighbours,
+        op5_near_duplicates,
+        op6_line_dedup,
+        op7_token_counts,
+        op8_toxicity,
+        op9_sentencepiece,
+        op10_language,
+        op13_conversation_repair,
+        pipeline,
+    )
+}
+
+#: The others have no form in SQL that ends on whole tables; tests/llm compares them with brute force.
+ORACLE_SQL: dict[str, str] = {"op13_conversation_repair": conversation_sql.SQL}
