@@ -17,6 +17,7 @@ from evispark.llm import (
     near_dup,
     neighbours,
     piece_model,
+    secret_scan,
     token_counts,
     token_records,
     toxicity,
@@ -81,6 +82,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda f: f["kind"].isin(*secret_scan.PATTERNS))
+    count = lambda kind: F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    shown = lambda spans: F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
+    return found.select("doc_id", *map(count, secret_scan.PATTERNS), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("found")).alias("spans"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")), present="present")
     lines = F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
@@ -106,6 +115,7 @@ QUERIES = {
         op8_toxicity,
         op9_sentencepiece,
         op10_language,
+        op11_secrets,
         op13_conversation_repair,
         pipeline,
     )
