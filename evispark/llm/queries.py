@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.llm import (
+    alignment,
     conversation_sql,
     conversations,
     decontaminate,
@@ -90,6 +91,12 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secret_scan.PATTERNS), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("found")).alias("spans"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), digest=True)
+    counted = alignment.with_counts(found, alignment.link_counts(found))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")), present="present")
     lines = F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
@@ -116,6 +123,7 @@ QUERIES = {
         op9_sentencepiece,
         op10_language,
         op11_secrets,
+        op12_alignment,
         op13_conversation_repair,
         pipeline,
     )
