@@ -105,22 +105,55 @@ def within_budget(df: DataFrame, by: list[str], newest_first: list[Column], cost
     return df.withColumn(name, running).where(F.col(name) <= budget).drop(name)
 
 
-def next_event(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str, *, strict: bool = False, within: str | None = None) -> DataFrame:
+def _linear(df: DataFrame, time: str) -> Column:
+    """A time (or number) as a double that keeps its order."""
+    kind = df.schema[time].dataType.typeName()
+    return F.unix_micros(F.col(time).cast("timestamp")).cast("double") if kind in ("timestamp", "timestamp_ntz", "date") else F.col(time).cast("double")
+
+
+def next_event(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    left_time: str,
+    right_time: str,
+    value: str,
+    *,
+    strict: bool = False,
+    within: str | None = None,
+    ties: list[str] | None = None,
+    cells: int = 256,
+) -> DataFrame:
     """Forward as-of join: each left row with the earliest right time at or after it (after it, if strict), as ``next_time`` and ``next_value``.
 
-    One shuffle on the keys and one sorted pass: both sides are stacked and the next right row is looked up in
-    a window, so a busy key costs its rows, not their product. ``within`` (an interval) bounds the distance.
+    Of right rows at one time the first by ``ties`` (columns of ``right``; its value if none are given) counts. Null keys and
+    times meet nothing. ``within`` (an interval) bounds the distance. Left columns keep their names, whatever ``right`` has.
+
+    Linear in a key's rows: both sides are stacked and sorted once, latest first, so that a frame which only grows carries
+    the last right row seen. Time is cut into ``cells`` equal parts, so a busy key is sorted in as many tasks; a
+    small table of each key's first right row of each cell (no more than keys x cells rows) gives what lies in later cells.
     """
     payload = [c for c in left.columns if c not in keys]
-    stacked = left.select(*keys, F.col(left_time).alias("__t"), F.lit(1 if strict else 0).alias("__side"), F.struct(*payload).alias("__row"), F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(None).cast(right.schema[right_time].dataType).alias("__next"))
-    events = right.select(*keys, F.col(right_time).alias("__t"), F.lit(0 if strict else 1).alias("__side"), F.lit(None).cast(stacked.schema["__row"].dataType).alias("__row"), F.col(value).alias("__v"), F.col(right_time).alias("__next"))
-    ahead = Window.partitionBy(*keys).orderBy(F.col("__t"), F.col("__side")).rowsBetween(1, Window.unboundedFollowing)
-    hit = F.first(F.when(F.col("__next").isNotNull(), F.struct("__next", "__v")), ignorenulls=True).over(ahead)
-    found = stacked.unionByName(events).withColumn("__hit", hit).where("__row IS NOT NULL")
+    at = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    names = [f"__k{i}" for i in range(len(keys))]
+    known = right.where(F.col(right_time).isNotNull()).dropna(subset=keys)
+    hit = F.struct(F.col(right_time).alias("time"), *[F.col(c).alias(f"tie{i}") for i, c in enumerate(ties or [value])], F.col(value).alias("value"))
+    own = left.select(*at, _linear(left, left_time).alias("__t"), F.lit(1 if strict else 0).alias("__side"), F.struct(*keys, *payload).alias("__row"))
+    other = known.select(*at, _linear(right, right_time).alias("__t"), F.lit(0 if strict else 1).alias("__side"), hit.alias("__hit"))
+    low, high = own.select("__t").unionByName(other.select("__t")).agg(F.min("__t"), F.max("__t")).first()
+    width = (high - low) / cells if low is not None and high > low else 1.0
+    stacked = own.unionByName(other, allowMissingColumns=True).withColumn("__cell", F.floor((F.col("__t") - F.lit(low or 0.0)) / F.lit(width)).cast("int"))
+
+    seen = lambda w: F.last("__hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    latest_first = [F.col("__t").desc(), F.col("__side").desc(), F.col("__hit").desc()]
+    here = stacked.withColumn("__found", seen(Window.partitionBy(*names, "__cell").orderBy(*latest_first))).where("__row IS NOT NULL")
+    firsts = stacked.groupBy(*names, "__cell").agg(F.min("__hit").alias("__hit"))
+    later = firsts.select(*names, "__cell", seen(Window.partitionBy(*names).orderBy(F.col("__cell").desc())).alias("__later"))
+    found = here.drop("__hit").join(later.where("__later IS NOT NULL"), [*names, "__cell"], "left").withColumn("__found", F.coalesce("__found", "__later"))
     if within:
-        near = F.col("__hit.__next") <= F.col("__t") + F.expr(within)
-        found = found.withColumn("__hit", F.when(near, F.col("__hit")))
-    return found.select(*keys, "__row.*", F.col("__hit.__next").alias("next_time"), F.col("__hit.__v").alias("next_value"))
+        start = F.col(f"__row.`{left_time}`")
+        found = found.withColumn("__found", F.when(F.col("__found.time") <= start + F.expr(within), F.col("__found")))
+    return found.select("__row.*", F.col("__found.time").alias("next_time"), F.col("__found.value").alias("next_value"))
 
 
 def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:

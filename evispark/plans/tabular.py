@@ -90,11 +90,14 @@ def t_previous_user_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NEXT = """
-SELECT v.user_id, v.event_id, (SELECT min(p.ts) FROM events p WHERE p.user_id = v.user_id AND p.event_type = 'purchase' AND p.ts {op} v.ts {within}) AS next_time
-FROM events v WHERE v.event_type = 'view'"""
+SELECT v.user_id, v.event_id, p.ts AS next_time, p.value AS next_value
+FROM events v LEFT JOIN events p ON p.event_id = (
+  SELECT arg_min(n.event_id, (n.ts, n.event_id)) FROM events n
+  WHERE n.user_id = v.user_id AND n.event_type = 'purchase' AND n.ts {op} v.ts {within})
+WHERE v.event_type = 'view'"""
 
 
-@query(_NEXT.format(op=">=", within="AND p.ts <= v.ts + INTERVAL 1 DAY"))
+@query(_NEXT.format(op=">=", within="AND n.ts <= v.ts + INTERVAL 1 DAY"))
 def j_next_purchase_in_a_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _next(spark, sf_dir, within="INTERVAL 1 DAY")
 
@@ -107,8 +110,26 @@ def j_next_purchase_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _next(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     events = table(spark, sf_dir, "events")
     views = events.where("event_type = 'view'").select("user_id", "event_id", "ts")
-    buys = events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("at"), "value")
-    return tb.next_event(views, buys, ["user_id"], "ts", "at", "value", **how).select("user_id", "event_id", "next_time")
+    buys = events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("at"), "value", F.col("event_id").alias("buy_id"))
+    found = tb.next_event(views, buys, ["user_id"], "ts", "at", "value", ties=["buy_id"], **how)
+    return found.select("user_id", "event_id", "next_time", "next_value")
+
+
+@query("""
+WITH risks AS (SELECT user_id, ts, event_id, event_type, value FROM events WHERE event_type IN ('error', 'purchase')),
+firsts AS (SELECT v.event_id, arg_min(r.event_type, (r.ts, r.event_id)) AS kind, arg_min(r.value, (r.ts, r.event_id)) AS value
+  FROM events v LEFT JOIN risks r ON r.user_id = v.user_id AND r.ts >= v.ts AND r.ts <= v.ts + INTERVAL 1 HOUR
+  WHERE v.event_type = 'click' GROUP BY v.event_id)
+SELECT CASE WHEN kind = 'error' AND value > 20 THEN 'memory' WHEN kind = 'error' THEN 'crash' ELSE 'unknown' END AS cause, count(*) AS n FROM firsts GROUP BY 1""")
+def j_interruption_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first exit within the hour after each start says of its end: an exit is an error or a purchase, the value tells the kind."""
+    events = table(spark, sf_dir, "events")
+    starts = events.where("event_type = 'click'").select("user_id", "event_id", "ts")
+    exits = events.where("event_type IN ('error', 'purchase')").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("exit_id"), F.struct("event_type", "value").alias("exit"))
+    found = tb.next_event(starts, exits, ["user_id"], "ts", "at", "exit", ties=["exit_id"], within="INTERVAL 1 HOUR")
+    error = F.col("next_value.event_type") == "error"
+    cause = F.when(error & (F.col("next_value.value") > 20), "memory").when(error, "crash").otherwise("unknown")
+    return found.groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, n_nationkey FROM events, nation WHERE value BETWEEN n_nationkey * 10 AND n_nationkey * 10 + 14")
