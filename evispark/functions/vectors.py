@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,26 +41,55 @@ def linear_score(a: Column, weights: Column, bias: float) -> Column:
     return F.when(size == 0, F.lit(bias)).otherwise(dot(a, weights) / size + bias)
 
 
+def _blobs(rows: pa.Array, dtype: np.dtype) -> pa.Array:
+    """The bytes of each row of a list column, all rows at once; null where a row is null or holds a null."""
+    lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = rows.flatten()
+    values = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype(dtype)
+    ends = np.append(0, np.cumsum(lengths))
+    nulls = np.append(0, np.cumsum(flat.is_null().to_numpy(zero_copy_only=False)))
+    sound = (nulls[ends[1:]] == nulls[ends[:-1]]) & rows.is_valid().to_numpy(zero_copy_only=False)
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends * values.itemsize), pa.py_buffer(values.tobytes())])
+    return pc.if_else(pa.array(sound), whole, None).cast(pa.binary())
+
+
 def as_blob(a: Column, kind: str) -> Column:
-    """The bytes of a vector: little-endian 32-bit floats ("float") or signed bytes ("int8")."""
-    dtype = {"float": "<f4", "int8": "i1"}[kind]
+    """The bytes of a vector: little-endian 32-bit floats ("float") or signed bytes ("int8"); null if it or one of its numbers is."""
+    dtype = np.dtype({"float": "<f4", "int8": "i1"}[kind])
 
     @F.arrow_udf(T.BinaryType())
     def pack(rows: pa.Array) -> pa.Array:
-        return pa.array([np.asarray(r.as_py(), dtype).tobytes() if r.is_valid else None for r in rows], pa.binary())
+        return _blobs(rows, dtype)
 
     return pack(a)
 
 
+def blob_rows(blobs: pa.Array, width: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For 'f4' (4 * width bytes) and 'i1' (width bytes): which rows have that length, and their numbers as a matrix; no other row is in either."""
+    whole = pc.fill_null(blobs.cast(pa.large_binary()), b"")
+    ends = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    raw = whole.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    lengths, out = np.diff(ends), {}
+    for kind, size in (("f4", 4 * width), ("i1", width)):
+        at = np.flatnonzero((lengths == size) & (size > 0))
+        own = data[ends[:-1][at][:, None] + np.arange(size)] if len(at) else np.zeros((0, size), np.uint8)
+        out[kind] = at, np.ascontiguousarray(own).view("<f4" if kind == "f4" else "i1").reshape(len(at), width)
+    return out
+
+
 def from_blob(blob: Column, width: int, scale: Column) -> Column:
     """The vector in 4 * width bytes (floats) or width bytes (int8, times scale); null for any other length."""
+
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def unpack(blobs: pa.Array, scales: pa.Array) -> pa.Array:
-        out = []
-        for b, s in zip(blobs.to_pylist(), scales.to_pylist(), strict=True):
-            known = b is not None and len(b) in (width, 4 * width)
-            out.append(None if not known else np.frombuffer(b, "<f4").tolist() if len(b) == 4 * width else (np.frombuffer(b, "i1") * float(s)).tolist())
-        return pa.array(out, pa.list_(pa.float64()))
+        out, known = np.zeros((len(blobs), width)), np.zeros(len(blobs), bool)
+        steps = scales.cast(pa.float64()).to_numpy(zero_copy_only=False)
+        for kind, (at, rows) in blob_rows(blobs, width).items():
+            out[at] = rows if kind == "f4" else rows * steps[at][:, None]
+            known[at] = True
+        ends = pa.array(np.append(0, np.cumsum(known * width)).astype(np.int32), mask=np.append(~known, False))
+        return pa.ListArray.from_arrays(ends, pa.array(out[known].ravel()))
 
     return unpack(blob, scale)
 

@@ -11,9 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evispark.functions.vectors import as_blob, blob_rows, from_blob, quantise, quantise_scale
 from evispark.operators.ranking import top_k
 from evispark.operators.sizes import BROADCAST_BYTES
 
@@ -30,25 +31,57 @@ def _matrix(column: pa.Array, unit: bool) -> np.ndarray:
     return out / np.where(length > 0, length, 1.0)  # a zero vector has a similarity of 0 to all
 
 
+_BLOCK = "ids binary, kind string, rows binary, scale binary"
+
+
+def _block(ids: np.ndarray, kind: str, rows: np.ndarray, scale: np.ndarray) -> pa.RecordBatch:
+    parts = [ids.astype("<i8").tobytes()], [kind], [np.ascontiguousarray(rows).tobytes()], [scale.astype("<f8").tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array(p) for p in parts], ["ids", "kind", "rows", "scale"])
+
+
 def _pack(unit: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK_VECTORS):
                 part = batch.slice(a, BLOCK_VECTORS)
-                x = _matrix(part.column(1), unit)
-                ids = part.column(0).to_numpy().astype("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([x.astype("<f8").tobytes()])], ["ids", "rows"])
+                yield _block(part.column(0).to_numpy(), "f8", _matrix(part.column(1), unit).astype("<f8"), np.ones(part.num_rows))
+
+    return run
+
+
+def _pack_stored(width: int, unit: bool):
+    """Blocks of stored bytes as they are; ``scale`` has what a row's numbers are to be multiplied by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK_VECTORS):
+                part = batch.slice(a, BLOCK_VECTORS)
+                ids, steps = part.column(0).to_numpy(), part.column(2).to_numpy(zero_copy_only=False).astype(float)
+                for kind, (at, rows) in blob_rows(part.column(1), width).items():
+                    length = np.sqrt(np.einsum("ij,ij->i", rows, rows, dtype=np.float64))
+                    scale = np.where(length > 0, 1 / np.where(length > 0, length, 1), 0) if unit else steps[at] if kind == "i1" else np.ones(len(at))
+                    sound = np.isfinite(length) & np.isfinite(scale)
+                    if sound.any():
+                        yield _block(ids[at][sound], kind, rows[sound], scale[sound])
 
     return run
 
 
+def _dot(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """All inner products in double precision; those of int8 codes are integers, which single precision has exactly up to 2**24."""
+    codes = q.dtype == d.dtype == np.int8
+    kind = np.float32 if codes and q.shape[1] * 127 * 127 < 1 << 24 else np.float64
+    return (q.astype(kind) @ d.astype(kind).T).astype(np.float64)
+
+
 def _product(k: int | None, least: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q_rows, ids, rows in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for q_ids, q_kind, q_rows, q_scale, ids, kind, rows, scale in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 q, d = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                scores = np.frombuffer(q_rows, "<f8").reshape(len(q), -1) @ np.frombuffer(rows, "<f8").reshape(len(d), -1).T
-                scores = np.round(scores, 6)
+                of = lambda data, kind, n: np.frombuffer(data, {"f8": "<f8", "f4": "<f4", "i1": "i1"}[kind]).reshape(n, -1)
+                scores = _dot(of(q_rows, q_kind, len(q)), of(rows, kind, len(d)))
+                scores = np.round(scores * np.frombuffer(q_scale, "<f8")[:, None] * np.frombuffer(scale, "<f8"), 6)
                 keep = q[:, None] != d[None, :]
                 if least is not None:
                     keep &= scores >= least
@@ -62,6 +95,16 @@ def _product(k: int | None, least: float | None):
     return run
 
 
+def _meet(packed: DataFrame, dealt: DataFrame, blocks: int, n_bytes: int, k: int | None, least: float | None) -> DataFrame:
+    sides = dealt.select(F.pmod(F.xxhash64("ids"), F.lit(blocks)).alias("block"), *[F.col(c).alias(f"q_{c}") for c in dealt.columns])
+    if n_bytes <= BROADCAST_BYTES:
+        sides = F.broadcast(sides)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    pairs = packed.withColumn("block", every).join(sides, "block").select(*[f"q_{c}" for c in dealt.columns], *packed.columns)
+    found = pairs.mapInArrow(_product(k, least), "q long, doc long, score double")
+    return found if k is None else top_k(found, k)
+
+
 def similar(vectors: DataFrame, queries: DataFrame, *, k: int | None = None, least: float | None = None, unit: bool = True) -> DataFrame:
     """(q, doc, score[, rank]): cosine (``unit``) or inner product of each query with each vector but its own, rounded to six decimals.
 
@@ -71,14 +114,47 @@ def similar(vectors: DataFrame, queries: DataFrame, *, k: int | None = None, lea
     """
     width = queries.agg(F.max(F.size("asked"))).first()[0] or 0
     sound = lambda df, c: df.where((F.size(c) == width) & ~F.exists(c, lambda x: x.isNull()))
-    packed = sound(vectors.select(F.col("doc").cast("long"), "embedding"), "embedding").mapInArrow(_pack(unit), "ids binary, rows binary")
+    packed = sound(vectors.select(F.col("doc").cast("long"), "embedding"), "embedding").mapInArrow(_pack(unit), _BLOCK)
     asked = sound(queries.select(F.col("q").cast("long"), "asked"), "asked")
     n = asked.count()
     blocks = max(1, -(-n // BLOCK_QUERIES))
-    dealt = asked.repartition(blocks, "q").mapInArrow(_pack(unit), "ids binary, rows binary")
-    sides = dealt.select(F.pmod(F.xxhash64("ids"), F.lit(blocks)).alias("block"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
-    if n * (width + 1) * 8 <= BROADCAST_BYTES:
-        sides = F.broadcast(sides)
-    pairs = packed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(sides, "block").select("q_ids", "q_rows", "ids", "rows")
-    found = pairs.mapInArrow(_product(k, least), "q long, doc long, score double")
-    return found if k is None else top_k(found, k)
+    dealt = asked.repartition(blocks, "q").mapInArrow(_pack(unit), _BLOCK)
+    return _meet(packed, dealt, blocks, n * (width + 1) * 8, k, least)
+
+
+def similar_stored(stored: DataFrame, queries: DataFrame, width: int, *, k: int | None = None, least: float | None = None, unit: bool = True) -> DataFrame:
+    """As ``similar`` for vectors stored as bytes: 4 * width of 32-bit floats or width of int8 codes, in one table in any mixture.
+
+    stored: (doc, blob, step), queries: (q, asked, step) with bytes of either kind; an int8 row's numbers are its codes times
+    its step, which a cosine doesn't need. Blocks travel as the bytes that are stored (an int8 block has a
+    quarter of a float one) and are never dequantised: a product is taken of codes and multiplied by the steps,
+    exactly where both are codes. Rows of any other length, null ones and not finite ones take no part (``stored_kinds`` counts them).
+    """
+    take = lambda df, i, c: df.select(F.col(i).cast("long"), c, F.col("step").cast("double"))
+    packed = take(stored, "doc", "blob").where("doc IS NOT NULL").mapInArrow(_pack_stored(width, unit), _BLOCK)
+    asked = take(queries, "q", "asked").where("q IS NOT NULL")
+    n = asked.count()
+    blocks = max(1, -(-n // BLOCK_QUERIES))
+    dealt = asked.repartition(blocks, "q").mapInArrow(_pack_stored(width, unit), _BLOCK)
+    return _meet(packed, dealt, blocks, n * (4 * width + 16), k, least)
+
+
+def kind_of(blob: Column, width: int) -> Column:
+    """'float', 'int8', or 'broken' for any other length (or none)."""
+    size = F.octet_length(blob)
+    return F.when(size == 4 * width, "float").when(size == width, "int8").otherwise("broken")
+
+
+def stored_kinds(stored: DataFrame, width: int) -> DataFrame:
+    """(kind, n, bytes) of the stored rows: float, int8, broken."""
+    return stored.groupBy(kind_of(F.col("blob"), width).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("blob"), F.lit(0))).alias("bytes"))
+
+
+def migrated(stored: DataFrame, width: int) -> DataFrame:
+    """The stored rows with floats rewritten as int8 codes and their step; rows that are int8 already, broken or not finite, stay as they are, so a run that is repeated or resumed changes nothing."""
+    numbers = from_blob(F.col("blob"), width, F.lit(1.0))
+    finite = F.forall(numbers, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    floats = F.coalesce((kind_of(F.col("blob"), width) == "float") & finite, F.lit(False))
+    rows = stored.withColumn("__numbers", F.when(floats, numbers)).withColumn("__step", quantise_scale(F.col("__numbers")))
+    codes = as_blob(quantise(F.col("__numbers"), F.col("__step")), "int8")
+    return rows.withColumns({"blob": F.when(floats, codes).otherwise(F.col("blob")), "step": F.when(floats, F.col("__step")).otherwise(F.col("step"))}).drop("__numbers", "__step")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import text as tx
+from evispark.functions import vectors as vx
 from evispark.operators import ranking as rk
 from evispark.operators import similarity as sm
 from evispark.plans.registry import query, sql_tokens, table
@@ -177,6 +178,46 @@ def h_semantic_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.similar(*_asked(spark, sf_dir), k=10)
 
 
+_STORED = """
+WITH steps AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / 127 AS step FROM embeddings),
+coded AS (SELECT vec_id, e, step, list_transform(e, lambda x: greatest(-127, least(127, floor(x / step + 0.5)))) AS codes FROM steps)"""
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, blob, step): ids by 3: floats, int8 codes, floats; every id of remainder 3 by 7 is cut short."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), "embedding", vx.quantise_scale(F.col("embedding")).alias("step"))
+    codes = vx.as_blob(vx.quantise(F.col("embedding"), F.col("step")), "int8")
+    blob = F.when(F.col("doc") % 3 == 1, codes).otherwise(vx.as_blob(F.col("embedding"), "float"))
+    return rows.select("doc", F.when(F.col("doc") % 7 == 3, F.substring(blob, 1, 50)).otherwise(blob).alias("blob"), "step")
+
+
+@query(f"""{_STORED},
+known AS (SELECT vec_id, CASE vec_id % 3 WHEN 1 THEN codes ELSE e END AS e FROM coded WHERE vec_id % 7 <> 3),
+pairs AS (SELECT a.vec_id AS q, b.vec_id AS doc, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM known a, known b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+{_top('pairs', 10)}""")
+def h_mixed_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semantic search over a table whose rows are floats or int8 codes; broken rows take no part, as question or as document."""
+    stored = _stored(spark, sf_dir)
+    return sm.similar_stored(stored, stored.where("doc % 50 = 0").select(F.col("doc").alias("q"), F.col("blob").alias("asked"), "step"), 64, k=10)
+
+
+@query("""
+SELECT CASE WHEN vec_id % 7 = 3 THEN 'broken' WHEN vec_id % 3 = 1 THEN 'int8' ELSE 'float' END AS kind, count(*) AS n,
+  sum(CASE WHEN vec_id % 7 = 3 THEN 50 WHEN vec_id % 3 = 1 THEN 64 ELSE 256 END)::BIGINT AS bytes FROM embeddings GROUP BY 1""")
+def v_stored_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sm.stored_kinds(_stored(spark, sf_dir), 64)
+
+
+@query(f"""{_STORED}
+SELECT vec_id AS doc, CASE WHEN vec_id % 7 = 3 THEN 50 ELSE 64 END AS size, CASE WHEN vec_id % 7 <> 3 THEN round(list_sum(codes) * step, 5) END AS total FROM coded""")
+def v_migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed table after its migration to int8, done twice: broken rows stay, and the second run changes nothing."""
+    once = sm.migrated(sm.migrated(_stored(spark, sf_dir), 64), 64)
+    numbers = vx.from_blob(F.col("blob"), 64, F.col("step"))
+    total = F.when(F.octet_length("blob") == 64, F.round(F.aggregate(numbers, F.lit(0.0), lambda s, x: s + x), 5))
+    return once.select("doc", F.octet_length("blob").alias("size"), total.alias("total"))
+
+
 @query(f"""{_VECTORS}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank, count(*) OVER (PARTITION BY q) AS n FROM pairs),
 b AS (SELECT q, avg(score) AS back FROM r WHERE rank BETWEEN 11 AND 50 GROUP BY q)
 SELECT q, doc, score FROM r LEFT JOIN b USING (q) WHERE score >= CASE WHEN n > 50 THEN greatest(0.1, back + 0.05) ELSE 0.1 END""")
