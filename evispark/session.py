@@ -30,3 +30,18 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(archive))
         _SHIPPED.add(context.applicationId)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The application's own folder below the one that ``spark.checkpoint.dir`` names, for tables that queries write and read again.
+
+    Where the setting is unset: one temporary folder on a local master, an error on any other, whose executors share none.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="evispark-")
+        spark.sparkContext.setCheckpointDir(named)
+    return f"{named.rstrip('/')}/evispark/{spark.sparkContext.applicationId}"
