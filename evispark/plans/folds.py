@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evispark.operators import rates
 from evispark.operators import stateful as st
 from evispark.plans.registry import query, table
 
@@ -126,3 +127,36 @@ def s_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.col("value")
     verdict = F.when(F.col("event_type") == "error", F.lit(None)).when(value < 10, "faster").when(value > 25, "slower").otherwise("good")
     return st.cues(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", verdict, repeat={"good": 30.0 * DAY}, usual=8.0 * DAY)
+
+
+#: Ten days of a user's events on a grid of six hours; rhythms of one to three days. Two channels: the value, and the value of odd ids.
+_RHYTHM = rates.Rhythm(window=10 * DAY * 1_000_000, span=6 * DAY * 1_000_000, grid=DAY * 250_000.0, share=0.4, half=6, lags=(4, 12), least_move=0.35, confidence=0.3)
+
+
+@query(f"""
+WITH c AS (SELECT user_id, event_id, epoch_us(ts) AS t, unnest([0, 1]) AS channel, unnest([value - 20, CASE WHEN event_id % 2 = 1 THEN value - 20 ELSE 0 END]) AS d FROM events),
+w AS (SELECT user_id, event_id, channel, list(t) OVER win AS ts, list(d) OVER win AS ds FROM c
+  WINDOW win AS (PARTITION BY user_id, channel ORDER BY t RANGE BETWEEN {10 * DAY}000000 PRECEDING AND CURRENT ROW)),
+p AS (SELECT *, list_transform(range(1, len(ds) + 1), lambda i: list_sum(ds[1:i])) AS pos FROM w
+  WHERE len(ts) >= {0.4 * 24} AND ts[-1] - ts[1] >= {6 * DAY}000000 AND len(list_distinct(ts)) = len(ts)),
+u AS (SELECT *, list_transform(range(0, floor((ts[-1] - ts[1]) / {DAY * 250_000}.0::DOUBLE)::BIGINT + 1), lambda k: ts[1] + k * {DAY * 250_000}) AS grid FROM p),
+f AS (SELECT *, list_transform(grid, lambda g: least(len(list_filter(ts, lambda x: x <= g)), len(ts) - 1)) AS js FROM u WHERE len(grid) >= 24),
+l AS (SELECT *, list_transform(range(1, len(grid) + 1), lambda k: pos[js[k]] + (pos[js[k] + 1] - pos[js[k]]) * ((grid[k] - ts[js[k]]) / (ts[js[k] + 1] - ts[js[k]]))) AS lev FROM f),
+x AS (SELECT user_id, event_id, channel, len(lev) AS n, list_transform(range(1, len(lev) + 1), lambda i: lev[i] - list_avg(lev[greatest(1, i - 6):least(len(lev), i + 6)])) AS x FROM l),
+r AS (SELECT *, list_transform(range(3, 14), lambda g: list_sum(list_transform(range(1, n - g + 1), lambda i: x[i] * x[i + g]))
+    / sqrt(list_sum(list_transform(range(1, n - g + 1), lambda i: x[i] * x[i])) * list_sum(list_transform(range(1, n - g + 1), lambda i: x[i + g] * x[i + g])))) AS r
+  FROM x WHERE list_stddev_pop(x) >= 0.35),
+k AS (SELECT *, list_filter(range(4, 13), lambda g: r[g - 2] >= r[g - 3] AND r[g - 2] >= r[g - 1] AND r[g - 2] > 0) AS peaks FROM r),
+b AS (SELECT *, list_filter(peaks, lambda g: r[g - 2] >= 0.85 * list_max(list_transform(peaks, lambda h: r[h - 2])))[1] AS l0 FROM k WHERE len(peaks) > 0),
+h1 AS (SELECT *, coalesce(list_filter(peaks, lambda g: g < l0 AND abs(g - l0 / 2) <= 3 AND r[g - 2] >= 0.25)[1], l0) AS l1 FROM b),
+h2 AS (SELECT *, coalesce(list_filter(peaks, lambda g: g < l1 AND abs(g - l1 / 2) <= 3 AND r[g - 2] >= 0.25)[1], l1) AS l2 FROM h1),
+h3 AS (SELECT *, coalesce(list_filter(peaks, lambda g: g < l2 AND abs(g - l2 / 2) <= 3 AND r[g - 2] >= 0.25)[1], l2) AS lag FROM h2),
+z AS (SELECT *, r[lag - 3] - 2 * r[lag - 2] + r[lag - 1] AS bend FROM h3),
+e AS (SELECT user_id, event_id, channel, lag + CASE WHEN bend < 0 THEN 0.5 * (r[lag - 3] - r[lag - 1]) / bend ELSE 0 END AS lag, least(1, r[lag - 2]) AS confidence FROM z),
+one AS (SELECT * FROM e WHERE confidence >= 0.3 QUALIFY row_number() OVER (PARTITION BY user_id, event_id ORDER BY confidence DESC, channel) = 1)
+SELECT v.user_id, v.event_id, round({DAY}000000 / ({DAY * 250_000}.0 * lag), 4) AS rate, round(confidence, 4) AS confidence, channel::BIGINT AS channel FROM events v LEFT JOIN one USING (user_id, event_id)""")
+def s_sliding_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a day a user's values go up and down, from the ten days before each event."""
+    value = F.col("value") - 20
+    found = rates.sliding_rates(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", [value, F.when(F.col("event_id") % 2 == 1, value).otherwise(0.0)], how=_RHYTHM, minute=DAY * 1e6)
+    return found.select("user_id", "event_id", F.round("rate", 4).alias("rate"), F.round("confidence", 4).alias("confidence"), "channel")
