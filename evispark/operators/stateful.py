@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -143,39 +144,53 @@ def announcements(events: DataFrame, nonce: list[str], time: str, received: str,
     return events.select(id_col).join(passed, id_col, "left").select(id_col, F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
+class Tracked(NamedTuple):
+    """The last reading, what was accepted and when, and the readings in a row that wait since."""
+
+    last: float | None = None
+    accepted: float | None = None
+    at: int = 0
+    waiting: int = 0
+
+
 def track_rate(samples: DataFrame, keys: list[str], time: str, id_col: str, rate: Column, *, hold: float = 2.0, memory: float = 4.0, near: float = 8.0) -> DataFrame:
     """(id, shown): the rate that two readings in a row agree on; what was accepted is held for ``hold`` seconds, and a jump to
     about half or twice of what was accepted in the last ``memory`` seconds is believed at its third reading."""
 
-    def step(state, t, x):
-        last, accepted, at, run = state
-        held = accepted if accepted is not None and t - at <= hold * 1e6 else None
-        if x is None:
-            return (None, accepted, at, 0), (held,)
-        if accepted is not None and t - at <= memory * 1e6 and any(abs(x - accepted * r) <= 0.12 * accepted * r for r in (0.5, 2)):
-            run += 1
-            if run < 3:
-                return (x, accepted, at, run), (held,)
-        if last is not None and abs(x - last) <= near:
-            shown = math.floor((x + last) / 2 + 0.5)
-            return (x, shown, t, 0), (float(shown),)
-        return (x, accepted, at, 0), (held,)
+    def step(was: Tracked, t, x):
+        recent = lambda seconds: was.accepted is not None and t - was.at <= seconds * 1e6
+        octave = x is not None and recent(memory) and min(abs(x / r - was.accepted) for r in (0.5, 2)) <= 0.12 * was.accepted
+        waits = octave and was.waiting < 2
+        agrees = not waits and None not in (x, was.last) and abs(x - was.last) <= near
+        taken = (math.floor((x + was.last) / 2 + 0.5), t) if agrees else (was.accepted, was.at)
+        return Tracked(x, *taken, was.waiting + 1 if waits else 0), (float(taken[0]) if agrees or recent(hold) else None,)
 
-    return fold(samples, keys, [time, id_col], [micros(time), rate.cast("double")], [id_col], "shown double", lambda: (None, None, 0, 0), step)
+    return fold(samples, keys, [time, id_col], [micros(time), rate.cast("double")], [id_col], "shown double", Tracked, step)
 
 
 def cues(verdicts: DataFrame, keys: list[str], time: str, id_col: str, verdict: Column, *, repeat: dict[str, float], usual: float) -> DataFrame:
-    """(id, cue): a verdict is said once three in a row agree on it, at once if it is new, else again after ``repeat`` (``usual``) seconds; a null forgets the row."""
+    """(id, cue): a verdict is said once three in a row agree on it, at once if it is new, else again after ``repeat`` (``usual``) seconds; a null forgets the row.
 
-    def step(state, t, v):
-        recent, said, at = state
-        if v is None:
-            return ((), said, at), (None,)
-        recent = (*recent, v)[-3:]
-        due = recent == (v, v, v) and (v != said or t - at >= repeat.get(v, usual) * 1e6)
-        return ((recent, v, t) if due else (recent, said, at)), (v if due else None,)
-
-    return fold(verdicts, keys, [time, id_col], [micros(time), verdict.cast("string")], [id_col], "cue string", lambda: ((), None, 0), step)
+    Rows that end three equal verdicts are what can be said; neighbours among them with one verdict are a run. A run's first
+    one is said, and then the first after each pause: that is a quota of one in windows that follow the events.
+    """
+    ordered = Window.partitionBy(*keys).orderBy(time, id_col)
+    rows = verdicts.select(*keys, time, id_col, verdict.cast("string").alias("__v"))
+    ripe = (F.lag("__v", 1).over(ordered) == F.col("__v")) & (F.lag("__v", 2).over(ordered) == F.col("__v"))
+    agreed = rows.withColumn("__ripe", ripe).where("__ripe")
+    fresh = F.coalesce((F.lag("__v").over(ordered) != F.col("__v")).cast("int"), F.lit(1))
+    runs = agreed.withColumn("__run", F.sum(fresh).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    pause = F.lit(usual)
+    for name, seconds in repeat.items():
+        pause = F.when(F.col("__v") == name, seconds).otherwise(pause)
+
+    def step(said, t, micros_between):
+        due = said is None or t - said >= micros_between
+        return (t if due else said), (due,)
+
+    marked = fold(runs, [*keys, "__run"], [time, id_col], [micros(time), (pause * 1e6).cast("double")], [id_col, "__v"], "__due boolean", lambda: None, step)
+    said = marked.where("__due").select(id_col, F.col("__v").alias("cue"))
+    return verdicts.select(id_col).join(said, id_col, "left")
 
 
 def final_state(events: DataFrame, keys: list[str], time: str, id_col: str, kind: str, moves: dict[tuple[str, str], str], initial: str) -> DataFrame:

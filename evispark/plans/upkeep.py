@@ -108,15 +108,35 @@ def f_json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.from_json(cell, "array<string>"), "|").alias("codes"))
 
 
-@query("""SELECT event_id, '{"user":{"id":' || user_id || '},"items":[{"n":1},{"n":2}]}' AS shown FROM events""")
+_RECORD = ("CASE event_id % 7 WHEN 0 THEN '[' || props || ']' WHEN 1 THEN '{\"user\": ' ELSE '{\"secret\":\"x\",\"user\":' || CASE event_id % 3 WHEN 0 THEN '7' ELSE '{\"id\":' || user_id || ',\"name\":\"n\"}' END"
+           " || ',\"props\":' || props || ',\"items\":[{\"n\":' || value || ',\"p\":5},{\"p\":2},3]}' END")
+
+
+@query(f"""
+WITH r AS (SELECT event_id, {_RECORD} AS record FROM events),
+j AS (SELECT event_id, CASE WHEN json_valid(record) AND json_type(CASE WHEN json_valid(record) THEN record END) = 'OBJECT' THEN record::JSON END AS j FROM r)
+SELECT event_id, CASE WHEN j IS NOT NULL THEN '{{' || CASE WHEN json_exists(j, '$.user.id') THEN '"user":{{"id":' || json_extract_string(j, '$.user.id') || '}},' ELSE '' END
+  || '"props":{{"k":' || json_extract_string(j, '$.props.k') || '}},"items":[{{"n":' || regexp_replace(json_extract_string(j, '$.items[0].n'), '\\.0$', '') || '}},{{}},null]}}' END AS shown FROM j""")
 def f_disclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records cut down to the paths that may be shown; missing paths are skipped."""
-    whole = F.concat(F.lit('{"secret":"x","user":{"id":'), F.col("user_id"), F.lit(',"name":"n"},"items":[{"n":1,"p":5},{"n":2}]}'))
-    return table(spark, sf_dir, "events").select("event_id", tx.disclosed(whole, ["user.id", "items[].n", "none.at"]).alias("shown"))
+    """Records cut down to the paths that may be shown; missing paths are skipped, lists and broken records show nothing."""
+    record = F.expr(_RECORD.replace("user_id", "cast(user_id AS string)").replace("|| value ||", "|| cast(value AS string) ||"))
+    return table(spark, sf_dir, "events").select("event_id", tx.disclosed(record, ["user.id", "props.k", "items[].n", "none.at"]).alias("shown"))
 
 
-@query()
+_LOOPED = "coalesce(text, '') || repeat(CASE WHEN doc_id % 5 = 0 THEN ' one, two and so on;' ELSE ' and so on' END, (doc_id % 12)::INT) || CASE WHEN doc_id % 9 = 4 THEN chr(10) || repeat('ab|', 50) WHEN doc_id % 9 = 5 THEN '```x' || repeat(' so', 40) WHEN doc_id % 9 = 6 THEN '```tool ' || repeat(' so', 40) ELSE '' END"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, {_LOOPED} AS text FROM documents),
+f AS (SELECT *, right(text, 2000) AS tail, len(string_split(text, '```')) - 1 AS fences, string_split(text, '```')[-1] AS last FROM t),
+u AS (SELECT *, unnest(range(2, least(160, length(tail) // 3) + 1)) AS unit FROM f WHERE length(text) >= 80 AND (fences % 2 = 0 OR regexp_matches(last, '\A(tool)(\s|\z)'))),
+s AS (SELECT *, CASE WHEN unit >= 40 THEN 3 ELSE greatest(4, ceil(80 / unit))::INT END AS least FROM u),
+fit AS (SELECT *, right(tail, unit) AS word FROM s WHERE unit * least <= length(tail)
+  AND right(tail, unit * (least - 1)::BIGINT) = left(right(tail, unit * least), unit * (least - 1)::BIGINT)),
+best AS (SELECT * FROM fit WHERE NOT contains(word, '|') AND regexp_matches(word, '\p{{L}}') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY unit) = 1),
+k AS (SELECT *, list_max(list_filter(range(least, length(tail) // unit + 1), lambda c: right(tail, c * unit) = repeat(word, c))) AS copies FROM best)
+SELECT doc_id, (length(text) - copies * unit + unit)::INT AS keep, unit::INT AS unit, copies::INT AS copies FROM k""")
 def f_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a text's end falls into a loop (no SQL; brute force in the tests)."""
-    text = F.concat(F.coalesce("text", F.lit("")), F.repeat(F.lit(" and so on"), (F.col("doc_id") % 12).cast("int")))
+    """Where a text's end falls into a loop."""
+    text = F.expr(_LOOPED.replace("chr(10)", "'\\n'").replace("(doc_id % 12)::INT", "cast(doc_id % 12 AS int)"))
     return table(spark, sf_dir, "documents").select("doc_id", tx.repetition(text).alias("loop")).where("loop IS NOT NULL").select("doc_id", "loop.*")

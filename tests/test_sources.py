@@ -116,10 +116,33 @@ def test_absence_gate(spark, pool):
     assert rk.unfounded(frame, frame.where("doc = 0"), told, terms).count() == 1
 
 
-def test_repetition_and_projection(spark):
-    found = tx.find_repetition("Start. " + "again and again, " * 9)
-    assert found == (len("Start. ") + 17, 17, 9)
-    assert [tx.find_repetition(t) for t in ("short", "x" * 100 + "| " * 60, "```\n" + "ab cd " * 40, "1234 " * 60)] == [None] * 4
-    assert tx.find_repetition("```tool\n" + "ab cd " * 40)[1:] == (6, 40)
-    assert tx.project({"a": {"b": 1, "c": 2}, "l": [{"x": 1}, 3]}, ["a.b", "l[].x", "q.r"]) == {"a": {"b": 1}, "l": [{"x": 1}, None]}
-    assert tx.project([1], ["a"]) is None and tx.project({"a": 1}, []) is None
+def plain_repetition(text):
+    """The shortest unit that the text's end repeats, by building the repeats."""
+    tail = text[-2000:]
+    parts = text.split("```")
+    if len(text) < 80 or len(parts) % 2 == 0 and not re.match(r"tool(\s|$)", parts[-1]):
+        return None
+    for unit in range(2, 161):
+        word = tail[-unit:]
+        copies = max(k for k in range(1, len(tail) // unit + 2) if k == 1 or tail.endswith(word * k))
+        if (copies >= 4 and copies * unit >= 80 or copies >= 3 and unit >= 40) and "|" not in word and any(c.isalpha() for c in word):
+            return len(text) - (copies - 1) * unit, unit, copies
+    return None
+
+
+def test_repetition_equals_a_plain_version(spark):
+    rng = random.Random(8)
+    texts = [None, "", "short", "x" * 100 + "| " * 60, "```\n" + "ab cd " * 40, "1234 " * 60, "```tool\n" + "ab cd " * 40, "```toolbox\n" + "ab cd " * 40, "```a``` " + "ab cd " * 40, "é" * 90, "ab" * 3000, "Start. " + "again and again, " * 9]
+    for _ in range(150):
+        unit = "".join(rng.choice("ab |1😀") for _ in range(rng.choice([1, 2, 3, 5, 20, 39, 40, 41, 160, 161])))
+        texts.append("".join(rng.choice("ab c") for _ in range(rng.randrange(100))) + unit * rng.randrange(1, 40) + unit[: rng.randrange(3)])
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", tx.repetition(F.col("text")).alias("r")).collect()
+    assert {r.id: r.r and tuple(r.r) for r in rows} == {i: t and plain_repetition(t) or None for i, t in enumerate(texts)}
+
+
+def test_disclosed_paths(spark):
+    cells = ['{"a": {"b": 1, "c": 2}, "l": [{"x": "é", "y": 0}, 3, {}], "n": null, "z": 1.5}', "[1]", "{", None, "{}", '{"a": 3, "l": {"x": 1}}', '{"a": {"b": {"d": [1, {"e": 2}]}}}']
+    shown = lambda paths: [r.s for r in spark.createDataFrame(list(enumerate(cells)), "i int, t string").orderBy("i").select(tx.disclosed(F.col("t"), paths).alias("s")).collect()]
+    assert shown(["a.b", "l[].x", "q.r", "n"]) == ['{"a":{"b":1},"l":[{"x":"é"},null,{}],"n":null}', None, None, None, "{}", "{}", '{"a":{"b":{"d":[1,{"e":2}]}}}']
+    assert shown(["l[].x", "l[].y", "z"])[0] == '{"l":[{"x":"é","y":0},null,{}],"z":1.5}'
+    assert shown([]) == [None] * len(cells)
