@@ -71,7 +71,7 @@ def fit_curves(sample: np.ndarray, curves: int) -> list[tuple[np.ndarray, np.nda
         axes = np.linalg.qr(rng.normal(size=(sample.shape[1], min(DIMENSIONS, sample.shape[1]))))[0]
         y = sample @ axes
         low, high = y.min(0), y.max(0)
-        width = np.maximum(high - low, 1e-9) * 1.25
+        width = np.where(high > low, high - low, 1.0) * 1.25
         out.append((axes, low - width * rng.uniform(0, 0.2, len(low)), width / (1 << BITS)))
     return out
 
@@ -93,7 +93,9 @@ def _keys(shared):
 
 def best_of(scores: np.ndarray, k: int) -> np.ndarray:
     """Marks the k greatest of each row; of equal ones the first."""
-    scores = np.round(scores, 12)  # sums in another order differ by less
+    # sums in another order differ by less than this share of the greatest score
+    scale = np.abs(scores).max(1, keepdims=True, initial=0.0)
+    scores = np.round(scores / np.where(scale > 0, scale, 1.0), 12)
     if scores.shape[1] <= k:
         return np.ones(scores.shape, bool)
     bar = np.partition(scores, -k, axis=1)[:, -k, None]
@@ -172,8 +174,11 @@ def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col:
     keys = ["curve", "place", "part", "block"]
     best = visits.groupBy(*keys).cogroup(stock.groupBy(*keys)).applyInPandas(_best(k + SLACK), "q long, cls long, score double")
     found = best.groupBy("q", "cls").agg(F.max("score").alias("score"))
-    by_score = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 12).desc(), "cls"))
-    kept = found.withColumn("rank", by_score).where(F.col("rank") <= k + SLACK).select("q", "cls")
+    of_query = Window.partitionBy("q")
+    level = F.round(F.col("score") / F.nullif(F.max(F.abs("score")).over(of_query), F.lit(0.0)), 12)
+    kept = found.withColumn("level", F.coalesce(level, F.lit(0.0)))
+    kept = kept.withColumn("rank", F.row_number().over(of_query.orderBy(F.desc("level"), "cls")))
+    kept = kept.where(F.col("rank") <= k + SLACK).select("q", "cls")
     pairs = kept.join(classes.select("cls", F.col("embedding").alias("other"), "ids"), "cls").join(queries.select("q", "embedding"), "q")
     exact = F.aggregate(F.zip_with("embedding", "other", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     scored = pairs.select("q", "ids", exact.alias("score"))

@@ -69,3 +69,31 @@ def test_clashing_columns_and_repeated_rows(spark):
     got = lists(neighbours.nearest(spark.createDataFrame(rows, schema), F.col("vec_id") % 20 == 0).collect())
     assert set(got) == {0, 20} and all(len(r) == 20 for r in got.values())
     assert all(v != q for q, r in got.items() for _, v in r)
+
+
+@pytest.mark.parametrize("scale", [1e-8, 3e-7, 1e8])
+def test_recall_does_not_depend_on_length(spark, scale):
+    frame = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    scaled = frame.select("vec_id", F.transform("embedding", lambda x: x.cast("double") * scale).alias("embedding"))
+    table = scaled.toArrow()
+    want = exact(table.column("vec_id").to_numpy(), np.stack(table.column("embedding").to_pylist()).astype(float))
+    got = lists(neighbours.nearest(scaled, F.col("vec_id") % 20 == 0).collect())
+    hits = sum(len({v for _, v in got[q]} & {v for _, v in rows}) for q, rows in want.items())
+    assert hits >= 0.92 * sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("scale", [2.0**-27, 2.0**27])  # exact, so that equal scores stay equal
+def test_ties_of_scaled_vectors(spark, scale):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-2, 3, (300, 6)).astype(float)
+    x[(x == 0).all(1)] = 1
+    frame = spark.createDataFrame([(i, [float(v) * scale for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = lists(neighbours.nearest(frame, F.col("vec_id") % 20 == 0, curves=2, window=2.0).collect())
+    want = exact(np.arange(300), x * scale)
+    assert {q: [v for _, v in r] for q, r in got.items()} == {q: [v for _, v in r] for q, r in want.items()}
+
+
+def test_best_of_is_relative():
+    s = np.array([[3.0, 5.0, 5.0, 4.0], [0.0, 0.0, 0.0, 0.0], [-1.0, -3.0, -2.0, -1.0]])
+    for scale in (1e-20, 1.0, 1e20):
+        assert neighbours.best_of(s * scale, 2).tolist() == [[False, True, True, False], [True, True, False, False], [True, False, False, True]]
