@@ -14,7 +14,9 @@ is around the root, it is completed to that element, and nothing outside is take
 
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by tag, role, or a word of class or id)
 are measured like the rest, but can't be the text's root, add nothing to a density sum, and are cut out of the chosen
-parts. A form, or a part named by class or id alone, counts as text if it holds the page's text (``_give_back``).
+parts. A form, or a part named by class or id alone, counts as text if it holds the page's text (``_give_back``). Words that
+also name what an article says (LOOSE_WORDS) make a passage, or a part of an article, something else only if half of it is links or
+it has a form's fields; labels and buttons are left out in forms only.
 
 Text: character references decoded; white space inside a block becomes one space; blocks in page order,
 joined by one \n. A heading inside the article's own header belongs to the article. Null, empty and text-free
@@ -58,7 +60,7 @@ CLOSES = {
 #: Elements whose content is never shown as text, or is a form's field.
 HIDDEN = frozenset("script style noscript iframe noembed noframes textarea title head template svg canvas object select datalist input".split())
 #: Elements, roles and words of class or id that name a part as something beside the text.
-SKIP = frozenset("nav aside footer button menu dialog label".split())
+SKIP = frozenset("nav aside footer menu dialog".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 SKIP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification"
@@ -68,6 +70,15 @@ SKIP_WORDS = frozenset(
 )
 #: Of them, those of reader comments, which alone can be longer than what they are about.
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Of them, those that also name what an article says; in one they make a part something else only with links or a form's fields.
+LOOSE_WORDS = frozenset(
+    "share sharing social related recommended recommendations newsletter subscribe subscription signup widget widgets login search reply replies"
+    " respond promo promotion banner sponsor sponsored alert menu menus pager pagination toolbar".split()
+)
+#: Elements that hold a passage, not a part of a page.
+PASSAGES = frozenset("p li dt dd td th h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption span em strong b i a q cite code mark small time".split())
+#: Fields of a form; in one, they and their labels are no text.
+FIELDS = frozenset("input select textarea button label".split())
 #: In one class name with such a word they say what the page has ("has-sidebar", "comments-open"), not what the part is.
 STATE_WORDS = frozenset("has have with without no not enabled disabled open opened closed".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -80,19 +91,20 @@ class Node:
 
     __slots__ = (
         "tag", "parent", "children", "skip", "firm", "name", "out", "running", "own",
-        "chars", "tags", "link_chars", "link_tags", "density", "total", "most", "best",
+        "chars", "tags", "link_chars", "link_tags", "density", "total", "most", "best", "loose", "fields",
     )
 
-    def __init__(self, tag: str, parent: "Node | None", firm: bool = False, name: str | None = None):
+    def __init__(self, tag: str, parent: "Node | None", firm: bool = False, name: str | None = None, loose: bool = False):
         self.tag, self.parent, self.firm, self.name, self.children = tag, parent, firm, name, []
+        self.loose, self.fields = loose and name in LOOSE_WORDS, 0
         self.skip = firm or name is not None and tag not in _WHOLE
 
 
-def _named(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str | None]:
+def _named(tag: str, attributes: str, in_article: bool, in_form: bool) -> tuple[bool, bool, str | None]:
     """Whether the element is hidden, whether it is a part beside the text for sure, and the name that may make it one."""
     if tag in HIDDEN:
         return True, False, None
-    firm = tag in SKIP or tag == "header" and not in_article
+    firm = tag in SKIP or tag == "header" and not in_article or in_form and tag in ("button", "label")
     found = "form" if tag == "form" else None
     for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
@@ -231,8 +243,10 @@ def parse(page: str) -> Node:
                 opened.end(tag)
         elif not (tag in ("html", "body") and opened.last(tag) > 0):
             opened.make_room(tag)
-            hidden, firm, name = _named(tag, attributes, opened.last("article") > 0 or opened.last("main") > 0)
-            node = Node(tag, opened.nodes[-1], firm, name)
+            in_article = opened.last("article") > 0 or opened.last("main") > 0
+            hidden, firm, name = _named(tag, attributes, in_article, opened.last("form") > 0)
+            node = Node(tag, opened.nodes[-1], firm, name, in_article or tag in PASSAGES)
+            node.parent.fields += tag in FIELDS
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, position)
                 if not hidden:
@@ -256,6 +270,22 @@ def _walk(root: Node) -> list[Node]:
     return found
 
 
+def _keep_loose(root: Node) -> None:
+    """Lets parts with a loose name count as text unless half of their characters are in links, or they hold a form's fields."""
+    nodes, open_nodes = [], [root]
+    while open_nodes:
+        node = open_nodes.pop()
+        nodes.append(node)
+        open_nodes.extend(c for c in node.children if not isinstance(c, str))
+    for node in reversed(nodes):
+        own = [c for c in node.children if not isinstance(c, str)]
+        node.chars = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str)) + sum(c.chars for c in own)
+        node.link_chars = node.chars if node.tag == "a" else sum(c.link_chars for c in own)
+        node.fields += sum(c.fields for c in own)
+        if node.loose and not node.firm and node.tag != "form" and not node.fields and 2 * node.link_chars < node.chars:
+            node.skip = False
+
+
 def _give_back(root: Node) -> None:
     """Lets named parts count as text that hold the page's text.
 
@@ -416,6 +446,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _keep_loose(root)
     _give_back(root)
     nodes = _walk(root)
     body = next((n for n in nodes if n.tag == "body"), root)
