@@ -99,3 +99,21 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str, *, percent: i
     full = met.join(lists.select(F.col("id").alias("a"), F.col("keys").alias("x")), "a").join(lists.select(F.col("id").alias("b"), F.col("keys").alias("y")), "b")
     share = F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.size("y"))
     return full.select("a", "b", share.alias("share")).where(F.col("share") >= percent / 100)
+
+
+def close_words(words: DataFrame, column: str, *, most: int = 2, head: int = 0) -> DataFrame:
+    """(a, b, distance): pairs a < b of distinct words at most ``most`` edits apart, with the same first ``head`` letters.
+
+    Two such words have a string in common after at most ``most`` deletions in each, so each word meets others by an
+    equi-join on what is left of it, and never all words that begin alike.
+    """
+    start, rest = F.substring(column, 1, head), F.substring(F.col(column), F.lit(head + 1), F.length(column))
+    shorter = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array(w))
+    left = F.array(rest)
+    every = left
+    for _ in range(most):
+        left = F.array_distinct(F.flatten(F.transform(left, shorter)))
+        every = F.concat(every, left)
+    keyed = words.select(F.col(column).alias("a"), F.explode(F.array_distinct(F.transform(every, lambda r: F.concat(start, F.lit("\x00"), r)))).alias("key")).distinct()
+    met = keyed.join(keyed.withColumnRenamed("a", "b"), "key").where("a < b").select("a", "b").distinct()
+    return met.withColumn("distance", F.levenshtein("a", "b", most).cast("long")).where("distance >= 0")

@@ -18,7 +18,7 @@ def f_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH w AS (SELECT DISTINCT unnest({sql_tokens("text")}) AS word FROM benchmark)
+WITH w AS (SELECT DISTINCT unnest({sql_tokens("text")}) AS word FROM documents)
 SELECT word,
   CASE WHEN length(word) < 4 OR word NOT LIKE '%s' OR regexp_matches(word, '(ss|is|us)$') THEN ''
        WHEN word LIKE '%ies' THEN left(word, length(word) - 3) || 'y'
@@ -27,7 +27,7 @@ SELECT word,
   CASE WHEN length(word) >= 5 AND NOT regexp_matches(word, '[0-9]') THEN left(word, greatest(4, length(word) - 2)) END AS prefix
 FROM w""")
 def f_word_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "benchmark").select(F.explode(tx.tokens(F.col("text"))).alias("word")).distinct()
+    words = table(spark, sf_dir, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("word")).distinct()
     return words.select("word", F.concat_ws(",", tx.singular_forms(F.col("word"))).alias("singular"), tx.prefix_form(F.col("word")).alias("prefix"))
 
 

@@ -9,13 +9,16 @@ from evispark.functions import dates as dx
 from evispark.functions import text as tx
 from evispark.functions import units as ux
 from evispark.functions import vectors as vx
+from evispark.operators import entities as en
+from evispark.operators.sizes import small
 from evispark.plans.registry import query, sql_tokens, table
 
 
-@query(f"SELECT item_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token FROM (SELECT item_id, {sql_tokens('text')} AS t FROM benchmark)")
+@query(f"SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)")
 def f_token_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token with its place."""
-    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(tx.tokens(F.col("text"))).alias("pos", "token")).select("item_id", F.col("pos").cast("long").alias("pos"), "token")
+    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("pos", "token"))
+    return each.select("doc_id", F.col("pos").cast("long").alias("pos"), "token")
 
 
 _BODY = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
@@ -37,46 +40,57 @@ def f_stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark),
+WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents),
 s AS (SELECT word, coalesce(list_filter(['ations', 'ation', 'ings', 'ing', 'ies', 'ied', 'edly', 'ed', 'es', 's', 'ciones', 'cion', 'mente', 'amente', 'coes', 'cao'],
   lambda x: suffix(word, x) AND length(word) - length(x) >= 4)[1], '') AS cut FROM w WHERE word <> '')
 SELECT word, left(left(word, length(word) - length(cut)), 7) AS stem FROM s""")
 def f_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("word <> ''").distinct()
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("word <> ''").distinct()
     return words.select("word", tx.stem(F.col("word")).alias("stem"))
 
 
 @query(r"""
-WITH p AS (SELECT d.doc_id, i.item_id, trim(regexp_replace(d.f, '[^a-z0-9]+', ' ', 'g'), ' ') AS page, trim(regexp_replace(i.f, '[^a-z0-9]+', ' ', 'g'), ' ') AS quote
-  FROM (SELECT doc_id, lower(strip_accents(text)) AS f FROM documents WHERE lang = 'en') d JOIN (SELECT item_id, lower(strip_accents(split_part(text, '.', 1))) AS f FROM benchmark) i ON d.doc_id % 40 = i.item_id % 40)
-SELECT doc_id, item_id, quote <> '' AND contains(' ' || page || ' ', ' ' || quote || ' ') AS present FROM p""")
+WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'), ' ') || ' ' AS page FROM documents),
+i AS (SELECT item_id, trim(regexp_replace(lower(strip_accents(split_part(text, '.', 1))), '[^a-z0-9]+', ' ', 'g'), ' ') AS quote FROM benchmark)
+SELECT doc_id, item_id FROM d, i WHERE quote <> '' AND contains(page, ' ' || quote || ' ')""")
 def f_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the first sentence of an item is quoted in the documents it is assigned to."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text", (F.col("doc_id") % 40).alias("k"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.split_part("text", F.lit("."), F.lit(1)).alias("quote"), (F.col("item_id") % 40).alias("k"))
-    return docs.join(items, "k").select("doc_id", "item_id", tx.quote_present(F.col("text"), F.col("quote")).alias("present"))
+    """The documents that quote the first sentence of an item: those that have its first three words in a row, and then the rest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.split_part("text", F.lit("."), F.lit(1)).alias("quote"))
+    start = lambda words, n: F.array_join(F.slice(words, 1, n), " ")
+    asked = small(items.withColumn("key", start(F.split(tx.plain_words(F.col("quote")), " "), 3)).where("key <> ''"))
+    words = F.split(tx.plain_words(F.col("text")), " ")
+    runs = lambda w: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.array_join(F.slice(w, i, n), " ")))))
+    met = docs.select("doc_id", F.explode(F.flatten(F.transform(F.array(words), runs))).alias("key")).join(asked, "key").select("doc_id", "item_id", "quote")
+    return met.join(docs, "doc_id").where(tx.quote_present(F.col("text"), F.col("quote"))).select("doc_id", "item_id")
 
 
-@query("SELECT a.word AS a, b.word AS b, levenshtein(a.word, b.word) AS distance FROM (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark WHERE item_id < 5) a JOIN (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark WHERE item_id BETWEEN 5 AND 9) b ON left(a.word, 2) = left(b.word, 2) WHERE levenshtein(a.word, b.word) <= 2")
+@query("""
+WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark)
+SELECT a.word AS a, b.word AS b, levenshtein(a.word, b.word) AS distance FROM w a JOIN w b ON left(a.word, 2) = left(b.word, 2) AND a.word < b.word AND length(a.word) > 1
+WHERE levenshtein(a.word, b.word) <= 2""")
 def f_close_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of two groups of items that begin alike and are at most two edits apart."""
-    words = lambda cond, name: table(spark, sf_dir, "benchmark").where(cond).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias(name)).distinct()
-    pairs = words("item_id < 5", "a").join(words("item_id BETWEEN 5 AND 9", "b"), F.substring("a", 1, 2) == F.substring("b", 1, 2))
-    return pairs.withColumn("distance", F.levenshtein("a", "b", 2).cast("long")).where("distance >= 0")
+    """Words of the items that begin with the same two letters and are at most two edits apart: they meet where both have the same after up to two deletions."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("length(word) > 1").distinct()
+    return en.close_words(words, "word", most=2, head=2)
 
 
-@query(r"SELECT event_id, regexp_replace('a ' || CASE event_id % 3 WHEN 0 THEN '</untrusted >' WHEN 1 THEN '< UNTRUSTED x>' ELSE '<b>' END || props, '<(\s*/?\s*untrusted)', chr(8249) || '\1', 'gi') AS safe FROM events")
+@query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, ' (the|de|la|der) ', ' </untrusted > ', 'g'), ' (and|y|e|und) ', ' < UNTRUSTED x><b> ', 'g'), '<(\s*/?\s*untrusted)', chr(8249) || '\1', 'gi')) AS safe FROM documents")
 def f_neutralised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tag = F.when(F.col("event_id") % 3 == 0, "</untrusted >").when(F.col("event_id") % 3 == 1, "< UNTRUSTED x>").otherwise("<b>")
-    return table(spark, sf_dir, "events").select("event_id", tx.neutralised(F.concat(F.lit("a "), tag, "props")).alias("safe"))
+    """Documents with tags for some of their words, made safe."""
+    tagged = F.regexp_replace(F.regexp_replace("text", " (the|de|la|der) ", " </untrusted > "), " (and|y|e|und) ", " < UNTRUSTED x><b> ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.neutralised(tagged), 256).alias("safe"))
 
 
-@query("SELECT event_id, 4 AS n, event_type AS one, 'a \"b\", c' AS two, value::VARCHAR AS three, ',' AS mark FROM events")
+@query("SELECT event_id, 4 AS n, event_type AS one, props || ', ' || user_id AS two, value::VARCHAR AS three, CASE event_id % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE '|' END AS mark FROM events")
 def f_csv_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with quotes, delimiters in quotes and spaces, taken apart."""
-    line = F.concat(F.col("event_type"), F.lit(' , "a ""b"", c",'), F.col("value").cast("string"), F.lit(', "x"'))
-    rows = table(spark, sf_dir, "events").select("event_id", tx.csv_fields(line).alias("f"), tx.delimiter(line).alias("mark"))
-    return rows.select("event_id", F.size("f").alias("n"), F.col("f")[0].alias("one"), F.col("f")[1].alias("two"), F.col("f")[2].alias("three"), "mark")
+    """Events as lines with one of three delimiters, quotes around JSON, delimiters in quotes and spaces, taken apart."""
+    mark = F.when(F.col("event_id") % 3 == 0, ",").when(F.col("event_id") % 3 == 1, ";").otherwise("|")
+    quoted = F.concat(F.lit('"'), F.replace(F.concat("props", F.lit(", "), F.col("user_id").cast("string")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat(F.col("event_type"), F.lit(" "), mark, F.lit(" "), quoted, mark, F.col("value").cast("string"), mark, F.lit(" x"), F.lit("y"))
+    rows = table(spark, sf_dir, "events").select("event_id", line.alias("line"), mark.alias("given"), tx.delimiter(F.concat_ws("", F.array_repeat(mark, 4))).alias("mark"))
+    fields = F.when(F.col("given") == ",", tx.csv_fields(F.col("line"))).when(F.col("given") == ";", tx.csv_fields(F.col("line"), ";")).otherwise(tx.csv_fields(F.col("line"), "|"))
+    return rows.select("event_id", fields.alias("f"), "mark").select("event_id", F.size("f").alias("n"), F.col("f")[0].alias("one"), F.col("f")[1].alias("two"), F.col("f")[2].alias("three"), "mark")
 
 
 @query("SELECT p_partkey, p_partkey // 100 * 10000 + p_partkey % 100 > p_size * 10000 + 7 AS newer FROM part")
@@ -102,12 +116,15 @@ def f_intro_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT conv_id, turn, lower(strip_accents(regexp_extract(text, '[A-Za-z]{1,3}'))) AS slug FROM conversations WHERE regexp_matches(text, '[A-Za-z]'))
+WITH c AS (SELECT conv_id, turn, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM (
+  SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id, turn + 1000, translate(text, 'aeiouäé', 'AEIOUÄÉ') || '!' FROM conversations) WHERE regexp_matches(text, '[A-Za-z]'))
 SELECT conv_id, turn, slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, slug ORDER BY turn) AS n FROM c)""")
 def f_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids from the first letters of a turn, with -2, -3 where a conversation has the same again."""
-    slug = tx.fold(F.regexp_extract("text", "[A-Za-z]{1,3}", 0))
-    rows = table(spark, sf_dir, "conversations").where(F.col("text").rlike("[A-Za-z]")).select("conv_id", "turn", slug.alias("slug"))
+    """Ids from the words of a turn, with -2, -3 where a conversation has the same again (every turn comes a second time, louder)."""
+    slug = F.trim(F.regexp_replace(tx.fold(F.col("text")), "[^a-z0-9]+", "-"), F.lit("-"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    again = turns.select("conv_id", (F.col("turn") + 1000).alias("turn"), F.concat(F.translate("text", "aeiouäé", "AEIOUÄÉ"), F.lit("!")).alias("text"))
+    rows = turns.unionByName(again).where(F.col("text").rlike("[A-Za-z]")).select("conv_id", "turn", slug.alias("slug"))
     n = F.row_number().over(Window.partitionBy("conv_id", "slug").orderBy("turn"))
     return rows.select("conv_id", "turn", F.concat("slug", F.when(n > 1, F.concat(F.lit("-"), n)).otherwise("")).alias("id"))
 
@@ -132,12 +149,14 @@ def f_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY lower(strip_accents(trim(left(text, 3), ' '))) ORDER BY conv_id, turn) AS r FROM conversations) WHERE r = 1""")
+WITH a AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000, '  ' || translate(text, 'aeiouäé', 'AEIOUÄÉ') FROM documents WHERE doc_id % 3 = 0)
+SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY lower(strip_accents(trim(text, ' '))) ORDER BY doc_id) AS r FROM a) WHERE r = 1""")
 def f_first_by_folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first turn of those whose first three characters fold to the same."""
-    key = tx.fold(F.trim(F.substring("text", 1, 3)))
-    first = table(spark, sf_dir, "conversations").groupBy(key.alias("k")).agg(F.min(F.struct("conv_id", "turn", "text")).alias("x"))
-    return first.select("x.conv_id", "x.turn", "x.text")
+    """The first of the documents whose whole texts fold to the same; a third come again with capital vowels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    louder = docs.where("doc_id % 3 = 0").select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.concat(F.lit("  "), F.translate("text", "aeiouäé", "AEIOUÄÉ")).alias("text"))
+    first = docs.unionByName(louder).groupBy(tx.fold(F.trim("text")).alias("k")).agg(F.min(F.struct("doc_id", "text")).alias("x"))
+    return first.select("x.doc_id", "x.text")
 
 
 _UNITS = "list_element(['km', 'Millas', 'foot', 'kg', 'onzas', 'ml', 'cups', 'horas', 'min', '°C', 'fahrenheit', 'K', 'parsec'], 1 + (event_id % 13)::INT)"
@@ -161,11 +180,11 @@ def f_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT o_orderkey, list_element(['day', 'week', 'month', 'year'], 1 + (o_orderkey % 4)::INT) AS repeat, (SELECT min(d) FROM (SELECT unnest(generate_series(DATE '1997-02-28' + 1, DATE '1997-02-28' + 3300, INTERVAL 1 DAY))::DATE AS d)
-  WHERE CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN (d - o_orderdate::DATE) % 7 = 0 WHEN 2 THEN day(d) = day(o_orderdate) ELSE day(d) = day(o_orderdate) AND month(d) = month(o_orderdate) END) AS due FROM orders WHERE o_orderkey % 7 = 0""")
+  WHERE CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN (d - o_orderdate::DATE) % 7 = 0 WHEN 2 THEN day(d) = day(o_orderdate) ELSE day(d) = day(o_orderdate) AND month(d) = month(o_orderdate) END) AS due FROM orders""")
 def d_next_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first day after 28 February 1997 of orders that repeat by day, week, month or year (every seventh order is a repeated one)."""
+    """The first day after 28 February 1997 of orders that repeat by day, week, month or year."""
     repeat = F.element_at(F.array(*[F.lit(x) for x in ("day", "week", "month", "year")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select("o_orderkey", F.col("o_orderdate").cast("date").alias("base"), repeat.alias("repeat"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("base"), repeat.alias("repeat"))
     return rows.select("o_orderkey", "repeat", dx.next_occurrence(F.col("base"), F.col("repeat"), F.to_date(F.lit("1997-02-28"))).alias("due"))
 
 
