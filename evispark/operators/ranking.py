@@ -86,7 +86,9 @@ def bm25_content(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str,
     of = corpus if corpus is not None else F.lit(0)
     texts = docs.select(F.col(id_col).alias("doc"), of.alias("corpus"), F.col(text_col).alias("text"))
     size = texts.groupBy("corpus").agg(F.count("*").alias("n_docs"), F.greatest(F.avg(tx.count_tokens(F.col("text"))), F.lit(1e-9)).alias("avg_len"))
-    tokens = texts.select("doc", "corpus", tx.tokens(F.col("text")).alias("t")).select("doc", "corpus", F.size("t").alias("doc_len"), F.explode("t").alias("token"))
+    # the length stands in a row before its tokens do: else each token would carry the whole array
+    sized = texts.select("doc", "corpus", tx.tokens(F.col("text")).alias("t")).select("doc", "corpus", F.size("t").alias("doc_len"), "t")
+    tokens = sized.select("doc", "corpus", "doc_len", F.explode("t").alias("token"))
     hits = key_matches(tokens, terms.select("key").distinct()).groupBy("corpus", "doc", "doc_len", "key").agg(F.count("*").alias("tf"))
     df = hits.groupBy("corpus", "key").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -94,7 +96,8 @@ def bm25_content(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str,
     # a question has few words: the ones a document has are a set of bits
     bit = F.expr("shiftleft(1L, cast(dense_rank() OVER (PARTITION BY q ORDER BY term) - 1 AS INT))")
     asked = terms.select("q", "key", bit.alias("bit"), F.col("key").startswith("=").alias("whole"))
-    found = hits.join(df, ["corpus", "key"]).join(small(size), "corpus").join(small(asked), "key")
+    # df has no more rows than corpora times keys, size one for each corpus: AQE broadcasts them by their measured sizes
+    found = hits.join(df, ["corpus", "key"]).join(size, "corpus").join(small(asked), "key")
     scored = found.groupBy("q", "corpus", "doc").agg(
         F.sum(weight).alias("score"), F.bit_count(F.bit_or("bit")).alias("matched"), F.bit_count(F.bit_or(F.when(F.col("whole"), F.col("bit")).otherwise(F.lit(0).cast("long")))).alias("exact")
     )

@@ -127,7 +127,7 @@ def f_disclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOOPED = "coalesce(text, '') || repeat(CASE WHEN doc_id % 5 = 0 THEN ' one, two and so on;' ELSE ' and so on' END, (doc_id % 12)::INT) || CASE WHEN doc_id % 9 = 4 THEN chr(10) || repeat('ab|', 50) WHEN doc_id % 9 = 5 THEN '```x' || repeat(' so', 40) WHEN doc_id % 9 = 6 THEN '```tool ' || repeat(' so', 40) ELSE '' END"
 
 
-@query(f"""
+@query(rf"""
 WITH t AS (SELECT doc_id, {_LOOPED} AS text FROM documents),
 f AS (SELECT *, right(text, 2000) AS tail, len(string_split(text, '```')) - 1 AS fences, string_split(text, '```')[-1] AS last FROM t),
 u AS (SELECT *, unnest(range(2, least(160, length(tail) // 3) + 1)) AS unit FROM f WHERE length(text) >= 80 AND (fences % 2 = 0 OR regexp_matches(last, '\A(tool)(\s|\z)'))),
