@@ -45,3 +45,28 @@ def percentiles(df: DataFrame, by: str, value: str, points: dict[str, tuple[str,
     found = at_ranks(df, by, value, ranks)
     between = lambda name, p: (F.col(f"__low_{name}") + (F.col(f"__high_{name}") - F.col(f"__low_{name}")) * ((n - 1) * p - F.floor((n - 1) * p))).alias(name)
     return found.select(by, "n", *(between(name, p) if kind == "between" else F.col(name) for name, (kind, p) in points.items()))
+
+
+def route_sweep(cases: DataFrame, family: str, expected: str, routed: str, fallbacks: dict[str, str]) -> DataFrame:
+    """(family, expected, routed, total, ok, one column for each of ``fallbacks``, wrong_route) by family, by (expected, routed), and in all, from one pass.
+
+    A case that went elsewhere than expected is counted under the fallback it went to, else as a wrong route. Null routes are counted in total only.
+    """
+    astray = F.col(expected) != F.col(routed)
+    to = {name: F.count_if(astray & (F.col(routed) == route)).alias(name) for name, route in fallbacks.items()}
+    counts = [F.count("*").alias("total"), F.count_if(F.col(expected) == F.col(routed)).alias("ok"), *to.values(), F.count_if(astray & ~F.col(routed).isin(*fallbacks.values())).alias("wrong_route")]
+    sets = [[F.col(family)], [F.col(expected), F.col(routed)], []]
+    return cases.groupingSets(sets, F.col(family), F.col(expected), F.col(routed)).agg(*counts)
+
+
+def locale_order(words: DataFrame, column: str, collation: str = "UNICODE_CI_AI") -> DataFrame:
+    """(initial, word, spellings, rank): words that the collation takes for one, the first of their spellings, and their place among those of their initial.
+
+    Ranks are within an initial (letters as the collation has them), so that no task holds all words.
+    """
+    one = F.collate(F.col(column), collation)
+    groups = words.groupBy(one.alias("one")).agg(F.min(F.collate(F.col(column), "UTF8_BINARY")).alias("word"), F.count("*").alias("spellings"))
+    plain = F.lower(F.collate("word", "UTF8_BINARY"))
+    initial = F.translate(F.substring(plain, 1, 1), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    rank = F.row_number().over(Window.partitionBy("initial").orderBy("one"))
+    return groups.withColumn("initial", initial).withColumn("rank", rank).select("initial", "word", "spellings", "rank")

@@ -1,4 +1,4 @@
-"""Queries of the stored library: imports that decide by content, and fingerprints of what came in before."""
+"""Queries of stored tables (imports that decide by content, rows replaced by parent, ledgers), route sweeps, and alphabetical order."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.functions import text as tx
+from evispark.operators import aggregates as ag
 from evispark.plans.registry import query, table
 from evispark.plans.texts import SQL_CHUNKS
 from evispark.session import shared_folder
 from evispark.sources import library as lib
+from evispark.sources import versions as vs
 
 #: Books: the texts of twenty documents each. First come the even documents and books; then the odd documents, every book
 #: with another end, and every book with other white space.
@@ -75,3 +77,57 @@ def x_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     noted = F.when(F.col("doc_id") % 4 == 0, body).otherwise(F.col("text"))
     chunks = docs.select("collection", "doc_id", F.posexplode(tx.chunks(noted)).alias("pos", "body"))
     return lib.backfill(chunks, docs.where("doc_id % 3 = 0"), notes=["(read from a picture)\n\n"])
+
+
+@query("""
+SELECT user_id, event_id, event_type FROM events
+WHERE CASE WHEN user_id % 10 = 7 THEN false WHEN user_id % 3 = 0 THEN event_type = 'purchase' AND (user_id % 2 = 1 OR value < 30) ELSE true END""")
+def x_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by user after three writes: all; purchases only for every third user, and none for those ending in 7; cheaper ones for some of the former."""
+    path = f"{shared_folder(spark)}/replaced-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    bought = events.where("event_type = 'purchase' AND user_id % 3 = 0 AND user_id % 10 <> 7")
+    vs.replace_children(spark, path, events, "user_id")
+    vs.replace_children(spark, path, bought, "user_id", gone=events.where("user_id % 10 = 7 OR user_id % 3 = 0").select("user_id").distinct())
+    for _ in range(2):  # the same write again changes nothing
+        cheap = events.where("event_type = 'purchase' AND user_id % 6 = 0 AND user_id % 10 <> 7 AND value < 30")
+        vs.replace_children(spark, path, cheap, "user_id", gone=bought.where("user_id % 2 = 0").select("user_id"), number=3)
+    return vs.current(spark, path, "user_id").select("user_id", "event_id", "event_type")
+
+
+@query("""
+SELECT source, lang FROM (SELECT DISTINCT source, lang FROM documents) a
+WHERE NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 40 = 1 AND b.source IS NOT DISTINCT FROM a.source AND b.lang IS NOT DISTINCT FROM a.lang)""")
+def t_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources and languages of the corpus that a part of it lacks."""
+    docs = table(spark, sf_dir, "documents")
+    return vs.lost_from(docs, docs.where("doc_id % 40 = 1"), ["source", "lang"])
+
+
+#: Where an event should go and where it went.
+_ROUTES = """
+SELECT event_type AS family, CASE WHEN value < 10 THEN 'tool' WHEN value < 25 THEN 'model' ELSE 'chat' END AS expected,
+  CASE WHEN (event_id * 7) % 20 < 3 THEN 'model' WHEN (event_id * 7) % 20 = 3 THEN 'chat' WHEN value < 10.5 THEN 'tool' WHEN value < 25 THEN 'model' ELSE 'chat' END AS routed FROM events"""
+
+
+@query(f"""
+SELECT family, expected, routed, count(*) AS total, count(*) FILTER (expected = routed) AS ok, count(*) FILTER (expected <> routed AND routed = 'model') AS to_model,
+  count(*) FILTER (expected <> routed AND routed = 'chat') AS to_chat, count(*) FILTER (expected <> routed AND routed = 'tool') AS wrong_route
+FROM ({_ROUTES}) GROUP BY GROUPING SETS ((family), (expected, routed), ())""")
+def a_router_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sweep of routes: by family, as a table of what was expected and what came, and in all."""
+    events = table(spark, sf_dir, "events")
+    value, k = F.col("value"), (F.col("event_id") * 7) % 20
+    band = lambda least: F.when(value < least, "tool").when(value < 25, "model").otherwise("chat")
+    cases = events.select(F.col("event_type").alias("family"), band(10).alias("expected"), F.when(k < 3, "model").when(k == 3, "chat").otherwise(band(10.5)).alias("routed"))
+    return ag.route_sweep(cases, "family", "expected", "routed", {"to_model": "model", "to_chat": "chat"})
+
+
+@query("""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-Þà-öø-ÿ]+')) AS word FROM documents),
+k AS (SELECT word, lower(strip_accents(word)) AS k FROM w)
+SELECT left(k, 1) AS initial, min(word) AS word, count(*) AS spellings, row_number() OVER (PARTITION BY left(k, 1) ORDER BY k) AS rank FROM k GROUP BY k""")
+def k_locale_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus's words in alphabetical order, accents and case aside, and how many spellings each has."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÖØ-Þà-öø-ÿ]+"), F.lit(0))).alias("word")).distinct()
+    return ag.locale_order(words, "word")
