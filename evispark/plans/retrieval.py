@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evispark.functions import text as tx
 from evispark.functions import vectors as vx
 from evispark.operators import ranking as rk
+from evispark.operators import retrieve as rr
 from evispark.operators import similarity as sm
 from evispark.plans.registry import query, sql_tokens, table
 
@@ -347,3 +348,38 @@ def h_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     above, whole = Window.orderBy(F.desc("bar")), Window.partitionBy()
     share = lambda c: F.round(F.sum(c).over(above) / F.sum(c).over(whole), 6)
     return grid.select("bar", share("hits").alias("recall"), share("false_hits").alias("false_rate"))
+
+
+def _of_corpus(rows: str, k: int) -> str:
+    return f"SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY q, corpus ORDER BY score DESC, doc) AS place FROM {rows}) WHERE place <= {k}"
+
+
+@query(f"""{_bm25_sql("coalesce(lang, '')")},
+pool AS ({_of_corpus('scored', 48)}), lex AS ({_of_corpus('gated', 50)}),
+pairs AS (SELECT a.vec_id AS q, coalesce(lang, '') AS corpus, b.vec_id AS doc, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id JOIN documents ON doc_id = b.vec_id WHERE a.vec_id IN (SELECT item_id FROM benchmark)),
+sem AS ({_of_corpus('(SELECT * FROM pairs WHERE score >= 0.1)', 50)}),
+parts AS (SELECT q, corpus, doc, score / greatest(max(score) OVER (PARTITION BY q, corpus), 1e-9) * 0.5 AS part, 'lexical' AS side FROM lex
+  UNION ALL SELECT q, corpus, doc, score / greatest(max(score) OVER (PARTITION BY q, corpus), 1e-9) * 0.5, 'semantic' FROM sem),
+fused AS (SELECT f.*, coalesce(nullif(lower(trim(split_part(text, chr(10), 1), ' ')), ''), '#' || doc) AS article FROM (
+  SELECT q, corpus, doc, round(sum(part), 6) AS score, CASE WHEN count(DISTINCT side) = 2 THEN 'hybrid' ELSE max(side) END AS match FROM parts GROUP BY q, corpus, doc) f JOIN documents ON doc_id = doc),
+capped AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY q, corpus, article ORDER BY score DESC, doc) <= 2),
+served AS ({_of_corpus('capped', 10)}),
+m AS (SELECT DISTINCT q, corpus, doc, qk.term FROM pool JOIN qk USING (q) JOIN vk USING (key) JOIN p USING (corpus, doc) WHERE p.term = vk.token),
+sizes AS (SELECT q, corpus, count(*) AS pool FROM pool GROUP BY q, corpus),
+dfs AS (SELECT s.q, s.corpus, t.term, count(doc) AS df FROM sizes s JOIN qt t USING (q) LEFT JOIN m ON m.q = s.q AND m.corpus = s.corpus AND m.term = t.term GROUP BY ALL),
+weak AS (SELECT q, corpus FROM dfs JOIN sizes USING (q, corpus) GROUP BY q, corpus HAVING any_value(pool) >= 8 AND count(*) >= 3 AND min(df) = 0),
+founded AS (SELECT DISTINCT m.q, m.corpus FROM m JOIN dfs USING (q, corpus, term) JOIN sizes USING (q, corpus) JOIN served USING (q, corpus, doc) WHERE df > 0 AND 2 * df <= pool),
+kept AS (SELECT * FROM served WHERE (q, corpus) NOT IN (SELECT (q, corpus) FROM weak WHERE (q, corpus) NOT IN (SELECT (q, corpus) FROM founded))),
+g AS (SELECT *, count(*) OVER w AS n, avg(score) OVER w AS mean, stddev_pop(score) OVER w AS sd, max(score) OVER w AS hi FROM kept WINDOW w AS (PARTITION BY q, corpus)),
+normed AS (SELECT q, corpus, doc, match, round(CASE WHEN n < 3 OR sd <= 1e-6 THEN 0.5 * score / greatest(hi, 1e-9) ELSE 1 / (1 + exp(-(score - mean) / sd)) END, 5) AS score FROM g)
+{_top('normed', 10, 'q, corpus, doc, score, match, rank')}""")
+def h_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval as a whole: each language is a corpus with its own gates, caps and absence rule; the best ten of all."""
+    docs, items, vectors = (table(spark, sf_dir, t) for t in ("documents", "benchmark", "embeddings"))
+    title = F.nullif(F.lower(F.trim(F.split_part("text", F.lit("\n"), F.lit(1)))), F.lit(""))
+    place = docs.select(F.col("doc_id").alias("doc"), F.col("lang").alias("corpus"), "text", title.alias("article"))
+    questions = items.select(F.col("item_id").alias("q"), "text")
+    own = vectors.select(F.col("vec_id").alias("doc"), "embedding")
+    asked = own.join(questions.select("q").distinct(), F.col("doc") == F.col("q")).select("q", F.col("embedding").alias("asked"))
+    return rr.retrieve(place, own, questions, asked)
