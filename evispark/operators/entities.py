@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,21 +60,14 @@ def successors(rows: DataFrame, id_col: str, next_col: str, live: Column) -> Dat
 def without_copies(ranked: DataFrame, *, share: float = 0.6) -> DataFrame:
     """(q, doc) of the rows of (q, doc, rank, title, body) that copy no kept one above them: the same title, and at least ``share`` of either's word pairs in the other.
 
-    Only rows of one query and title are compared, each with those kept, in order of rank: a few rows of a ranked list.
+    Only rows of one query and title meet, each with those kept, in order of rank: a fold over a few rows of a ranked list.
     """
     title = F.trim(F.regexp_replace(F.lower("title"), r"\s+", " "))
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        kept, docs = [], []
-        for row in rows.sort_values("rank").itertuples():
-            words = (row.body or "").lower().split()
-            pairs = set(zip(words, words[1:], strict=False))
-            if not any(pairs and k and len(pairs & k) >= share * min(len(pairs), len(k)) for k in kept):
-                kept.append(pairs)
-                docs.append(row.doc)
-        return pd.DataFrame({"q": rows["q"].iat[0], "doc": pd.Series(docs, dtype="int64")})
-
-    return ranked.select("q", "doc", "rank", title.alias("t"), "body").groupBy("q", "t").applyInPandas(keep, "q long, doc long")
+    rows = ranked.select("q", title.alias("t"), F.struct("rank", "doc", tx.word_bigrams(F.coalesce("body", F.lit(""))).alias("pairs")).alias("x"))
+    group = rows.groupBy("q", "t").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    copies = lambda k, x: F.size(F.array_intersect(k["pairs"], x["pairs"])) >= F.greatest(F.lit(1), F.ceil(share * F.least(F.size(k["pairs"]), F.size(x["pairs"])) - 1e-9))
+    keep = lambda kept, x: F.when(F.exists(kept, lambda k: copies(k, x)), kept).otherwise(F.array_append(kept, x))
+    return group.select("q", F.explode(F.aggregate("xs", F.slice("xs", 1, 0), keep)).alias("x")).select("q", "x.doc")
 
 
 def similar_documents(docs: DataFrame, id_col: str, text_col: str, *, percent: int = 90) -> DataFrame:
