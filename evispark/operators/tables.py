@@ -179,3 +179,45 @@ def nearest_rank(values: Column, p: float) -> Column:
     ordered = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
     at = F.greatest(F.least(F.ceil(F.lit(p) * F.size(ordered)), F.size(ordered)), F.lit(1)).cast("int")
     return F.when(F.size(ordered) > 0, F.element_at(ordered, at))
+
+
+def fan_in(parts: dict[str, tuple[DataFrame, list[Column], int]], key: str) -> DataFrame:
+    """(key, one array of rows for each part): the first rows of each part by its order, at most so many, in one record for each key of any part.
+
+    ``parts`` has for each name a frame with the key, its order, and how many rows a record takes; a part's rows are its other columns.
+    """
+    sides = []
+    for name, (frame, order, most) in parts.items():
+        place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+        rest = [c for c in frame.columns if c != key]
+        few = frame.select(key, F.struct(*rest).alias("__row"), place.alias("__place")).where(F.col("__place") <= most)
+        rows = F.transform(F.array_sort(F.collect_list(F.struct("__place", "__row"))), lambda x: x["__row"])
+        sides.append((name, few.groupBy(key).agg(rows.alias(name))))
+    whole = reduce(lambda a, b: a.join(b, key, "full_outer"), [s for _, s in sides])
+    return whole.select(key, *[F.coalesce(F.col(n), F.array().cast(whole.schema[n].dataType)).alias(n) for n, _ in sides])
+
+
+def outdated_files(files: DataFrame, name: str, main: str, siblings: list[tuple[str, str]], keep: int) -> DataFrame:
+    """The rows of ``files`` to delete so that the ``keep`` newest groups stay: main files match the pattern ``main`` and sort by name; ``siblings`` are
+    (pattern, replacement) pairs that give a main file's name from a sibling's. Files of no group stay, also siblings without a main file."""
+    owner = F.col(name)
+    for pattern, replacement in reversed(siblings):
+        owner = F.when(F.col(name).rlike(pattern), F.regexp_replace(name, pattern, replacement)).otherwise(owner)
+    is_main = F.col(name).rlike(main) & (owner == F.col(name))
+    mains = files.where(is_main).select(F.col(name).alias("__main")).distinct()
+    kept = mains.orderBy(F.desc("__main")).limit(keep)
+    old = mains.join(kept, "__main", "left_anti")
+    mark = spare(files, "__owner")
+    return files.withColumn(mark, owner).join(old, F.col(mark) == F.col("__main"), "left_semi").drop(mark)
+
+
+def variant_or_self(rows: DataFrame, variants: DataFrame, item: str, kind: str) -> DataFrame:
+    """``rows`` with ``variant``: the variant of the row's item for its kind, the item itself where there is none.
+
+    variants: (family, kind, item), one item for each family and kind; an item is found in whichever kind it stands. One with a single variant maps to itself.
+    """
+    family = variants.select(F.col("item").alias("__item"), F.col("family").alias("__family")).distinct()
+    other = variants.select(F.col("family").alias("__family"), F.col("kind").alias("__kind"), F.col("item").alias("__variant"))
+    joined = rows.join(family, F.col(item) == F.col("__item"), "left")
+    found = joined.alias("r").join(other.alias("v"), (F.col("r.__family") == F.col("v.__family")) & (F.col(f"r.{kind}") == F.col("v.__kind")), "left")
+    return found.select(*[F.col(f"r.{c}") for c in rows.columns], F.coalesce("v.__variant", F.col(f"r.{item}")).alias("variant"))

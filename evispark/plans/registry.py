@@ -49,4 +49,4 @@ def sql_token_estimate(column: str) -> str:
     )
 
 
-from evispark.plans import folds, knowledge, library, measures, records, retrieval, scalars, tabular, texts, upkeep  # noqa: E402, F401
+from evispark.plans import folds, knowledge, library, measures, records, retrieval, scalars, stores, tabular, texts, upkeep  # noqa: E402, F401
