@@ -69,16 +69,29 @@ def f_turn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("conv_id", "turn", F.round(tx.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"), F.round(tx.containment(F.col("b"), F.col("a")), 6).alias("contained"))
 
 
-@query()
+_BARE = "html"
+for _tag in ("script", "style", "noscript"):
+    _BARE = f"regexp_replace({_BARE}, '(?is)<{_tag}\\b.*?</{_tag}\\s*>', ' ', 'g')"
+_BARE = f"regexp_replace(regexp_replace({_BARE}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _BARE = f"replace({_BARE}, '{_entity}', '{_char}')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_BARE}, '\\s+', ' ', 'g'), ' ') AS text FROM pages")
 def f_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages without their markup."""
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", tx.html_to_text(F.col("html")).alias("text"))
 
 
-@query()
+@query(r"""
+WITH m AS (SELECT doc_id, regexp_replace(text, '([.!?…])\s+([\p{Lu}\p{N}¿¡"«])', '\1' || chr(1) || '\2', 'g') AS text FROM documents),
+s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\x01|\n+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM m)
+SELECT doc_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS sentence FROM s""")
 def f_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n_sentences"))
+    """Every sentence of the documents with its place."""
+    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
+    return each.select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
 
 
 @query("SELECT label, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(event_type, '^[a-z][a-z0-9_]{0,39}$') THEN event_type ELSE 'other' END AS label FROM events) GROUP BY label")

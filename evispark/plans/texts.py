@@ -101,18 +101,32 @@ def f_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", (tx.version_key(mine) > tx.version_key(other)).alias("newer"))
 
 
-@query()
+_WALK = """
+fold AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, 0::BIGINT AS size, 0::BIGINT AS pos, ''::VARCHAR AS part FROM parts
+  UNION ALL SELECT p.doc_id, p.i, CASE WHEN {full} THEN 0 ELSE f.size END + length(p.part) + 1, f.pos + ({full})::INT, p.part FROM fold f JOIN parts p ON p.doc_id = f.doc_id AND p.i = f.i + 1)"""
+
+
+@query(f"""
+WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+parts AS (SELECT doc_id, generate_subscripts(l, 1) AS i, left(unnest(l), 300) AS part FROM l), {_WALK.format(full="f.i > 0 AND f.size + length(p.part) + 1 > 300")}
+SELECT doc_id, pos, string_agg(part, chr(10) ORDER BY i) AS piece FROM fold WHERE i > 0 GROUP BY doc_id, pos""")
 def f_packed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' lines packed into pieces of at most 300 characters (no SQL; brute force in the tests)."""
+    """Documents' lines packed into pieces of at most 300 characters."""
     rows = table(spark, sf_dir, "documents").select("doc_id", tx.packed_lines(F.split("text", "\n"), 300).alias("p"))
-    return rows.select("doc_id", F.posexplode("p").alias("pos", "piece"))
+    return rows.select("doc_id", F.posexplode("p").alias("pos", "piece")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(flatten(list_transform(string_split(text, chr(10)), lambda p: regexp_extract_all(p, '[^.!?]+(?:[.!?]+["'')\\]]*|$)\\s*'))),
+    lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents),
+parts AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS part FROM s), {_WALK.format(full="f.i > 0 AND f.size + length(p.part) > 600")},
+pieces AS (SELECT doc_id, pos, string_agg(part, ' ' ORDER BY i) AS piece FROM fold WHERE i > 0 GROUP BY doc_id, pos),
+few AS (SELECT *, max(pos) OVER (PARTITION BY doc_id) AS last FROM pieces WHERE pos < 3)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, piece FROM few WHERE length(piece) >= 40 OR pos = last""")
 def f_intro_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The beginning of each document in up to three pieces of sentences (no SQL; brute force in the tests)."""
+    """The beginning of each document in up to three pieces of sentences."""
     rows = table(spark, sf_dir, "documents").select("doc_id", tx.intro_chunks(F.col("text")).alias("p"))
-    return rows.select("doc_id", F.posexplode("p").alias("pos", "piece"))
+    return rows.select("doc_id", F.posexplode("p").alias("pos", "piece")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("""
