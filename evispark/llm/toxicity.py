@@ -7,7 +7,8 @@ severity is the sum of P(grade > k) over k; a document is toxic if P(grade > 0)
 
 Grades from 0/1 labels: 0 clean; 1 toxic; 2 toxic with more than the toxic median of words whose smoothed
 log-odds are over 2. The model is fitted at the driver on at most ``per_class`` labelled documents of each
-class (those of least hash, whole texts); scoring covers all rows and needs no shuffle.
+class (those of least hash, whole texts of FIT_BYTES or less; of several rows of one id, the one of least hash); so what
+the driver gets is bounded in rows and in bytes. Scoring covers all rows and needs no shuffle.
 
 Null and empty texts have no features, severity from the thresholds alone, and are never toxic. Labels that
 are null, repeated or of unknown documents do no harm. Without labels of both classes, or without a
@@ -31,6 +32,8 @@ FEATURE_BITS = 20
 BEGINNINGS = (4, 5, 6)
 #: Labelled documents of each class that the model is fitted on, at most.
 PER_CLASS = 2000
+#: Bytes of a text that the model may be fitted on, at most; longer ones are scored like all others.
+FIT_BYTES = 1 << 20
 #: Standard errors from no association at which a feature begins to count.
 EVIDENCE = 3.0
 #: Bytes of text whose features are held at once.
@@ -133,7 +136,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     ordered = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(per_class) for k in (0, 1)]
     sample = F.broadcast(ordered[0].unionByName(ordered[1]))  # at most 2 * per_class rows
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(sample, "id").select("toxic", "text").mapInArrow(_sparse, "toxic int, places array<int>, values array<float>").toArrow()
+    fit_for = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES)
+    one = fit_for.join(sample, "id").groupBy("id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.select("toxic", "text").mapInArrow(_sparse, "toxic int, places array<int>, values array<float>").toArrow()
     if not rows.num_rows:
         none = np.zeros(0, np.int64)
         return fit(none, none, none, none)

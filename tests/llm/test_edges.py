@@ -56,6 +56,17 @@ def test_toxicity_of_repeated_rows_and_a_very_long_text(spark):
     assert {r.doc_id: r.toxic for r in got if r.doc_id >= 100} == {100: False, 101: True}
 
 
+def test_toxicity_is_fitted_on_one_row_of_an_id(spark, monkeypatch):
+    """A thousand rows of one labelled id, and texts beyond the bound, change nothing of the model."""
+    rows = [(i, f"vile rot number{i}") for i in range(0, 60, 2)] + [(i, f"good day number{i}") for i in range(1, 60, 2)]
+    labels = spark.createDataFrame([(i, (i + 1) % 2) for i in range(50)] + [(100, 1)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 1000)
+    plain = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    more = rows + [rows[0]] * 1000 + [(100, "good day " * 200)]
+    model = toxicity.train(spark.createDataFrame(more, "doc_id long, text string"), labels)
+    assert np.allclose(plain.weights, model.weights, atol=1e-6) and np.allclose(plain.thresholds, model.thresholds, atol=1e-6)
+
+
 #: The columns of the results, and whether there is a row for each row of the table.
 THIN = {
     "op1_token_records": ("doc_id start n_tokens ids_crc32", "documents"), "op2_html_text": ("page_id url text n_chars", "pages"), "op3_decontaminate": ("doc_id item_id similarity", None),
