@@ -146,7 +146,7 @@ def d_anniversary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.datediff(dx.next_anniversary(F.col("o_orderdate").cast("date"), today), today).cast("long").alias("days"))
 
 
-@query("SELECT event_id, CASE WHEN (epoch_ms(ts) % 23000) < 18000 THEN 'press' WHEN (epoch_ms(ts) % 23000) < 22000 THEN 'breathe' ELSE 'switch' END AS phase FROM events")
+@query("SELECT event_id, CASE WHEN (epoch_us(ts) % 23000000 + 23000000) % 23000000 < 18000000 THEN 'press' WHEN (epoch_us(ts) % 23000000 + 23000000) % 23000000 < 22000000 THEN 'breathe' ELSE 'switch' END AS phase FROM events")
 def d_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     millis = F.unix_millis(F.col("ts").cast("timestamp"))
     return table(spark, sf_dir, "events").select("event_id", dx.cycle_phase(millis, [("press", 18000), ("breathe", 4000), ("switch", 1000)]).alias("phase"))
