@@ -19,13 +19,14 @@ def longest_alias(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: s
     """(id, entity, alias): the entity whose longest alias stands in the text (equal lengths: the smaller entity).
 
     aliases: (entity, alias); one with capitals is matched as written, others ignore case and accents. Texts meet only
-    the aliases whose first word they have, by an equi-join.
+    the aliases whose first word they have, by an equi-join: a word as written (where an accent parts words) or a folded one.
     """
     cased = F.col("alias") != F.lower("alias")
     known = aliases.select("entity", "alias", cased.alias("cased"), F.when(cased, _spaced(F.col("alias"), False)).otherwise(_spaced(F.col("alias"), True)).alias("needle"))
     known = known.where(F.length(F.trim("needle")) >= 2).withColumn("word", F.lower(F.split_part(F.trim("needle"), F.lit(" "), F.lit(1))))
     rows = texts.select(F.col(id_col).alias("id"), _spaced(F.col(text_col), True).alias("low"), _spaced(F.col(text_col), False).alias("high"))
-    words = rows.select("id", F.explode(F.array_distinct(F.split(F.trim("low"), " "))).alias("word"))
+    split = lambda c: F.split(F.trim(c), " ")
+    words = rows.select("id", F.explode(F.array_union(split("low"), split(F.lower("high")))).alias("word"))
     met = words.join(small(known), "word").drop("word")
     there = F.when(F.col("cased"), F.contains("high", "needle")).otherwise(F.contains("low", "needle"))
     found = met.join(rows, "id").where(there)
