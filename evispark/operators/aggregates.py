@@ -14,15 +14,25 @@ def finite(value: Column) -> Column:
     return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
 
 
+def _cuts(counted: DataFrame) -> DataFrame:
+    """(g, cuts, n) of the distinct values (g, v, c): PARTS values at most, chosen by their hashes, in ascending order, and the sum of c.
+
+    The same values give the same cuts, however they are dealt and merged: a plan that reads its cuts twice, or a task that is
+    repeated, must not get others (approximate quantiles depend on the order of merging).
+    """
+    hashed = F.xxhash64("v")
+    chosen = counted.groupBy("g", F.pmod(hashed, F.lit(PARTS)).alias("bucket")).agg(F.min_by("v", F.struct(hashed, F.col("v"))).alias("v"), F.sum("c").alias("c"))
+    return chosen.groupBy("g").agg(F.array_sort(F.collect_list("v")).alias("cuts"), F.sum("c").alias("n"))
+
+
 def at_ranks(df: DataFrame, by: str, value: str, ranks: dict[str, Column]) -> DataFrame:
     """(by, n, one column for each rank): the values at these 1-based ranks (expressions of ``n``) among a group's finite values.
 
-    Values are counted first (map-side). Approximate quantiles cut a group into PARTS, whose sizes tell how many values lie
-    before each; inside a part a running sum of counts gives exact ranks. So a group of any size is spread over its parts.
+    Values are counted first (map-side). ``_cuts`` part a group, and the parts' sizes tell how many values lie before
+    each; inside a part a running sum of counts gives exact ranks. So a group of any size is spread over its parts.
     """
     counted = df.where(finite(F.col(value).cast("double"))).groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    shares = F.array(*[F.lit((i + 1) / PARTS) for i in range(PARTS - 1)])
-    cuts = counted.groupBy("g").agg(F.percentile_approx("v", shares, F.lit(1000)).alias("cuts"), F.sum("c").alias("n"))
+    cuts = _cuts(counted)
     same = F.col("x.g").eqNullSafe(F.col("y.g"))
     placed = counted.alias("x").join(cuts.alias("y"), same).select("x.g", "v", "c", "n", F.size(F.filter("cuts", lambda q: q < F.col("v"))).alias("part"))
     sizes = placed.groupBy("g", "part").agg(F.sum("c").alias("size"))
