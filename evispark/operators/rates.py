@@ -2,7 +2,7 @@
 
 A sample has a time and a step for each channel; steps add up to positions. A window's positions are put on an even grid
 by linear interpolation, freed of drift by a moving mean, and correlated with themselves at each lag of the allowed
-rates. The first peak near the highest one counts, or one at half its lag if that is clear; a parabola through it and its
+rates; a lag at which the parts hold next to nothing of the movement (FAINT) has a correlation of 0. The first peak near the highest one counts, or one at half its lag if that is clear; a parabola through it and its
 neighbours refines the lag. The channel with the clearest peak wins; without a clear one there is no rate.
 
 State is what lies in the window, so a key of any length needs constant memory: ``sliding_rates`` carries it through sorted Arrow
@@ -23,6 +23,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from evispark.operators.stateful import fold, micros
 
 
+#: Share of a window's whole energy under which that of two parts counts as none: a still stretch, but for rounding.
+FAINT = 1e-9
+
+
 @dataclass(frozen=True)
 class Rhythm:
     """Microseconds of the window, of its least length and of the grid's step; least share of samples; lags and thresholds."""
@@ -56,11 +60,11 @@ def _lag(t: np.ndarray, steps: np.ndarray, how: Rhythm) -> tuple[float, float] |
     if x.std() < how.least_move:
         return None
     first, last = how.lags
-    r = np.zeros(last + 2)
+    r, least = np.zeros(last + 2), FAINT * (x @ x)
     for lag in range(max(first - 1, 0), min(last + 2, len(x))):
         a, b = x[: len(x) - lag], x[lag:]
         size = np.sqrt((a @ a) * (b @ b))
-        r[lag] = a @ b / size if size > 0 else 0.0
+        r[lag] = a @ b / size if size > least else 0.0
     lags = np.arange(first, last + 1)
     peaks = lags[(r[lags] >= r[lags - 1]) & (r[lags] >= r[lags + 1]) & (r[lags] > 0)]
     if not len(peaks):

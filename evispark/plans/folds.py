@@ -143,8 +143,9 @@ u AS (SELECT *, list_transform(range(0, floor((ts[-1] - ts[1]) / {DAY * 250_000}
 f AS (SELECT *, list_transform(grid, lambda g: least(len(list_filter(ts, lambda x: x <= g)), len(ts) - 1)) AS js FROM u WHERE len(grid) >= 24),
 l AS (SELECT *, list_transform(range(1, len(grid) + 1), lambda k: pos[js[k]] + (pos[js[k] + 1] - pos[js[k]]) * ((grid[k] - ts[js[k]]) / (ts[js[k] + 1] - ts[js[k]]))) AS lev FROM f),
 x AS (SELECT user_id, event_id, channel, len(lev) AS n, list_transform(range(1, len(lev) + 1), lambda i: lev[i] - list_avg(lev[greatest(1, i - 6):least(len(lev), i + 6)])) AS x FROM l),
-r AS (SELECT *, list_transform(range(3, 14), lambda g: list_sum(list_transform(range(1, n - g + 1), lambda i: x[i] * x[i + g]))
-    / sqrt(list_sum(list_transform(range(1, n - g + 1), lambda i: x[i] * x[i])) * list_sum(list_transform(range(1, n - g + 1), lambda i: x[i + g] * x[i + g])))) AS r
+r AS (SELECT *, list_transform(range(3, 14), lambda g: CASE WHEN sqrt(list_sum(list_transform(range(1, n - g + 1), lambda i: x[i] * x[i])) * list_sum(list_transform(range(1, n - g + 1), lambda i: x[i + g] * x[i + g])))
+      > {rates.FAINT} * list_sum(list_transform(x, lambda v: v * v)) THEN list_sum(list_transform(range(1, n - g + 1), lambda i: x[i] * x[i + g]))
+    / sqrt(list_sum(list_transform(range(1, n - g + 1), lambda i: x[i] * x[i])) * list_sum(list_transform(range(1, n - g + 1), lambda i: x[i + g] * x[i + g]))) ELSE 0 END) AS r
   FROM x WHERE list_stddev_pop(x) >= 0.35),
 k AS (SELECT *, list_filter(range(4, 13), lambda g: r[g - 2] >= r[g - 3] AND r[g - 2] >= r[g - 1] AND r[g - 2] > 0) AS peaks FROM r),
 b AS (SELECT *, list_filter(peaks, lambda g: r[g - 2] >= 0.85 * list_max(list_transform(peaks, lambda h: r[h - 2])))[1] AS l0 FROM k WHERE len(peaks) > 0),
