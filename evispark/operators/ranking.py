@@ -175,8 +175,16 @@ def margin_prune(frame: DataFrame, *, by: str = "q", margin: float = 0.4, least:
     return marked.where(flat | near | F.col("__first")).drop("__high", "__low", "__n", "__first").select(*frame.columns)
 
 
+def background(floor: float, gap: float) -> tuple[int, int, float, float] | None:
+    """What ``similarity.similar`` needs to leave out the rows that ``distinct_floor`` drops anyway: ranks, floor and gap; None without a gap."""
+    return (11, 50, floor, gap) if gap > 0 else None
+
+
 def distinct_floor(frame: DataFrame, floor: float, gap: float, *, by: str = "q", ties: str = "doc") -> DataFrame:
-    """Keeps scores at or over the floor; with a gap and over 50 rows, also over the mean of ranks 11 to 50 plus the gap."""
+    """Keeps scores at or over the floor; with a gap and over 50 rows, also over the mean of ranks 11 to 50 plus the gap.
+
+    Of ``similarity.similar``'s rows it needs those that ``apart=background(floor, gap)`` leaves, no others.
+    """
     n = frame.groupBy(by).agg(F.count("*").alias("__n"))
     back = top_k(frame, 50, by=by, ties=ties).where("rank > 10").groupBy(by).agg(F.avg("score").alias("__back"))
     bar = F.when((F.lit(gap) > 0) & (F.col("__n") > 50), F.greatest(F.lit(floor), F.col("__back") + gap)).otherwise(F.lit(floor))

@@ -1,8 +1,9 @@
 """Exact vector search: a stated set of queries against all vectors, multiplied in blocks.
 
 Queries are packed into blocks of BLOCK_QUERIES rows, vectors into blocks of one Arrow batch each. Every pair of blocks
-is one row of an equi-join on the query block (whose side is broadcast only if its bytes allow it), one numpy product,
-and leaves at most k rows for each query, so that only those are shuffled.
+is one row of an equi-join on the query block (whose side is broadcast only if its bytes allow it) and is multiplied in
+slices of SLICE scores. A task remembers each query's k-th best score so far and passes on what reaches it, so that only
+about k rows for each query and task are shuffled.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from pyspark.sql import functions as F
 
 from evispark.functions.vectors import as_blob, blob_rows, from_blob, quantise, quantise_scale
 from evispark.operators.ranking import top_k
-from evispark.operators.sizes import BROADCAST_BYTES
+from evispark.operators.sizes import BROADCAST_BYTES, bound_batches
 
 #: Queries of a block, and vectors of a block at most.
 BLOCK_QUERIES, BLOCK_VECTORS = 2048, 8192
+#: Scores that are held at once (some ten arrays of their size).
+SLICE = 1 << 20
 
 
 def _matrix(column: pa.Array, unit: bool) -> np.ndarray:
@@ -74,42 +77,69 @@ def _dot(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return (q.astype(kind) @ d.astype(kind).T).astype(np.float64)
 
 
-def _product(k: int | None, least: float | None):
+def _product(k: int | None, least: float | None, apart: tuple[int, int, float, float] | None):
+    """``apart``: (first, last, floor, gap): what may reach the floor and the mean of these ranks plus the gap, and the last + 1 best."""
+    best = k if k is not None else apart[1] + 1 if apart else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, np.ndarray] = {}  # the best scores of each query of a block so far, in ascending order
         for batch in batches:
-            for q_ids, q_kind, q_rows, q_scale, ids, kind, rows, scale in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for row in range(batch.num_rows):
+                q_ids, q_kind, q_rows, q_scale, ids, kind, rows, scale = (c[row].as_py() for c in batch.columns)
                 q, d = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
                 of = lambda data, kind, n: np.frombuffer(data, {"f8": "<f8", "f4": "<f4", "i1": "i1"}[kind]).reshape(n, -1)
-                scores = _dot(of(q_rows, q_kind, len(q)), of(rows, kind, len(d)))
-                scores = np.round(scores * np.frombuffer(q_scale, "<f8")[:, None] * np.frombuffer(scale, "<f8"), 6)
-                keep = q[:, None] != d[None, :]
-                if least is not None:
-                    keep &= scores >= least
-                if k is not None and scores.shape[1] > k:
-                    # all that reach the k-th best score, so that ties are decided where all blocks meet
-                    bar = np.partition(np.where(keep, scores, -np.inf), -k, axis=1)[:, -k]
-                    keep &= scores >= bar[:, None]
-                i, j = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(d[j]), pa.array(scores[i, j])], ["q", "doc", "score"])
+                asked, vectors = of(q_rows, q_kind, len(q)), of(rows, kind, len(d))
+                q_scales, scales = np.frombuffer(q_scale, "<f8"), np.frombuffer(scale, "<f8")
+                if best is not None and q_ids not in seen:
+                    seen[q_ids] = np.full((len(q), best), -np.inf)
+                step = max(1, SLICE // max(1, len(d)))
+                for a in range(0, len(q), step):
+                    part = slice(a, a + step)
+                    scores = _dot(asked[part], vectors)
+                    scores *= q_scales[part, None]
+                    scores *= scales
+                    np.round(scores, 6, out=scores)
+                    keep = q[part, None] != d[None, :]
+                    if least is not None:
+                        keep &= scores >= least
+                    if best is not None:
+                        known = seen[q_ids][part]
+                        fresh = np.where(keep & (scores == scores), scores, -np.inf)
+                        if fresh.shape[1] > best:
+                            fresh = np.partition(fresh, -best, axis=1)[:, -best:]
+                        known[:] = np.sort(np.concatenate([known, fresh], axis=1), axis=1)[:, -best:]
+                        # all that reach the best scores so far, so that ties are decided where all blocks meet
+                        bar = known[:, 0]
+                        if apart:
+                            first, last, floor, gap = apart
+                            # the mean of these ranks among all rows is no less than among those seen so far
+                            back = known[:, best - last : best - first + 1].mean(axis=1) + gap - 1e-9
+                            bar = np.minimum(bar, np.maximum(back, floor))
+                        keep &= scores >= bar[:, None]
+                    i, j = np.nonzero(keep)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(q[part][i]), pa.array(d[j]), pa.array(scores[i, j])], ["q", "doc", "score"])
 
     return run
 
 
-def _meet(packed: DataFrame, dealt: DataFrame, blocks: int, n_bytes: int, k: int | None, least: float | None) -> DataFrame:
+def _meet(packed: DataFrame, dealt: DataFrame, blocks: int, n_bytes: int, k: int | None, least: float | None, apart: tuple[int, int, float, float] | None = None) -> DataFrame:
+    bound_batches(packed.sparkSession)  # a row is a pair of blocks: some MB
     sides = dealt.select(F.pmod(F.xxhash64("ids"), F.lit(blocks)).alias("block"), *[F.col(c).alias(f"q_{c}") for c in dealt.columns])
     if n_bytes <= BROADCAST_BYTES:
         sides = F.broadcast(sides)
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     pairs = packed.withColumn("block", every).join(sides, "block").select(*[f"q_{c}" for c in dealt.columns], *packed.columns)
-    found = pairs.mapInArrow(_product(k, least), "q long, doc long, score double")
+    found = pairs.mapInArrow(_product(k, least, apart), "q long, doc long, score double")
     return found if k is None else top_k(found, k)
 
 
-def similar(vectors: DataFrame, queries: DataFrame, *, k: int | None = None, least: float | None = None, unit: bool = True) -> DataFrame:
+def similar(vectors: DataFrame, queries: DataFrame, *, k: int | None = None, least: float | None = None, apart: tuple[int, int, float, float] | None = None, unit: bool = True) -> DataFrame:
     """(q, doc, score[, rank]): cosine (``unit``) or inner product of each query with each vector but its own, rounded to six decimals.
 
     vectors: (doc, embedding), queries: (q, asked). With ``k`` the best of each query (ties: smaller doc) and their rank;
-    with ``least`` those of that score or more. Vectors that are null, hold nulls or
+    with ``least`` those of that score or more; with ``apart`` (``ranking.background``) all that ``ranking.distinct_floor`` of the same values keeps,
+    and what it needs to find that. Vectors that are null, hold nulls or
     are not as long as the longest query take no part.
     """
     width = queries.agg(F.max(F.size("asked"))).first()[0] or 0
@@ -119,7 +149,7 @@ def similar(vectors: DataFrame, queries: DataFrame, *, k: int | None = None, lea
     n = asked.count()
     blocks = max(1, -(-n // BLOCK_QUERIES))
     dealt = asked.repartition(blocks, "q").mapInArrow(_pack(unit), _BLOCK)
-    return _meet(packed, dealt, blocks, n * (width + 1) * 8, k, least)
+    return _meet(packed, dealt, blocks, n * (width + 1) * 8, k, least, apart)
 
 
 def similar_stored(stored: DataFrame, queries: DataFrame, width: int, *, k: int | None = None, least: float | None = None, unit: bool = True) -> DataFrame:

@@ -1,16 +1,25 @@
-"""Broadcast hints that are given only after the side's bytes were counted."""
+"""Broadcast hints that are given only after the side's bytes were counted, and bounded Arrow batches."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes up to which a side is broadcast.
 BROADCAST_BYTES = 32 << 20
 
+#: Bytes of an Arrow batch between Spark and its Python workers; the default, 10,000 rows, says nothing of long rows.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """From now on the session's Arrow batches have BATCH_BYTES at most (or one row)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
 
 def stored_bytes(df: DataFrame) -> int:
     """About how many bytes the rows take, by one aggregate over them."""

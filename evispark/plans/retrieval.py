@@ -223,7 +223,7 @@ def v_migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT q, avg(score) AS back FROM r WHERE rank BETWEEN 11 AND 50 GROUP BY q)
 SELECT q, doc, score FROM r LEFT JOIN b USING (q) WHERE score >= CASE WHEN n > 50 THEN greatest(0.1, back + 0.05) ELSE 0.1 END""")
 def h_distinct_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rk.distinct_floor(sm.similar(*_asked(spark, sf_dir)), 0.1, 0.05)
+    return rk.distinct_floor(sm.similar(*_asked(spark, sf_dir), apart=rk.background(0.1, 0.05)), 0.1, 0.05)
 
 
 @query(f"""{_VECTORS}, t AS ({_top('pairs', 50)}),
@@ -241,7 +241,7 @@ served AS (SELECT q, doc, score FROM g WHERE score >= hi - 0.4 * (hi - lo))
 SELECT q, doc, score, rank, n_chars FROM ({_top('served', 6)}) LEFT JOIN documents ON doc_id = doc""")
 def h_semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semantic search as a whole: cosine, background floor, absolute floor, margin, best six, then the survivors' text sizes."""
-    found = rk.distinct_floor(sm.similar(*_asked(spark, sf_dir)), 0.1, 0.05)
+    found = rk.distinct_floor(sm.similar(*_asked(spark, sf_dir), apart=rk.background(0.1, 0.05)), 0.1, 0.05)
     served = rk.top_k(rk.margin_prune(rk.score_floor(found, 0.12)), 6)
     sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "n_chars")
     return served.join(sizes, "doc", "left").select("q", "doc", "score", "rank", "n_chars")
