@@ -26,10 +26,13 @@ incoming AS (
   SELECT 1, 3000000 + book, replace(text, ' ', '  ') FROM books)"""
 
 
-def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _incoming(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """The rows of all batches; the books are put together once, at ``path``."""
     docs = table(spark, sf_dir, "documents")
     parts = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
     books = docs.groupBy(F.floor(F.col("doc_id") / 20).alias("book")).agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
+    books.write.parquet(path)
+    books = spark.read.schema(books.schema).parquet(path)
     as_id = lambda base: (F.lit(base) + F.col("book")).alias("doc_id")
     longer = F.concat(F.substring("text", F.lit(1), F.length("text") - 30), F.lit(" another end."))
     return (
@@ -57,7 +60,7 @@ FROM placed p LEFT JOIN best USING (id)""")
 def x_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a library decides on two batches; the second comes twice, which changes nothing."""
     path = f"{shared_folder(spark)}/library-{uuid.uuid4().hex}"
-    incoming = _incoming(spark, sf_dir)
+    incoming = _incoming(spark, sf_dir, f"{path}-books")
     for number in (0, 1, 1):
         lib.import_batch(spark, path, incoming.where(F.col("batch") == number), number)
     return lib.decisions(spark, path).select("batch", "doc_id", "decision", "other", F.round("share", 6).alias("share"))

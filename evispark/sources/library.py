@@ -4,6 +4,7 @@ A library is a folder of Parquet tables, one directory for each batch:
 
     documents/batch=<n>   doc_id, print, text, keys   what was taken in
     decisions/batch=<n>   doc_id, decision, other, share   what was decided on each row of the batch
+    prints/batch=<n>      doc_id, print, keys, tag, n   what the batch held, without its texts: decisions are made from it
 
 ``import_batch`` meets a batch with all that other batches brought. Its directories are written anew, so a batch that is
 repeated (a stream that recovers hands its last one out again) replaces its own rows and is decided on as before, and
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from evispark.functions import text as tx
+from evispark.operators.sizes import small
 
 PERCENT = 90
 _DOCUMENTS = "doc_id long, print string, text string, keys array<bigint>, batch long"
+_PRINTS = "doc_id long, print string, keys array<bigint>, tag long, n long"
 _DECISIONS = "doc_id long, decision string, other long, share double, batch long"
 
 
@@ -54,11 +57,24 @@ def content_print(text: Column) -> Column:
     return F.when(F.length(F.regexp_replace(text, r"\s+", "")) > 0, tx.fingerprint(text))
 
 
-def chunk_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, keys): a key for each chunk of the text, equal ones told apart by their number, in ascending order."""
-    chunks = docs.select("doc_id", F.posexplode(tx.chunks(F.col("text"))).alias("pos", "chunk")).select("doc_id", "pos", tx.fingerprint(F.col("chunk")).alias("h"))
-    copy = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("pos"))
-    return chunks.select("doc_id", F.xxhash64("h", copy).alias("key")).groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+def chunk_keys(text: Column) -> Column:
+    """A key for each chunk of the text, equal ones told apart by their number, in ascending order."""
+    numbered = lambda h: F.transform(h, lambda x, i: F.xxhash64(x, (i + 2 - F.array_position(h, x)).cast("int")))
+    prints = F.array_sort(F.transform(tx.chunks(text), tx.fingerprint))
+    return F.array_sort(F.get(F.transform(F.array(prints), numbered), F.lit(0)))
+
+
+def _rows(batch: DataFrame) -> DataFrame:
+    unknown = F.raise_error(F.lit("a document to import has no doc_id"))
+    rows = batch.select(F.coalesce(F.col("doc_id").cast("long"), unknown).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("print", content_print(F.col("text")))
+
+
+def prints(batch: DataFrame) -> DataFrame:
+    """(doc_id, print, keys, tag, n) of a batch's documents, without their texts: tag tells the row that stands for the id from its other n - 1."""
+    rows = _rows(batch).select("doc_id", "print", F.when(F.col("print").isNotNull(), chunk_keys(F.col("text"))).alias("keys"), F.xxhash64("text").alias("tag"))
+    first = F.min_by(F.struct("print", "keys", "tag"), F.when(F.col("print").isNotNull(), F.struct("print", "tag")))
+    return rows.groupBy("doc_id").agg(first.alias("r"), F.count("*").alias("n")).select("doc_id", "r.*", "n")
 
 
 def _most_similar(fresh: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
@@ -84,29 +100,36 @@ def _most_similar(fresh: DataFrame, stored: DataFrame, percent: int) -> DataFram
     return found.groupBy("doc_id").agg(best["doc_id"].alias("other"), F.max("share").alias("share"))
 
 
-def decide(batch: DataFrame, stored: DataFrame, *, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(decisions, documents to take in) of a batch (doc_id, text) that meets ``stored`` (doc_id, print, keys, batch)."""
-    known = F.raise_error(F.lit("a document to import has no doc_id"))
-    rows = batch.select(F.coalesce(F.col("doc_id").cast("long"), known).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("print", content_print(F.col("text"))).groupBy("doc_id").agg(F.min_by(F.struct("text", "print"), "print").alias("r"))
-    rows = rows.select("doc_id", F.coalesce("r.text", F.lit("")).alias("text"), "r.print")
+def decide(batch: DataFrame, stored: DataFrame, *, percent: int = PERCENT, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(decisions, documents to take in) of a batch (doc_id, text) that meets ``stored`` (doc_id, print, keys, batch).
+
+    ``known``: the batch's ``prints``, if they are at hand. Decisions need no text, and texts that are taken in stay where they
+    are read as long as the ids of the others are few (``small``); only rows of a repeated doc_id are brought together.
+    """
+    rows = prints(batch) if known is None else known
     first = rows.where("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("first"))
     old = stored.groupBy("print").agg(F.min_by("doc_id", F.struct("batch", "doc_id")).alias("old"))
-    seen = rows.join(first.join(old, "print", "left"), "print", "left")
-    taken = seen.where("print IS NOT NULL AND old IS NULL AND first = doc_id").select("doc_id", "print", "text")
-    fresh = taken.join(chunk_keys(taken), "doc_id")
-    similar = _most_similar(fresh, stored, percent)
+    taken = F.coalesce(F.col("print").isNotNull() & F.col("old").isNull() & (F.col("first") == F.col("doc_id")), F.lit(False))
+    seen = rows.join(first.join(old, "print", "left"), "print", "left").withColumn("taken", taken)
+    similar = _most_similar(seen.where("taken").select("doc_id", "keys"), stored, percent)
     same = F.when(F.col("old").isNotNull(), F.col("old")).when(F.col("first") != F.col("doc_id"), F.col("first"))
     marked = seen.select("doc_id", "print", same.alias("same")).join(similar, "doc_id", "left")
     decision = F.when(F.col("print").isNull(), "empty").when(F.col("same").isNotNull(), "same").when(F.col("other").isNotNull(), "similar").otherwise("new")
-    other = F.coalesce("same", "other")
-    return marked.select("doc_id", decision.alias("decision"), other.alias("other"), F.when(F.col("same").isNull(), F.col("share")).alias("share")), fresh
+    decided = marked.select("doc_id", decision.alias("decision"), F.coalesce("same", "other").alias("other"), F.when(F.col("same").isNull(), F.col("share")).alias("share"))
+
+    texts = _rows(batch)
+    single = texts.join(small(seen.where("NOT taken OR n > 1").select("doc_id")), "doc_id", "left_anti").select("doc_id", "text")
+    repeated = texts.withColumn("tag", F.xxhash64("text")).join(small(seen.where("taken AND n > 1").select("doc_id", "tag")), ["doc_id", "tag"])
+    fresh = single.unionByName(repeated.groupBy("doc_id").agg(F.min("text").alias("text")))
+    return decided, fresh.select("doc_id", content_print(F.col("text")).alias("print"), "text", chunk_keys(F.col("text")).alias("keys"))
 
 
 def import_batch(spark: SparkSession, path: str, batch: DataFrame, number: int, *, percent: int = PERCENT) -> None:
     """Takes a batch (doc_id, text) into the library at ``path``; the same number again replaces what it brought."""
+    at = f"{path}/prints/batch={number}"
+    prints(batch).write.mode("overwrite").parquet(at)
     others = documents(spark, path).where(F.col("batch") != number)
-    decided, fresh = decide(batch, others, percent=percent)
+    decided, fresh = decide(batch, others, percent=percent, known=spark.read.schema(_PRINTS).parquet(at))
     fresh.write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
     decided.write.mode("overwrite").parquet(f"{path}/decisions/batch={number}")
 

@@ -88,3 +88,17 @@ def test_backfill(spark):
     found = {(r.collection, r.doc_id): (r.print, r.twin_of) for r in lib.backfill(chunks, docs.where("doc_id = 7"), notes=["(note)\n"]).collect()}
     want = {r.doc_id: r.p for r in docs.select("doc_id", tx.fingerprint(F.col("text")).alias("p")).collect()}
     assert found == {("b", 1): (want[7], 3), ("a", 9): (want[9], None), (None, 3): (want[7], None), ("d", 4): (None, None)}
+
+
+def test_texts_are_not_shuffled(spark, tmp_path):
+    """The plans of an import hash rows by ids, prints and keys, but for repeated rows of an id."""
+    path = str(tmp_path / "library")
+    frame(spark, BATCHES[0]).write.parquet(f"{path}-in")
+    batch = spark.read.parquet(f"{path}-in")
+    lib.import_batch(spark, path, batch, 0)
+    decided, fresh = lib.decide(batch, lib.documents(spark, path).where("batch <> 0"))
+    rows = [(1, "one\ntwo"), (1, " one two"), (1, None), (2, "three"), (2, "three"), (3, None)]
+    got = {r.doc_id: r.text for r in lib.decide(frame(spark, rows), spark.createDataFrame([], lib._DOCUMENTS))[1].collect()}
+    assert set(got) == {1, 2} and got[2] == "three" and got[1] in ("one\ntwo", " one two")
+    shuffled = [line for line in decided._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.strip(" :+-").startswith(("Aggregate", "Join"))]
+    assert shuffled and "text#" not in " ".join(shuffled)
