@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ ARTICLES = "el la los las un una unos unas the a an".split()
 ROMAN = "I II III IV V VI VII VIII IX X".split()
 REFERENCES = "ver|see|véase|ver guía|ver la|capítulo|chapter"
 BEFORE = rf"([{_LETTER}][{_LETTER}-]*(?:\s+[{_LETTER}][{_LETTER}-]*){{0,5}})\s*\(({ACRONYM})\)"
+#: What BEFORE finds, in a text that is turned round: from a bracket at most six words on, so that no letter is looked at for each place before it.
+TURNED = rf"\)[{_UPPER}0-9-]{{1,5}}[{_UPPER}]\(\s*[{_LETTER}-]*[{_LETTER}](?:\s+[{_LETTER}-]*[{_LETTER}]){{0,5}}"
 AFTER = rf"(?:^|[\s(>])({ACRONYM})\s*\(([^)]{{3,70}})\)"
 SOUND = f"^[{_LETTER}][{_LETTER} ,-]*$"
 
@@ -29,8 +33,7 @@ def acronym_pairs(text: Column) -> Column:
     words or more)'. A definition has 3 to 70 letters, spaces, commas and hyphens, and is no reference; Roman numbers are no acronyms.
     """
     body = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<!--.*?-->", " ")
-    both = lambda pattern, i, j: F.arrays_zip(F.regexp_extract_all(body, F.lit(pattern), F.lit(i)).alias("acronym"), F.regexp_extract_all(body, F.lit(pattern), F.lit(j)).alias("words"))
-    split = lambda p: F.struct(p["acronym"].alias("acronym"), F.split(F.trim(F.regexp_replace(p["words"], r"\s+", " ")), " ").alias("words"))
+    split = lambda acronym, words: F.struct(acronym.alias("acronym"), F.split(F.trim(F.regexp_replace(words, r"\s+", " ")), " ").alias("words"))
     opens = lambda w: tx.fold(w).isin(*OPENERS, *ARTICLES)
 
     def named(p: Column) -> Column:
@@ -38,19 +41,34 @@ def acronym_pairs(text: Column) -> Column:
         at = F.when(first == 0, F.size(p["words"])).otherwise(first)
         return F.struct(p["acronym"].alias("acronym"), F.array_join(F.slice(p["words"], at, F.size(p["words"])), " ").alias("definition"))
 
-    whole = lambda p: F.struct(p["acronym"].alias("acronym"), F.array_join(p["words"], " ").alias("definition"))
-    before = F.transform(F.transform(both(BEFORE, 2, 1), split), named)
-    after = F.transform(F.filter(F.transform(both(AFTER, 1, 2), split), lambda p: F.size(p["words"]) >= 2), whole)
-
     def sound(p: Column) -> Column:
         d = p["definition"]
         fit = F.length(d).between(3, 70) & d.rlike(SOUND) & ~d.rlike(rf"(?i)^({REFERENCES})\b")
         return fit & (F.contains(d, F.lit(" ")) | (F.length(d) >= 4)) & ~p["acronym"].isin(*ROMAN)
 
-    found = F.filter(F.concat(before, after), sound)
-    key = lambda p: F.struct(p["acronym"].alias("a"), tx.fold(p["definition"]).alias("d"))
-    keys = F.transform(found, key)
-    return F.filter(found, lambda p, i: F.array_position(keys, key(p)) == i + 1)
+    whole = lambda p: F.struct(p["acronym"].alias("acronym"), F.array_join(p["words"], " ").alias("definition"))
+    ahead = lambda m: split(F.regexp_replace(F.substring_index(m, "(", -1), r"\)$", ""), F.substring_index(m, "(", 1))
+    behind = lambda m: split(F.regexp_extract(m, AFTER, 1), F.regexp_extract(m, AFTER, 2))
+
+    def found(body: Column) -> Column:
+        turned = F.reverse(F.regexp_extract_all(F.reverse(body), F.lit(TURNED), F.lit(0)))
+        before = F.transform(F.transform(turned, lambda m: ahead(F.reverse(m))), named)
+        after = F.transform(F.filter(F.transform(F.regexp_extract_all(body, F.lit(AFTER), F.lit(0)), behind), lambda p: F.size(p["words"]) >= 2), whole)
+        return F.filter(F.concat(before, after), sound)
+
+    def once(pairs: Column) -> Column:
+        keyed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["acronym"].alias("a"), tx.fold(p["definition"]).alias("d"), i.alias("i"), p["definition"].alias("definition"))))
+        same = lambda x, y: (x["a"] == y["a"]) & (x["d"] == y["d"])
+        first = lambda ps: F.filter(ps, lambda p, i: (i == 0) | ~same(p, F.get(ps, F.greatest(i - 1, F.lit(0)))))
+        back = F.array_sort(F.transform(_bound(keyed, first), lambda p: F.struct(p["i"].alias("i"), p["a"].alias("acronym"), p["definition"].alias("definition"))))
+        return F.transform(back, lambda p: F.struct(p["acronym"].alias("acronym"), p["definition"].alias("definition")))
+
+    return once(_bound(body, found))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value (its result is an array) that is worked out once, however often ``use`` names it."""
+    return F.flatten(F.transform(F.array(value), use))
 
 
 def spells(acronym: Column, definition: Column) -> Column:

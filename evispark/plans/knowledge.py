@@ -93,7 +93,9 @@ _SHORT = _LIST([*ac.ARTICLES, "de", "del", "of", "y", "e", "and", "para", "for",
 
 
 def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.slice(F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-zé ]", " "), " "), lambda w: w != ""), 1, 4)
+    # no more of a text than its first four words is cut up
+    head = F.regexp_extract(F.coalesce("text", F.lit("")), r"\A(?:[^A-Za-zé]*+[A-Za-zé]++){0,4}+", 0)
+    words = F.filter(F.split(head, "[^A-Za-zé]+"), lambda w: w != "")
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", words.alias("w"))
     w = lambda i: F.get("w", F.lit(i))
     initials = F.upper(F.array_join(F.transform("w", lambda x: F.substring(x, 1, 1)), ""))
