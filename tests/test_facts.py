@@ -1,6 +1,7 @@
 """Facts that are absorbed, by hand and against a plain version; acronyms by hand."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -65,6 +66,15 @@ def test_acronym_pairs(spark):
     }
 
 
+def test_acronyms_of_long_runs(spark):
+    # one run of letters and one of words, without a bracket: each place of them was a start that looked at all that follows
+    texts = ["a" * 300_000 + " (AB", "word " * 60_000 + "(AB", "x" * 300_000 + " (XY)"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    began = time.monotonic()
+    assert [tuple(r) for r in rows.select("id", F.size(ac.acronym_pairs(F.col("text")))).orderBy("id").collect()] == [(0, 0), (1, 0), (2, 0)]
+    assert time.monotonic() - began < 20
+
+
 def test_mined_acronyms_and_ties(spark):
     texts = ["health world (WH)", "World Health (WH)", "world health (WH)", "one half (WH)", "Wide Hall (WH)"]
     found = ac.mined_acronyms(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text").orderBy("rank").collect()
