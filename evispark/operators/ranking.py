@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import text as tx
-from evispark.operators.sizes import small
+from evispark.operators.sizes import BROADCAST_BYTES, small, stored_bytes
 from evispark.operators.tables import spare
 
 #: Fixed values of the BM25 ranking function.
@@ -77,31 +77,41 @@ def key_matches(tokens: DataFrame, keys: DataFrame) -> DataFrame:
     return joined.where(fits).drop("__head", "__word", "__open", "token")
 
 
+def each_token(docs: DataFrame, text_col: str) -> DataFrame:
+    """The other columns of ``docs`` with each ``token`` of the text (null of a text without one, which no key fits) and the text's ``doc_len`` in tokens."""
+    kept = [c for c in docs.columns if c != text_col]
+    # the length stands in a row before its tokens do: else each token would carry the whole array; an outer explode cuts up
+    # a text once, where Spark gives a plain one a filter on the array's size that cuts it up before
+    sized = docs.select(*kept, tx.tokens(F.col(text_col)).alias("__t")).select(*kept, F.size("__t").alias("doc_len"), "__t")
+    return sized.select(*kept, "doc_len", F.explode_outer("__t").alias("token"))
+
+
 def bm25_content(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, *, corpus: Column | None = None) -> DataFrame:
     """(q, [corpus,] doc, score, matched, exact): BM25 over the keys (q, term, key), each a term of its own, within each corpus.
 
     ``matched`` counts the question's words with a key in the document, ``exact`` those with an "=" key. Only tokens that
-    are asked for leave the scan; a key's document frequency comes from the same (reused) shuffle as the hits.
+    are asked for leave the scan, and they are dealt out by document: a document's counts and scores, and the keys'
+    document frequencies, come from that one (reused) shuffle. A key's weight is joined to a hit before its questions are.
     """
-    of = corpus if corpus is not None else F.lit(0)
-    texts = docs.select(F.col(id_col).alias("doc"), of.alias("corpus"), F.col(text_col).alias("text"))
-    size = texts.groupBy("corpus").agg(F.count("*").alias("n_docs"), F.greatest(F.avg(tx.count_tokens(F.col("text"))), F.lit(1e-9)).alias("avg_len"))
-    # the length stands in a row before its tokens do: else each token would carry the whole array
-    sized = texts.select("doc", "corpus", tx.tokens(F.col("text")).alias("t")).select("doc", "corpus", F.size("t").alias("doc_len"), "t")
-    tokens = sized.select("doc", "corpus", "doc_len", F.explode("t").alias("token"))
-    hits = key_matches(tokens, terms.select("key").distinct()).groupBy("corpus", "doc", "doc_len", "key").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("corpus", "key").agg(F.count("*").alias("df"))
+    of = ["corpus"] if corpus is not None else []
+    texts = docs.select(F.col(id_col).alias("doc"), *([corpus.alias("corpus")] if of else []), F.col(text_col).alias("text"))
+    keys = terms.select("key").distinct()
+    size = texts.groupBy(*of).agg(F.count("*").alias("n_docs"), F.greatest(F.avg(tx.count_tokens(F.col("text"))), F.lit(1e-9)).alias("avg_len"))
+    hits = key_matches(each_token(texts, "text"), keys).repartition(*of, "doc").groupBy(*of, "doc", "doc_len", "key").agg(F.count("*").alias("tf"))
+    df = hits.groupBy(*of, "key").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+    rated = (df.join(size, of) if of else df.crossJoin(F.broadcast(size))).select(*of, "key", idf.alias("idf"), "avg_len")
+    # no more rows than corpora times keys, which are counted without a look at the texts
+    most = keys.crossJoin(texts.select("corpus").distinct()) if of else keys
+    rated = F.broadcast(rated) if stored_bytes(most) <= BROADCAST_BYTES else rated
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+    weighed = hits.join(rated, [*of, "key"]).select(*of, "doc", "key", weight.alias("weight"))
     # a question has few words: the ones a document has are a set of bits
     bit = F.expr("shiftleft(1L, cast(dense_rank() OVER (PARTITION BY q ORDER BY term) - 1 AS INT))")
     asked = terms.select("q", "key", bit.alias("bit"), F.col("key").startswith("=").alias("whole"))
-    # df has no more rows than corpora times keys, size one for each corpus: AQE broadcasts them by their measured sizes
-    found = hits.join(df, ["corpus", "key"]).join(size, "corpus").join(small(asked), "key")
-    scored = found.groupBy("q", "corpus", "doc").agg(
-        F.sum(weight).alias("score"), F.bit_count(F.bit_or("bit")).alias("matched"), F.bit_count(F.bit_or(F.when(F.col("whole"), F.col("bit")).otherwise(F.lit(0).cast("long")))).alias("exact")
+    return weighed.join(small(asked), "key").groupBy("q", *of, "doc").agg(
+        F.sum("weight").alias("score"), F.bit_count(F.bit_or("bit")).alias("matched"), F.bit_count(F.bit_or(F.when(F.col("whole"), F.col("bit")).otherwise(F.lit(0).cast("long")))).alias("exact")
     )
-    return scored if corpus is not None else scored.drop("corpus")
 
 
 def bm25(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -115,9 +125,9 @@ def field_weighted_tf(docs: DataFrame, terms: DataFrame, id_col: str, title_col:
     ``terms`` is (q, term) or (q, term, key); starts ("^") don't count here.
     """
     keyed = terms.where(F.col("key").startswith("=")) if "key" in terms.columns else exact_keys(terms)
-    weighted = lambda c, w: F.transform(tx.tokens(F.col(c)), lambda t: F.struct(t.alias("token"), F.lit(w).alias("weight")))
-    sides = docs.select(F.col(id_col).alias("doc"), F.explode(F.concat(weighted(title_col, 2), weighted(body_col, 1))).alias("x")).select("doc", "x.token", "x.weight")
-    hits = key_matches(sides, keyed.select("key").distinct()).groupBy("doc", "key").agg(F.sum("weight").alias("weight"))
+    side = lambda c, w: each_token(docs.select(F.col(id_col).alias("doc"), F.col(c).alias("text")), "text").select("doc", "token", F.lit(w).alias("weight"))
+    found = key_matches(side(title_col, 2).unionByName(side(body_col, 1)), keyed.select("key").distinct())
+    hits = found.repartition("doc").groupBy("doc", "key").agg(F.sum("weight").alias("weight"))
     return hits.join(small(keyed.select("q", "key")), "key").groupBy("q", "doc").agg(F.sum("weight").alias("score"))
 
 

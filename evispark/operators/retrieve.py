@@ -51,7 +51,7 @@ def retrieve(docs: DataFrame, vectors: DataFrame, questions: DataFrame, asked: D
 
     pool = rk.top_k(scored, rules.pool)
     texts = place.join(pool.select("doc").distinct(), "doc")
-    tokens = texts.select("doc", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token"))
+    tokens = texts.select("doc", F.explode_outer(F.array_distinct(tx.tokens(F.col("text")))).alias("token"))
     held = rk.key_matches(tokens, words.select("key").distinct()).distinct().join(words.select(F.col("q").alias("asker"), "term", "key"), "key")
     matches = held.join(pool.select("q", "doc"), "doc").where("q.q = asker").select("q", "doc", "term").distinct()
     terms = pool.select(F.col("q").alias("of")).distinct().join(words.select("q", "term").distinct(), F.col("of.q") == F.col("q"))

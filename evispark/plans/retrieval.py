@@ -141,7 +141,7 @@ def h_unfounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, terms = _scored(spark, sf_dir)
     pool = rk.top_k(scored, 48)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text").join(pool.select("doc").distinct(), "doc")
-    tokens = docs.select("doc", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token"))
+    tokens = docs.select("doc", F.explode_outer(F.array_distinct(tx.tokens(F.col("text")))).alias("token"))
     matches = rk.key_matches(tokens, terms.select("key").distinct()).distinct().join(terms, "key").join(pool.select("q", "doc"), ["q", "doc"]).select("q", "doc", "term").distinct()
     return rk.unfounded(pool, _gated(pool, terms), matches, terms).select("q", "doc", "score")
 
