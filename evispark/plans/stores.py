@@ -23,7 +23,8 @@ c AS (SELECT doc_id, unnest(CASE WHEN hint = 'pt' THEN {_clauses_sql(tx.CLAUSE_W
 SELECT doc_id, count(*) AS n, count(*) FILTER (list_contains({tx.HANGING!r}, c.sign)) AS hanging, sum(length(c.text))::BIGINT AS chars, max(c.text) AS last FROM c WHERE length(c.text) >= 8 GROUP BY doc_id""")
 def f_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's clauses: how many, how many hang on another, their characters, and the last one in order of letters."""
-    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.clauses(F.col("text"))).alias("c"))
+    # an outer explode: Spark gives a plain one a filter on the array's size, which cuts up a text twice
+    each = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(tx.clauses(F.col("text"))).alias("c")).where("c IS NOT NULL")
     return each.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("c.hangs").alias("hanging"), F.sum(F.length("c.text")).alias("chars"), F.max("c.text").alias("last"))
 
 

@@ -2,6 +2,9 @@ import math
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from evispark.functions import text as tx
 from evispark.operators import ranking as rk
 
 STARTS = re.compile(r"[0-9]")
@@ -68,3 +71,29 @@ def test_bm25_content(spark):
     kept = rk.coverage_gate(scored, terms.select("q", "term").distinct())
     need = {q: len(c) if len(c := content(t)) <= 2 else math.ceil(len(c) / 2) for q, t in QUESTIONS}
     assert {(r.q, r.doc) for r in kept.collect()} == {(q, d) for (q, d), (_, n) in want.items() if n >= need[q]}
+
+
+def planned(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_are_dealt_out_once_by_document(spark):
+    terms = rk.content_terms(spark.createDataFrame(QUESTIONS, "q long, t string"), "q", "t")
+    docs = spark.createDataFrame([(d, t, "ab"[d % 2]) for d, t in DOCS], "d long, t string, c string")
+    for corpus in (None, F.col("c")):
+        plan = planned(rk.bm25_content(docs, terms, "d", "t", corpus=corpus))
+        dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+        # whatever has a document is dealt out by it alone, and no filter cuts up a text before it is cut up
+        assert {re.sub(r"#\d+L?", "", x) for x in dealt if "doc#" in x} == {"corpus, doc" if corpus is not None else "doc"}
+        assert "Cartesian" not in plan and not re.search(r"Filter \(size\(array_remove", plan)
+    # a document's rows of one length are one, those of another length are weighed apart
+    twice = rk.bm25_content(spark.createDataFrame([(1, "storm x"), (1, "storm y"), (1, "storm"), (2, "calm")], "d long, t string"), rk.exact_keys(spark.createDataFrame([(7, "storm")], "q long, term string")), "d", "t")
+    weigh = lambda tf, n: math.log(1 + (4 - 2 + 0.5) / 2.5) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 1.5))
+    assert [(r.q, r.doc, round(r.score, 9), r.matched) for r in twice.collect()] == [(7, 1, round(weigh(2, 2) + weigh(1, 1), 9), 1)]
+
+
+def test_hint_and_clauses_read_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "the cat is in the house and it was here, \t if\nyou WHILE it rained  . x")], "d long, t string")
+    found = docs.select(tx.language_hint(tx.tokens(F.col("t"))).alias("hint"), tx.clauses(F.col("t")).alias("c"))
+    assert planned(docs.select(tx.language_hint(tx.tokens(F.col("t"))).alias("h"))).count("split(") == 1
+    assert [tuple(c) for c in found.first().c] == [("the cat is in the house", False), ("it was here", False), ("it rained", True)] and found.first().hint == "en"
