@@ -285,16 +285,18 @@ SELECT r.q, r.doc, r.score, r.own, r.rank FROM reserved r LEFT JOIN scored s USI
 WHERE CASE WHEN raw IS NOT NULL THEN raw >= 0.2 ELSE matched IS NULL OR matched / n > 0.5 OR own END""")
 def h_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole fusion: caps by article, a place kept for the user's own documents (here: source src1), and the absolute gate at last."""
-    fused, scored, terms = _fused(spark, sf_dir)
+    fused, lexical, terms = _fused(spark, sf_dir)
     kept = rk.reserve(fused, 10, F.col("article"), F.col("own"))
     n = terms.groupBy("q").agg(F.countDistinct("term").alias("n"))
-    coverage = scored.join(n, "q").select("q", "doc", (F.col("matched") / F.col("n")).alias("share"))
+    # the gate asks for the coverage of rows without a semantic score, which all come from the lexical side's best
+    coverage = lexical.join(n, "q").select("q", "doc", (F.col("matched") / F.col("n")).alias("share"))
     return rk.absolute_gate(kept, coverage, 0.2, F.col("own")).select("q", "doc", "score", "own", "rank")
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The fused rows with their article and owner, the lexical side's best (q, doc, score, matched), and the questions' terms."""
     scored, terms = _scored(spark, sf_dir)
-    lexical = rk.top_k(_gated(scored, terms), 50).select("q", "doc", "score")
+    lexical = rk.top_k(_gated(scored, terms), 50).select("q", "doc", "score", "matched")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), "embedding")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q")).distinct()
     asked = vectors.join(items, F.col("doc") == F.col("q")).select("q", F.col("embedding").alias("asked"))
@@ -302,7 +304,7 @@ def _fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     title = F.lower(F.trim(F.split_part("text", F.lit("\n"), F.lit(1))))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), title.alias("title"), F.coalesce(F.col("source") == "src1", F.lit(False)).alias("own"))
     named = fused.join(docs, "doc", "left").withColumns({"article": F.coalesce(F.when(F.col("title") != "", F.col("title")), F.concat(F.lit("#"), "doc")), "own": F.coalesce("own", F.lit(False))})
-    return named.drop("title"), scored, terms
+    return named.drop("title"), lexical, terms
 
 
 _EVAL = """

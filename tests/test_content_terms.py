@@ -97,3 +97,12 @@ def test_hint_and_clauses_read_a_text_once(spark):
     found = docs.select(tx.language_hint(tx.tokens(F.col("t"))).alias("hint"), tx.clauses(F.col("t")).alias("c"))
     assert planned(docs.select(tx.language_hint(tx.tokens(F.col("t"))).alias("h"))).count("split(") == 1
     assert [tuple(c) for c in found.first().c] == [("the cat is in the house", False), ("it was here", False), ("it rained", True)] and found.first().hint == "en"
+
+
+def test_fusion_asks_for_the_coverage_of_the_best_alone(spark, monkeypatch):
+    from evispark.plans import registry
+
+    seen = []
+    monkeypatch.setattr(rk, "absolute_gate", lambda fused, coverage, floor, own: seen.append(coverage) or fused)
+    registry.QUERIES["h_fusion"](spark, "/root/testdata/sf0.001")
+    assert seen[0].groupBy("q").count().agg(F.max("count")).first()[0] <= 50  # not of every hit
