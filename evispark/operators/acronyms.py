@@ -80,10 +80,17 @@ def spells(acronym: Column, definition: Column) -> Column:
     return (initials(words) == wanted) | (initials(F.filter(words, lambda w: ~w.isin(*short))) == wanted)
 
 
+def declared_acronyms(texts: DataFrame, text_col: str) -> DataFrame:
+    """The other columns of ``texts`` with each (acronym, definition) that the text declares."""
+    kept = [c for c in texts.columns if c != text_col]
+    # an outer explode: Spark gives a plain one a filter on the pairs' number, which finds all pairs before they are found
+    return texts.select(*kept, F.explode_outer(acronym_pairs(F.col(text_col))).alias("__p")).where("__p IS NOT NULL").select(*kept, "__p.acronym", "__p.definition")
+
+
 def mined_acronyms(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(acronym, definition, n_texts, example, spelled, rank): each pair with the texts that declare it, the first of them, and its
     place among its acronym's definitions: by texts, then those whose initials spell it, then alphabetically. Definitions that differ in case and accents are one, written as in the first text."""
-    each = texts.select(F.col(id_col).alias("id"), F.explode(acronym_pairs(F.col(text_col))).alias("p")).select("id", "p.*")
+    each = declared_acronyms(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")), "__text")
     counted = each.groupBy("acronym", tx.fold(F.col("definition")).alias("folded")).agg(F.countDistinct("id").alias("n_texts"), F.min("id").alias("example"), F.min_by("definition", F.struct("id", "definition")).alias("definition"))
     marked = counted.withColumn("spelled", spells(F.col("acronym"), F.col("folded")))
     rank = F.row_number().over(Window.partitionBy("acronym").orderBy(F.desc("n_texts"), F.desc("spelled"), "folded"))

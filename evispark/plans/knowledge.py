@@ -107,8 +107,7 @@ def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_DECLARED}, {_PAIRS} SELECT doc_id, acronym, min(definition) AS definition FROM (SELECT doc_id, acronym, folded, definition FROM sound) GROUP BY doc_id, acronym, folded")
 def f_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document says its acronyms stand for."""
-    each = _declared(spark, sf_dir).select("doc_id", F.explode(ac.acronym_pairs(F.col("text"))).alias("p"))
-    return each.select("doc_id", "p.acronym", "p.definition")
+    return ac.declared_acronyms(_declared(spark, sf_dir), "text")
 
 
 @query(f"""
