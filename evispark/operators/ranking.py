@@ -7,11 +7,18 @@ when its counted bytes are within a bound.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evispark.functions import text as tx
-from evispark.operators.sizes import BROADCAST_BYTES, small, stored_bytes
+from evispark.operators.sizes import BROADCAST_BYTES, bound_batches, small, stored_bytes
 from evispark.operators.tables import spare
 
 #: Fixed values of the BM25 ranking function.
@@ -86,18 +93,88 @@ def each_token(docs: DataFrame, text_col: str) -> DataFrame:
     return sized.select(*kept, "doc_len", F.explode_outer("__t").alias("token"))
 
 
+def counted_keys(texts: DataFrame, text_col: str, words: list[str]) -> DataFrame:
+    """The other columns of ``texts`` with the text's ``doc_len`` in tokens and its ``hits``: for each of the keys (``words``) that
+    fits some of its tokens, the key's place in the list, times 2^32, plus the number of those tokens.
+
+    A text's tokens are counted where they are cut up, so that neither they nor the matches of the same key are dealt out one
+    by one. The keys are broadcast: give no more than fit.
+    """
+    spark = bound_batches(texts.sparkSession)
+    kept = [c for c in texts.columns if c != text_col]
+    shared = spark.sparkContext.broadcast(words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, starts = {}, defaultdict(list)
+        for i, key in enumerate(shared.value):
+            if key.startswith("^"):
+                starts[key[1:5]].append((key[1:], i))
+            else:
+                whole[key[1:]] = i
+        for batch in batches:
+            listed = pc.split_pattern(batch.column("__t"), " ")
+            sizes = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, rows = listed.flatten().dictionary_encode(), np.repeat(np.arange(len(sizes)), sizes)
+            sizes[pc.equal(batch.column("__t"), "").to_numpy(zero_copy_only=False)] = 0  # a text without tokens is split into one empty one, which no key fits
+            fits = [([whole[w]] if w in whole else []) + [i for start, i in starts.get(w[:4], ()) if w.startswith(start)] if w else [] for w in flat.dictionary.to_pylist()]
+            n = np.array([len(f) for f in fits], np.int64)
+            ids = np.array([i for f in fits for i in f], np.int64)
+            codes = flat.indices.to_numpy(zero_copy_only=False)
+            if len(n):
+                asked = n[codes] > 0
+                codes, rows = codes[asked], rows[asked]
+            each = n[codes]
+            # a token's keys stand one after another in ids
+            place = np.arange(each.sum()) + np.repeat((np.cumsum(n) - n)[codes] - (np.cumsum(each) - each), each)
+            found, tf = np.unique(np.repeat(rows, each) << 32 | ids[place], return_counts=True)
+            ends = np.searchsorted(found >> 32, np.arange(len(sizes) + 1)).astype(np.int32)
+            hits = pa.ListArray.from_arrays(ends, pa.array((found & 0xFFFFFFFF) << 32 | tf))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(sizes, pa.int32()), hits], [*kept, "doc_len", "hits"])
+
+    schema = T.StructType([*[texts.schema[c] for c in kept], T.StructField("doc_len", T.IntegerType()), T.StructField("hits", T.ArrayType(T.LongType()))])
+    return texts.select(*kept, tx.spaced_tokens(F.col(text_col)).alias("__t")).mapInArrow(count, schema)
+
+
+def each_hit(counted: DataFrame) -> DataFrame:
+    """Rows of ``counted_keys``, one for each hit: its ``key`` (the place in the list) and ``tf`` instead of ``hits``."""
+    kept = [c for c in counted.columns if c != "hits"]
+    # an outer explode: Spark would give a plain one a filter, and so a shuffle of its own
+    return counted.select(*kept, F.explode_outer("hits").alias("__hit")).where("__hit IS NOT NULL").select(*kept, F.shiftright("__hit", 32).cast("int").alias("key"), F.col("__hit").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tf"))
+
+
+def _listed(keys: DataFrame) -> list[str] | None:
+    """The keys in order, None if they take more than a broadcast may."""
+    return sorted(keys.toArrow().column("key").to_pylist()) if stored_bytes(keys) <= BROADCAST_BYTES else None
+
+
+def _placed(terms: DataFrame, words: list[str]) -> DataFrame:
+    """``terms`` with each key's place in the list instead of the key."""
+    places = terms.sparkSession.createDataFrame(pa.table({"__place": pa.array(range(len(words)), pa.int32()), "key": pa.array(words, pa.string())}))
+    return terms.join(F.broadcast(places), "key").drop("key").withColumnRenamed("__place", "key")
+
+
 def bm25_content(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, *, corpus: Column | None = None) -> DataFrame:
     """(q, [corpus,] doc, score, matched, exact): BM25 over the keys (q, term, key), each a term of its own, within each corpus.
 
-    ``matched`` counts the question's words with a key in the document, ``exact`` those with an "=" key. Only tokens that
-    are asked for leave the scan, and they are dealt out by document: a document's counts and scores, and the keys'
-    document frequencies, come from that one (reused) shuffle. A key's weight is joined to a hit before its questions are.
+    ``matched`` counts the question's words with a key in the document, ``exact`` those with an "=" key. A document leaves
+    the scan as its length and its counted keys, and is dealt out so: lengths, counts and scores, and the keys' document
+    frequencies, come from that one (reused) shuffle. Keys too many for a broadcast meet the tokens in a join, and those asked
+    for are dealt out one by one. A key's weight is joined to a hit before its questions are.
     """
     of = ["corpus"] if corpus is not None else []
     texts = docs.select(F.col(id_col).alias("doc"), *([corpus.alias("corpus")] if of else []), F.col(text_col).alias("text"))
     keys = terms.select("key").distinct()
-    size = texts.groupBy(*of).agg(F.count("*").alias("n_docs"), F.greatest(F.avg(tx.count_tokens(F.col("text"))), F.lit(1e-9)).alias("avg_len"))
-    hits = key_matches(each_token(texts, "text"), keys).repartition(*of, "doc").groupBy(*of, "doc", "doc_len", "key").agg(F.count("*").alias("tf"))
+    asking, words = terms.withColumn("whole", F.col("key").startswith("=")), _listed(keys)
+    if words is None:
+        lengths = texts.select(*of, tx.count_tokens(F.col("text")).alias("doc_len"), F.lit(1).alias("hits"))
+        found = key_matches(each_token(texts, "text"), keys).repartition(*of, "doc").withColumn("tf", F.lit(1))
+    else:
+        lengths = counted_keys(texts, "text", words).repartition(*of, "doc")
+        found, asking = each_hit(lengths), _placed(asking, words)
+    # documents are counted by their hits (none is null): a plan that reads fewer columns would not use the same shuffle
+    size = lengths.groupBy(*of).agg(F.count("hits").alias("n_docs"), F.greatest(F.avg("doc_len"), F.lit(1e-9)).alias("avg_len"))
+    # an id that stands twice has its counts together, as long as its texts have one length
+    hits = found.groupBy(*of, "doc", "doc_len", "key").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy(*of, "key").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rated = (df.join(size, of) if of else df.crossJoin(F.broadcast(size))).select(*of, "key", idf.alias("idf"), "avg_len")
@@ -108,7 +185,7 @@ def bm25_content(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str,
     weighed = hits.join(rated, [*of, "key"]).select(*of, "doc", "key", weight.alias("weight"))
     # a question has few words: the ones a document has are a set of bits
     bit = F.expr("shiftleft(1L, cast(dense_rank() OVER (PARTITION BY q ORDER BY term) - 1 AS INT))")
-    asked = terms.select("q", "key", bit.alias("bit"), F.col("key").startswith("=").alias("whole"))
+    asked = asking.select("q", "key", bit.alias("bit"), "whole")
     return weighed.join(small(asked), "key").groupBy("q", *of, "doc").agg(
         F.sum("weight").alias("score"), F.bit_count(F.bit_or("bit")).alias("matched"), F.bit_count(F.bit_or(F.when(F.col("whole"), F.col("bit")).otherwise(F.lit(0).cast("long")))).alias("exact")
     )

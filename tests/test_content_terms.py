@@ -92,6 +92,27 @@ def test_tokens_are_dealt_out_once_by_document(spark):
     assert [(r.q, r.doc, round(r.score, 9), r.matched) for r in twice.collect()] == [(7, 1, round(weigh(2, 2) + weigh(1, 1), 9), 1)]
 
 
+def test_documents_leave_the_scan_once_with_counted_keys(spark, monkeypatch):
+    terms = rk.content_terms(spark.createDataFrame(QUESTIONS, "q long, t string"), "q", "t")
+    docs = spark.createDataFrame([(d, t, "ab"[d % 2]) for d, t in [*DOCS, (8, ""), (9, " -- "), (10, "STÓRM  the storming, storm'storms")]], "d long, t string, c string")
+    for corpus in (None, F.coalesce("c", F.lit(""))):
+        plan = rk.bm25_content(docs, terms, "d", "t", corpus=corpus)
+        # lengths, document frequencies and scores read one shuffle of one row a document: no filter sets one of its readers apart
+        lines = planned(plan).splitlines()
+        below = [lines[i + 1] for i, line in enumerate(lines) if "REPARTITION_BY_COL" in line]
+        assert len(below) == 3 and all("MapInArrow" in line for line in below)
+        counted = sorted(tuple(r) for r in plan.collect())
+        body = sorted(tuple(r) for r in rk.field_weighted_tf(docs, terms, "d", "c", "t").collect())
+        with monkeypatch.context() as m:
+            m.setattr(rk, "_listed", lambda keys: None)  # keys too many for a broadcast
+            joined = sorted(tuple(r) for r in rk.bm25_content(docs, terms, "d", "t", corpus=corpus).collect())
+            assert body == sorted(tuple(r) for r in rk.field_weighted_tf(docs, terms, "d", "c", "t").collect())
+        near = lambda rows: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows]
+        assert near(counted) == near(joined) and len(counted) > 5
+    rows = {r.d: (r.doc_len, r.hits) for r in rk.counted_keys(docs.select("d", "t"), "t", ["=storm", "^stor", "=x"]).collect()}
+    assert rows == {**{d: (len((t or "").split()), []) for d, t in DOCS}, 1: (9, [1, (1 << 32) + 1]), 7: (3, [1, (1 << 32) + 3]), 8: (0, []), 9: (0, []), 10: (5, [2, (1 << 32) + 4])}
+
+
 def test_hint_and_clauses_read_a_text_once(spark):
     docs = spark.createDataFrame([(1, "the cat is in the house and it was here, \t if\nyou WHILE it rained  . x")], "d long, t string")
     found = docs.select(tx.language_hint(tx.tokens(F.col("t"))).alias("hint"), tx.clauses(F.col("t")).alias("c"))
