@@ -202,9 +202,16 @@ def field_weighted_tf(docs: DataFrame, terms: DataFrame, id_col: str, title_col:
     ``terms`` is (q, term) or (q, term, key); starts ("^") don't count here.
     """
     keyed = terms.where(F.col("key").startswith("=")) if "key" in terms.columns else exact_keys(terms)
-    side = lambda c, w: each_token(docs.select(F.col(id_col).alias("doc"), F.col(c).alias("text")), "text").select("doc", "token", F.lit(w).alias("weight"))
-    found = key_matches(side(title_col, 2).unionByName(side(body_col, 1)), keyed.select("key").distinct())
-    hits = found.repartition("doc").groupBy("doc", "key").agg(F.sum("weight").alias("weight"))
+    keys = keyed.select("key").distinct()
+    words = _listed(keys)
+    texts = lambda c: docs.select(F.col(id_col).alias("doc"), F.col(c).alias("text"))
+    if words is None:
+        side = lambda c, w: each_token(texts(c), "text").select("doc", "token", F.lit(w).alias("weight"))
+        found = key_matches(side(title_col, 2).unionByName(side(body_col, 1)), keys).repartition("doc").withColumn("tf", F.lit(1))
+    else:
+        side = lambda c, w: counted_keys(texts(c), "text", words).select("doc", "hits", F.lit(w).alias("weight"))
+        found, keyed = each_hit(side(title_col, 2).unionByName(side(body_col, 1)).repartition("doc")), _placed(keyed, words)
+    hits = found.groupBy("doc", "key").agg(F.sum(F.col("weight") * F.col("tf")).alias("weight"))
     return hits.join(small(keyed.select("q", "key")), "key").groupBy("q", "doc").agg(F.sum("weight").alias("score"))
 
 
